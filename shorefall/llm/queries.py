@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +18,70 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judged
+
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
+def op3_voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .voronoi import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+OP3_SQL = """
+with v as (
+  select vec_id, [floor(256 * x::double) for x in embedding]::double[] as q from embeddings
+  where vec_id is not null and embedding is not null
+    and len([1 for x in embedding if x is null or isnan(x) or isinf(x)]) = 0),
+s as (
+  select a.vec_id as query_id, b.vec_id, list_inner_product(a.q, b.q)::bigint as score
+  from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import report
+
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .transducer import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spchunks import encode
+
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dac import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict:
-    return {"op5_simhash": op5_simhash}
+    return {"op1_quality": op1_quality, "op2_html": op2_html, "op10_urls": op10_urls, "op4_token_counts": op4_token_counts, "op6_sentencepiece": op6_sentencepiece, "op8_dac": op8_dac, "op3_voronoi": op3_voronoi, "op5_simhash": op5_simhash, "op9_decontam": op9_decontam}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_voronoi": OP3_SQL}
