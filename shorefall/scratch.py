@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; only where it is unset (tests) a new local folder."""
@@ -29,7 +31,12 @@ class Scratch:
     def save(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
         path = f"{self.root}/{self.n}"
         self.n += 1
-        df.write.option("compression", codec).parquet(path)
+        had = self.spark.conf.get(TIDY, "false")
+        self.spark.conf.set(TIDY, "true")  # the table replaces the shuffle files that it was made from
+        try:
+            df.write.option("compression", codec).parquet(path)
+        finally:
+            self.spark.conf.set(TIDY, had)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
