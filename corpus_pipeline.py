@@ -2,22 +2,56 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shorefall.llm import simhash
+from shorefall.llm import decontam, quality, simhash, spchunks, windows
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash class stays, the one with the smallest id."""
     return simhash.dedup(docs)
 
 
-STAGES = [("simhash_dedup", near_dedup)]
-#: XXH64 and tokenizers can't be written in SQL; the stages are tested against brute force.
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages are cut from all documents but the first."""
+    return windows.dedup(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words inside benchmark windows are cut; documents that are mostly such words go."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each text, and the digests of its round trip."""
+    return spchunks.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality_filter", quality_filter),
+    ("simhash_dedup", near_dedup),
+    ("passage_dedup", passage_dedup),
+    ("decontamination", benchmark_decontamination),
+    ("sentencepiece", sentencepiece_encoding),
+]
+#: XXH64 fingerprints, a fitted classifier and tokenizers can't be written in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``; each result is written to the shared folder and read again."""
+    from shorefall.scratch import Scratch
+
+    scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = scratch.save(docs)
     return docs

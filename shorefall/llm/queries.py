@@ -36,6 +36,12 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def op7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .windows import repeats
+
+    return repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .voronoi import top_k
 
@@ -80,7 +86,7 @@ def op8_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op2_html": op2_html, "op10_urls": op10_urls, "op4_token_counts": op4_token_counts, "op6_sentencepiece": op6_sentencepiece, "op8_dac": op8_dac, "op3_voronoi": op3_voronoi, "op5_simhash": op5_simhash, "op9_decontam": op9_decontam}
+    return {"op1_quality": op1_quality, "op2_html": op2_html, "op7_windows": op7_windows, "op10_urls": op10_urls, "op4_token_counts": op4_token_counts, "op6_sentencepiece": op6_sentencepiece, "op8_dac": op8_dac, "op3_voronoi": op3_voronoi, "op5_simhash": op5_simhash, "op9_decontam": op9_decontam}
 
 
 def oracle_sql() -> dict[str, str]:
