@@ -79,6 +79,8 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     out.add(rows, np.zeros(n, np.uint64), 0)
     words = Words(data, offsets, SPACED)
     if not len(words.start):
+        for kind in (6, 7):
+            out.add(rows, np.zeros(n, np.uint64), kind)
         return out.distinct()
     out.add(words.doc, words.hash, 1)
     two, whole = words.shingles(2)
