@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import levels as lv
@@ -217,16 +217,10 @@ def s10(spark, d):
     docs = fx.read(spark, d, "documents").select(F.col("doc_id").alias("file"), F.col("text").alias("content"))
     sha = F.sha2(F.col("content").cast("binary"), 256)
     listed = docs.where("file % 50 <> 1").select("file", F.octet_length("content").alias("bytes"), F.when(F.col("file") % 50 == 2, F.reverse(sha)).otherwise(F.upper(sha)).alias("sha256"))
-    gone = docs.orderBy("file").limit(5).select((F.lit(1000000000) + F.row_number().over(fx_window()) - 1).alias("file"), F.lit(1).alias("bytes"), F.lit("0").alias("sha256"))
+    gone = spark.range(5).select((F.col("id") + 1000000000).alias("file"), F.lit(1).alias("bytes"), F.lit("0").alias("sha256"))
     return bands.verify_manifest(docs, listed.union(gone))
 
 
-def fx_window():
-    from pyspark.sql import Window
-
-    return Window.orderBy("file")  # five rows
-
-
 # --- projections
 
 
@@ -640,8 +634,6 @@ pk as (select site, rep, ('0x' || substr(md5(concat_ws('|', '1', site::varchar,
 ea as (select pk.site, rep, sqrt(avg(e * e)) as rmse from pk join re on re.site = pk.site and re.i = pk.i group by 1, 2)
 select site, round(quantile_cont(rmse, 0.025), 6) as rmse_low, round(quantile_cont(rmse, 0.975), 6) as rmse_high from ea group by 1""")
 def a15(spark, d):
-    from pyspark.sql import Window
-
     e = fx.pairs(spark, d).select("site", (F.col("a") - F.col("b")).alias("e"))
     resid = e.withColumn("i", F.row_number().over(Window.partitionBy("site").orderBy("e")).cast("long") - 1)
     return rounded(st.bootstrap_rmse(resid))

@@ -6,15 +6,18 @@ nine aggregates of one pass.
 
 from __future__ import annotations
 
+import struct
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.levels import DATUM_CI95_M, threshold_proximity
+from ..functions.percentile import exact_percentiles
 from ..grid import GridSpec
 from ..operators.areas import mask_area
 from ..operators.flood import Case, connected_flood
+from ..scratch import Scratch
 
 DEM_OFFSETS, DATUM_OFFSETS = (-0.5, 0.0, 0.5), (-DATUM_CI95_M, 0.0, DATUM_CI95_M)
 REACH_M = 0.5
@@ -26,7 +29,8 @@ def f32(v: float) -> Column:
 
 def scale_of(cells: DataFrame, value: Column, q: float, domain: Column) -> float:
     """Exact percentile (linear interpolation) over a domain, as a 32-bit float; 0 for an empty one."""
-    return cells.where(domain).agg(F.percentile(value.cast("double"), q).cast("float").alias("p")).first().p or 0.0
+    found = exact_percentiles(cells.where(domain), [value], q)[0]
+    return 0.0 if found is None else struct.unpack("f", struct.pack("f", found))[0]
 
 
 def normalise_p(value: Column, scale: float) -> Column:
@@ -65,8 +69,8 @@ def priority_cases(cells: DataFrame, grid: GridSpec, level: float, cases=None, *
 
 def cutoffs(priority: DataFrame, n: int) -> list[float]:
     """Each case's 90th percentile of positive values, 0 where there is none."""
-    each = [F.percentile(F.when(F.col("priority")[k] > 0, F.col("priority")[k].cast("double")), 0.9).cast("float").alias(f"c{k}") for k in range(n)]
-    return [v or 0.0 for v in priority.agg(*each).first()]
+    found = exact_percentiles(priority, [F.when(F.col("priority")[k] > 0, F.col("priority")[k]) for k in range(n)], 0.9)
+    return [0.0 if v is None else struct.unpack("f", struct.pack("f", v))[0] for v in found]
 
 
 def hot_flags(priority: DataFrame, cut: list[float]) -> DataFrame:
@@ -91,6 +95,7 @@ def priority_summary(cells: DataFrame, grid: GridSpec, level: float, **how) -> D
     """One row: the central case's cutoff and area, the recurrence areas, and the scales."""
     cases = cases_of(level)
     found, scales = priority_cases(cells, grid, level, cases, **how)
+    found = Scratch(cells.sparkSession).save(found)  # read three times
     cut = cutoffs(found, len(cases))
     k = next(i for i, (d, v, _) in enumerate(cases) if d == 0 and v == 0)
     hot = hot_flags(found, cut)
