@@ -11,7 +11,7 @@ doc_id, and a document lies whole in one block.
 
 from __future__ import annotations
 
-import re
+import struct
 import zlib
 
 import numpy as np
@@ -22,13 +22,18 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ..scratch import Scratch
-from .text import slices
+from .text import slices, small_batches
 
 BITS, RANKED = 8, 512
 #: Ids of a block, about (a longer document makes a longer block).
 BLOCK_IDS = 1 << 20
-TABLE, LONGEST = 300_000, 64
+#: Words and letter runs that a worker keeps at most, the longest it keeps, and the bytes of text it encodes at once.
+TABLE, STEMS, LONGEST, PART_BYTES = 120_000, 250_000, 64, 1 << 20
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 END = 0
+#: How byte-level models write bytes: printable ones of Latin-1 as themselves, the others in order from U+0100 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -98,47 +103,120 @@ class Encoder:
     """Ids of whole texts from the tokenizers library, each distinct chunk encoded once.
 
     The model's pattern never takes a blank into a piece unless the blank begins it, or white space ends there;
-    so a text may be cut before each blank that has other than white space on one side, and its ids are those
-    of the chunks.
+    and a line feed between other characters is a piece of its own. So a text may be cut before each blank that
+    has other than white space on one side, and around single line feeds; its ids are those of the chunks.
+    New words are encoded many at a time, as lines of one text, and the ids cut at the line feeds.
     """
 
-    BESIDE = re.compile(r"[^\S ] | [^\S ]")
+    LINES = 512
 
     def __init__(self, model: str):
         self.lib = Tokenizer.from_str(model)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.table: dict[str, bytes] = {}
+        self.feed = self.lib.encode("\n", add_special_tokens=False).ids
+        self.line = self._bytes(self.feed)
+        #: Ids of words, with the blank or the line feed before them; None: white space in or about it needs the whole text.
+        self.words: dict[str, bytes | None] = {}
+        self.stems: dict[str, dict[str, bytes]] = {"": {}, " ": {}}  # letters alone, behind a blank or not
+        self.tails: dict[str, bytes] = {}  # marks behind letters
+        # a check that the model reads bytes as SHOWN has them
+        tried = ["a", "é", "ß中", "ization", "İ"]
+        self.direct = True
+        self.direct = self._pieces(" ", tried) == [self._bytes(self.lib.encode(" " + t, add_special_tokens=False).ids) for t in tried]
+
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def chunks(self, text: str) -> list[str]:
+        """Chunks of any text, each with the blank before it."""
         parts = text.split(" ")
-        out = [parts[0], *[" " + p for p in parts[1:]]]
-        if "" not in parts and not self.BESIDE.search(text):
-            return out
-        kept = out[:1]
-        for i in range(1, len(parts)):
-            blank_before = not parts[i - 1] or parts[i - 1][-1].isspace()
-            blank_behind = not parts[i] or parts[i][0].isspace()
-            if blank_before and blank_behind:
-                kept[-1] += out[i]
+        out = parts[:1]
+        for before, behind in zip(parts, parts[1:]):
+            if (not before or before[-1].isspace()) and (not behind or behind[0].isspace()):
+                out[-1] += " " + behind
             else:
-                kept.append(out[i])
-        return kept
+                out.append(" " + behind)
+        return out
+
+    def _lines(self, before: str, words: list[str]) -> list[bytes]:
+        """Ids of words that hold no line feed."""
+        out = []
+        for i in range(0, len(words), self.LINES):
+            group = words[i : i + self.LINES]
+            ids = np.array(self.lib.encode("\n".join([before + w for w in group]), add_special_tokens=False).ids, "<u4")
+            at = np.flatnonzero(ids == self.feed[0]).tolist() if len(self.feed) == 1 else []
+            if len(at) == len(group) - 1:
+                whole = ids.tobytes()
+                out += [whole[4 * a + 4 : 4 * b] for a, b in zip([-1, *at], [*at, len(ids)])]
+            else:
+                out += [self._bytes(self.lib.encode(before + w, add_special_tokens=False).ids) for w in group]
+        return out
+
+    def _pieces(self, before: str, stems: list[str]) -> list[bytes]:
+        """Ids of runs of letters: each is one piece of the pattern, so the library's model takes it as it stands."""
+        if not self.direct:
+            return self._lines(before, stems)
+        tokens, out = self.lib.model.tokenize, []
+        for s in stems:
+            out.append(self._bytes([t.id for t in tokens((before + s).encode().decode("latin-1").translate(SHOWN))]))
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new words; letters and the marks behind them are pieces of their own, so each is encoded once."""
+        table, tails = self.words, self.tails
+        if len(tails) > TABLE // 10:
+            tails.clear()
+        for before, known, begin, group in (
+            ("", self.stems[""], self.line, [w for w in new if w[:1] == "\n"]),
+            (" ", self.stems[" "], b"", [w for w in new if w[:1] != "\n"]),
+        ):
+            bodies = [w[1:] for w in group] if begin else group
+            stems = [w.rstrip(MARKS) for w in bodies]
+            fresh = [s for s in set(stems).difference(known) if s.isalpha()]
+            known.update(zip(fresh, self._pieces(before, fresh)))
+            rest = []
+            for w, body, s in zip(group, bodies, stems):
+                ids = known.get(s)
+                if ids is None:
+                    if body.split() == [body]:
+                        rest.append(body)
+                    else:
+                        table[w] = None
+                elif len(s) == len(body):
+                    table[w] = begin + ids
+                else:
+                    tail = body[len(s) :]
+                    if tail not in tails:
+                        tails[tail] = self._lines("", [tail])[0]
+                    table[w] = begin + ids + tails[tail]
+            mark = "\n" if begin else ""
+            table.update((mark + w, begin + ids) for w, ids in zip(rest, self._lines(before, rest)))
+            self._forget(known, fresh, STEMS)
+
+    @staticmethod
+    def _forget(table: dict, new: list[str], most: int) -> None:
+        """Takes long keys out again, and all new ones once the table is full."""
+        full = len(table) > most
+        for k in new:
+            if full or len(k) > LONGEST:
+                del table[k]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.chunks(t) for t in texts]
-        new = list(set().union(*cut).difference(self.table))
-        if len(self.table) + len(new) > TABLE:
-            self.table, new = {}, list(set().union(*cut))
-        table = self.table
-        if new:
-            encoded = self.lib.encode_batch(new, add_special_tokens=False)
-            table.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(new, encoded))
-        out = [b"".join([table[c] for c in own]) for own in cut]
-        for c in new:
-            if len(c) > LONGEST:
-                del table[c]
+        # words, each with the line feed before it, if there is one; a text begins like a line
+        split = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
+        new = list(set().union(*split).difference(self.words))
+        self._learn(new)
+        table, begin, out = self.words, len(self.line), []
+        for text, own in zip(texts, split):
+            got = [table[w] for w in own]
+            if None in got:
+                out.append(b"".join([self._bytes(e.ids) for e in self.lib.encode_batch(self.chunks(text), add_special_tokens=False)]))
+            else:
+                out.append(b"".join(got)[begin:])
+        self._forget(table, new, TABLE)
         return out
 
 
@@ -172,7 +250,7 @@ def write(docs: DataFrame, tokenizer_path: str, scratch: Scratch, end: int = END
             )
 
         for batch in batches:
-            for cut in slices(batch, "text"):
+            for cut in slices(batch, "text", PART_BYTES):
                 for i, x in zip(cut.column(0).to_pylist(), own.encode([t or "" for t in cut.column(1).to_pylist()])):
                     ids.append(i)
                     held.append(x + tail)
@@ -183,6 +261,7 @@ def write(docs: DataFrame, tokenizer_path: str, scratch: Scratch, end: int = END
         if held:
             yield row()
 
+    small_batches(docs)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return scratch.save(ordered.mapInArrow(run, "part int, block int, doc_ids array<long>, counts array<long>, payload binary"), "none")
 

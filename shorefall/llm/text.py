@@ -8,34 +8,63 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Bytes of text handled at once inside a task; one longer text is handled alone.
-SLICE_BYTES = 4 << 20
+#: Bytes of text handled at once inside a task (NumPy needs some fifty times that); one longer text is handled alone.
+SLICE_BYTES = 1 << 20
+#: Rows that go to Python at once at most.
+BATCH_ROWS = 2000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(ODD), -1, 1 << 64))
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with at most SLICE_BYTES of text (one row at least)."""
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most ``most`` bytes of text (one row at least)."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < len(batch):
         base = sizes[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(sizes, base + SLICE_BYTES, "right")))
+        end = max(at + 1, int(np.searchsorted(sizes, base + most, "right")))
         yield batch.slice(at, end - at)
         at = end
 
 
-def map_slices(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bounds the Arrow batches of the session, so that long texts do not fill the executors' memory."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
+def map_slices(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, most: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over bounded slices; ``make`` builds the function once a task."""
 
     def run(batches):
         f = make()
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, most):
                 yield f(part)
+        pa.default_memory_pool().release_unused()
+
+    return small_batches(df).mapInArrow(run, schema)
+
+
+def text_udf(make: Callable[[], Callable[..., pa.Array]], kind: str):
+    """An Arrow UDF of a text and other columns, over bounded slices; ``make`` builds the function once a task.
+
+    Rows stay in the JVM, only the arguments go to Python and only the result comes back.
+    """
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        f = make()
+        for columns in batches:
+            batch = pa.RecordBatch.from_arrays(list(columns), [str(i) for i in range(len(columns))])
+            parts = [f(*part.columns) for part in slices(batch, "0")]
+            yield pa.concat_arrays(parts) if parts else pa.nulls(0)
+        pa.default_memory_pool().release_unused()
 
-    return df.mapInArrow(run, schema)
+    return F.arrow_udf(run, kind)
 
 
 def raw(column: pa.Array) -> list[bytes]:
