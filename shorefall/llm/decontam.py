@@ -7,7 +7,6 @@ word exactly where that length reaches the window.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
@@ -15,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import map_slices, raw
+from .text import raw, small_batches, text_udf
 
 WINDOW = 10
 #: Bytes of item text of one automaton; a larger benchmark is passed over in several blocks.
@@ -146,25 +145,23 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     benchmark: item_id, text. Items with a null id or without words take no part; repeated ids count once.
     Documents are passed once for each block of items.
     """
+    small_batches(docs)
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES) or 1
-    kind = "struct<spans: array<int>, items: array<string>>"
-    out = docs.withColumn("__hits", F.lit(None).cast(kind))
-    names = out.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-    at = names.index("text")
+    kind = pa.struct([("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+    out = docs.withColumn("__hits", F.lit(None).cast("struct<spans: array<int>, items: array<string>>"))
     for i in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i).distinct().orderBy("item", "text").collect()
         listed = [(r.item, ws) for r in own if (ws := words(r.text.encode()))]
         if not listed:
             continue
-        sent = docs.sparkSession.sparkContext.broadcast(Automaton(listed, window))
+        sent = docs.sparkSession.sparkContext.broadcast(Automaton(listed, window))  # one block of items
 
         def make(sent=sent):
-            def part(b: pa.RecordBatch) -> pa.RecordBatch:
+            def part(texts: pa.Array, olds: pa.Array) -> pa.Array:
                 found = []
-                for text, old in zip(raw(b.column(at)), b.column(len(names) - 1).to_pylist()):
+                for text, old in zip(raw(texts), olds.to_pylist()):
                     spans, bits = sent.value.match(words(text))
                     if not spans:
                         found.append(old)
@@ -172,11 +169,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
                     flat = old["spans"] if old else []
                     both = merged([*zip(flat[::2], flat[1::2]), *spans])
                     found.append({"spans": [x for s in both for x in s], "items": sorted({*(old["items"] if old else []), *sent.value.named(bits)})})
-                return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, b.schema.field(len(names) - 1).type)], names)
+                return pa.array(found, kind)
 
             return part
 
-        out = map_slices(out, "text", make, schema)
+        out = out.withColumn("__hits", text_udf(make, "spans array<int>, items array<string>")(F.col("text"), F.col("__hits")))
     return out
 
 
@@ -186,22 +183,13 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     Null and empty texts have no words; repeated rows are each reported; null ids stay null.
     """
     found = hits(docs.select("doc_id", "text"), benchmark, window)
-
-    def make():
-        def part(b: pa.RecordBatch) -> pa.RecordBatch:
-            old = b.column(2).to_pylist()
-            n = [len(words(t)) for t in raw(b.column(1))]
-            hit = [sum(h["spans"][1::2]) - sum(h["spans"][::2]) if h else 0 for h in old]
-            items = [h["items"] if h else [] for h in old]
-            sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-            return pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in hit], pa.bool_())],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
-
-        return part
-
-    return map_slices(found, "text", make, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    count = text_udf(lambda: lambda texts, _: pa.array([len(words(t)) for t in raw(texts)], pa.int64()), "long")
+    side = lambda k: F.aggregate(F.filter("__hits.spans", lambda _, i: i % 2 == k), F.lit(0).cast("long"), lambda a, x: a + x)
+    hit = F.coalesce(side(1) - side(0), F.lit(0).cast("long"))
+    items = F.coalesce("__hits.items", F.array().cast("array<string>"))
+    sha = F.sha2(F.array_join(items, ","), 256)
+    out = found.select(F.col("doc_id").cast("long").alias("doc_id"), count(F.col("text"), F.lit(0)).alias("n_words"), hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), sha.alias("items_sha256"))
+    return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -221,28 +209,25 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: flo
     such a column, follows the text.
     """
     found = hits(docs, benchmark, window)
-    names, schema = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    at = names.index("text")
 
     def make():
-        def part(b: pa.RecordBatch) -> pa.RecordBatch:
-            texts, keep, counted = b.column(at).to_pylist(), [], b.column(names.index("n_chars")).to_pylist() if "n_chars" in names else []
-            for i, h in enumerate(b.column(len(names)).to_pylist()):
-                if not h:
-                    keep.append(True)
+        def part(texts: pa.Array, spans: pa.Array) -> pa.Array:
+            out = []
+            for text, flat in zip(texts.to_pylist(), spans.to_pylist()):
+                if flat is None:
+                    out.append(None)
                     continue
-                bytes_ = texts[i].encode()
-                spans = list(zip(h["spans"][::2], h["spans"][1::2]))
-                keep.append(sum(y - x for x, y in spans) <= most * len(words(bytes_)))
-                texts[i] = cut(bytes_, spans).decode()
-                if counted:
-                    counted[i] = len(texts[i])
-            columns = list(b.columns[: len(names)])
-            columns[at] = pa.array(texts, columns[at].type)
-            if counted:
-                columns[names.index("n_chars")] = pa.array(counted, columns[names.index("n_chars")].type)
-            return pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
+                own, pairs = text.encode(), list(zip(flat[::2], flat[1::2]))
+                good = sum(b - a for a, b in pairs) <= most * len(words(own))
+                out.append({"keep": good, "text": cut(own, pairs).decode()})
+            return pa.array(out, pa.struct([("keep", pa.bool_()), ("text", pa.string())]))
 
         return part
 
-    return map_slices(found, "text", make, schema)
+    hit = F.col("__hits").isNotNull()
+    done = text_udf(make, "keep boolean, text string")(F.when(hit, F.col("text")), F.col("__hits.spans"))
+    found = found.withColumn("__cut", done).where(~hit | F.col("__cut.keep"))
+    fresh = {"text": F.when(hit, F.col("__cut.text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        fresh["n_chars"] = F.when(hit, F.length("__cut.text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return found.withColumns(fresh).select(docs.columns)

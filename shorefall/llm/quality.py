@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import ODD, SPACED, Words, buffers, map_slices, mix
+from .sample import bounded
+from .text import ODD, SPACED, Words, buffers, map_slices, mix, small_batches, text_udf
 
 #: Labelled documents used for fitting at most.
 SAMPLE = 8000
@@ -184,8 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     counts, of repeated documents the smallest text.
     """
     given = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    order = F.xxhash64(F.lit(11), "doc_id")
-    chosen = given.orderBy(order, "doc_id").limit(SAMPLE)
+    chosen = bounded(given, SAMPLE, "doc_id")
 
     def make():
         def part(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -206,18 +206,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """Columns of ``docs`` and __score, 0 to 1. Null texts score as the empty text."""
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __score double"
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers, twice
-    at = names.index("text")
-
-    def make():
-        def part(b: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value.score(b.column(at)))], [*names, "__score"])
-
-        return part
-
-    return map_slices(docs, "text", make, schema)
+    small_batches(docs)
+    score = text_udf(lambda: lambda text, _: pa.array(sent.value.score(text)), "double")
+    return docs.withColumn("__score", score(F.col("text"), F.lit(0)))
 
 
 def held_out(doc_id: Column) -> Column:

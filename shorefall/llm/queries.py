@@ -61,6 +61,22 @@ select query_id, rank, vec_id, score from r where rank <= 5
 """
 
 
+_WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP9_SQL = f"""
+with w as (select row_number() over () as r, doc_id, {_WORDS.format("coalesce(text, '')")} as ws from documents),
+i as (select distinct item_id::varchar as item, {_WORDS.format("text")} as ws from benchmark where item_id is not null and text is not null),
+n as (select item, ws, least(10, len(ws)) as n from i where len(ws) > 0),
+g as (select distinct item, n, array_to_string(ws[k : k + n - 1], ' ') as g from (select *, unnest(range(1, len(ws) - n + 2)) as k from n)),
+d as (select r, k, n, array_to_string(ws[k : k + n - 1], ' ') as g
+  from (select r, ws, n, unnest(range(1, len(ws) - n + 2)) as k from w, (select distinct n from n) where len(ws) >= n)),
+h as (select r, k, n, item from d join g using (n, g)),
+hit as (select r, count(distinct place) as n_hit from (select r, unnest(range(k, k + n)) as place from h) group by 1),
+its as (select r, count(distinct item) as n_items, sha256(string_agg(distinct item, ',' order by item)) as items from h group by 1)
+select doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, coalesce(items, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from w left join hit using (r) left join its using (r)
+"""
+
+
 def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import report
 
@@ -90,4 +106,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_voronoi": OP3_SQL}
+    return {"op3_voronoi": OP3_SQL, "op9_decontam": OP9_SQL}

@@ -3,7 +3,7 @@
 No piece of the model holds a white-space marker behind another character, so no piece crosses from a word
 into the next marker, and BPE merges never do either: a text is cut before each run of blanks, each distinct
 chunk is segmented once by the library, and ids are joined back by position. The table lives in the worker
-and is emptied at a bound, so a task's memory does not grow with the corpus and texts need no shuffle.
+and takes no more chunks beyond a bound, so a task's memory does not grow with the corpus and texts need no shuffle.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from .text import map_slices
 
 MARK = "▁"
-#: Chunks that a worker's table holds at most, and the longest chunk that it keeps.
-TABLE, LONGEST = 300_000, 64
+#: Chunks that a worker's table holds at most, the longest chunk that it keeps, and bytes of text handled at once.
+TABLE, LONGEST, PART_BYTES = 100_000, 64, 1 << 19
 RUNS = re.compile(" +[^ ]+")
 
 
@@ -51,11 +51,8 @@ class ChunkTable:
     def look_up(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(n, ids, decoded) of each whole text."""
         cut = [chunks(t) if self.cuts else None for t in texts]
-        new = list(set().union(*(c for c in cut if c)).difference(self.table))
-        if len(self.table) + len(new) > TABLE:
-            self.table = {}
-            new = list(set().union(*(c for c in cut if c)))
         table = self.table
+        new = list(set().union(*(c for c in cut if c)).difference(table))
         if new:
             table.update(zip(new, self.rows(self.sp.encode(new, num_threads=1))))
         out = []
@@ -65,8 +62,9 @@ class ChunkTable:
             else:
                 got = [table[c] for c in own]
                 out.append((sum([g[0] for g in got]), ",".join([g[1] for g in got if g[0]]), " ".join([g[2] for g in got])))
-        for c in new:
-            if len(c) > LONGEST:
+        full = len(table) > TABLE
+        for c in new:  # once the table is full, new chunks serve their slice alone; those across lines hardly ever come again
+            if full or len(c) > LONGEST or "\n" in c:
                 del table[c]
         return out
 
@@ -104,4 +102,4 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
 
         return part
 
-    return map_slices(docs.select("doc_id", "text"), "text", make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_slices(docs.select("doc_id", "text"), "text", make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", PART_BYTES)

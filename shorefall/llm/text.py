@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,6 +31,13 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         at = end
 
 
+def release() -> None:
+    """Gives memory that a finished task has freed back to the system; a reused worker would else keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """Bounds the Arrow batches of the session, so that long texts do not fill the executors' memory."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -45,7 +54,7 @@ def map_slices(df: DataFrame, column: str, make: Callable[[], Callable[[pa.Recor
         for batch in batches:
             for part in slices(batch, column, most):
                 yield f(part)
-        pa.default_memory_pool().release_unused()
+        release()
 
     return small_batches(df).mapInArrow(run, schema)
 
@@ -62,7 +71,7 @@ def text_udf(make: Callable[[], Callable[..., pa.Array]], kind: str):
             batch = pa.RecordBatch.from_arrays(list(columns), [str(i) for i in range(len(columns))])
             parts = [f(*part.columns) for part in slices(batch, "0")]
             yield pa.concat_arrays(parts) if parts else pa.nulls(0)
-        pa.default_memory_pool().release_unused()
+        release()
 
     return F.arrow_udf(run, kind)
 

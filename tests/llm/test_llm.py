@@ -376,6 +376,10 @@ def test_registered_queries_and_sql(spark):
     names = ["query_id", "rank", "vec_id", "score"]
     got = sorted(map(tuple, found["op3_voronoi"](spark, SF).select(*names).collect()))
     assert got == sorted(con.sql(queries.OP3_SQL).select(", ".join(names)).fetchall())
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = con.sql(queries.OP9_SQL)
+    assert sorted(map(tuple, found["op9_decontam"](spark, SF).select(want.columns).collect())) == sorted(want.fetchall())
 
 
 @have_tables
