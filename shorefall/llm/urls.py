@@ -13,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sample import bounded
+
 #: (verdict, host, path prefix); a rule fits its host and all subdomains, and the longest that fits wins.
 RULES = [
     ("allow", "org", "/"),
@@ -93,7 +95,7 @@ def labelled(urls: DataFrame, terms: list[str] = BAD_TERMS) -> DataFrame:
     host, path = split_url(F.col("url"))
     bad = F.arrays_overlap(F.split(F.col("host"), r"[.\-]"), F.array(*map(F.lit, terms)))
     rows = urls.select("url", host.alias("host"), path.alias("path")).where("host <> ''").distinct()
-    return rows.orderBy(F.xxhash64("url"), "url").limit(SAMPLE).withColumn("label", bad.cast("double"))
+    return bounded(rows, SAMPLE, "url").withColumn("label", bad.cast("double"))
 
 
 class UrlModel:

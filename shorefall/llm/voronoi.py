@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
+from .sample import bounded
 
 #: Sampled rows: all give lower bounds of the answers, the first PIVOTS are pivots. Both are bounds, whatever the table's size.
 SAMPLE, PIVOTS = 1024, 64
@@ -80,7 +81,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
     dims = ints.agg(F.max(F.size("q"))).first()[0]
     if dims is None:
         return spark.createDataFrame([], schema)
-    picked = ints.orderBy(F.xxhash64("vec_id"), "vec_id", "q").limit(SAMPLE).toArrow()
+    picked = bounded(ints, SAMPLE, "vec_id", "q").toArrow()
     sample_ids, sample = picked.column(0).to_numpy(), _matrix(picked.column(1), dims)
     order = np.argsort(sample_ids, kind="stable")
     pivots = np.unique(sample[:PIVOTS], axis=0)
