@@ -218,6 +218,41 @@ def test_passages(spark, odd_docs):
     assert windows.repeats(docs.limit(0)).collect() == [] and windows.dedup(docs.limit(0)).collect() == []
 
 
+def long_repeats(texts, size=50):
+    """{text: places of words in runs of ``size`` words that an earlier text has too}, by a table of all such runs."""
+    first, out = {}, {}
+    for d, t in sorted(texts.items()):
+        w = t.split()
+        runs = [tuple(w[i : i + size]) for i in range(len(w) - size + 1)]
+        out[d] = {i + k for i, r in enumerate(runs) if r in first for k in range(size)}
+        for r in runs:
+            first.setdefault(r, d)
+    return out
+
+
+def missing_places(spark, texts):
+    docs = table(spark, [(i, t, "en", "s", len(t)) for i, t in texts.items()], DOC)
+    got = {}
+    for r in windows.repeats(docs).collect():
+        assert r.of_doc < r.doc_id and r.end - r.start >= 50
+        got.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    return {d: lost for d, want in long_repeats(texts).items() if (lost := want - got.get(d, set()))}
+
+
+def test_passages_behind_a_smaller_document_with_part_of_them(spark):
+    rng = random.Random(71)
+    fill = lambda: words_of(rng, rng.randint(0, 60), 10**6)
+    texts = {}
+    for k in range(60):
+        passage = words_of(rng, rng.randint(50, 58), 10**6).split()
+        part = rng.randint(35, 49)
+        at = rng.randint(0, len(passage) - part)
+        texts[3 * k] = " ".join([fill(), *passage[at : at + part], fill()])
+        texts[3 * k + 1], texts[3 * k + 2] = (" ".join([fill(), *passage, fill()]) for _ in range(2))
+    assert sum(map(bool, long_repeats(texts).values())) == 60
+    assert missing_places(spark, texts) == {}
+
+
 # --- decontamination
 
 
