@@ -253,6 +253,36 @@ def test_passages_behind_a_smaller_document_with_part_of_them(spark):
     assert missing_places(spark, texts) == {}
 
 
+def test_near_passages_whose_words_stand_earlier_too(spark):
+    rng = random.Random(73)
+    fill = lambda n: words_of(rng, n, 10**6).split()
+    plain, doubled = {}, {}
+    for k in range(60):
+        passage, lead, tail = fill(64), fill(30), fill(20)
+        near = [*passage[:32], "changed", *passage[33:]]
+        at = rng.choice((0, 24))
+        line = passage[at : at + 40]
+        plain[2 * k] = " ".join([*lead, *fill(40), *lead, *passage, *tail])
+        doubled[2 * k] = " ".join([*lead, *line, *lead, *passage, *tail])
+        plain[2 * k + 1] = doubled[2 * k + 1] = " ".join([*fill(15), *near, *fill(25)])
+
+    def found(texts):
+        docs = table(spark, [(i, t, "en", "s", len(t)) for i, t in texts.items()], DOC)
+        return {r.doc_id for r in windows.repeats(docs).collect()}
+
+    alone = found(plain)
+    assert len(alone) >= 45 and found(doubled) >= alone
+
+
+def test_all_pairs_of_places(monkeypatch):
+    monkeypatch.setattr(windows, "PAIRS", 50)
+    rng = np.random.default_rng(8)
+    pos, rpos = ([(rng.integers(0, 5000, rng.integers(1, 9)) << 32).tolist() for _ in range(20)] for _ in range(2))
+    f = np.arange(20) % 4
+    got = [x for part in windows.tied_places(pa.array(pos), pa.array(rpos), f) for x in zip(*(y.tolist() for y in part))]
+    assert set(got) == {(p, r, int(k)) for a, b, k in zip(pos, rpos, f) for p in a for r in b}
+
+
 # --- decontamination
 
 
