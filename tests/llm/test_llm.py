@@ -358,6 +358,17 @@ def test_main_text():
     assert html_text.best_run([-1, 2, -1, 2, -5, 3]) == (1, 4) and html_text.best_run([-1.0]) == (0, 0) and html_text.best_run([]) == (0, 0)
 
 
+def test_raw_elements_end_at_their_own_tag_and_head_at_the_body():
+    plain = html_text.Weights([])
+    article = "<article><p>first words of it</p>{}<p>last words of it</p></article>"
+    for raw in ("<script>for(i=0;i<n;i++){f(i)}</script>", "<SCRIPT>if(a<b)x='\"'</Script >", "<style>a<b{}</style>", "<script>x='<!--'</script>"):
+        assert html_text.main_text("<body>" + article.format(raw) + "</body>", plain) == "first words of it last words of it"
+        page = f"<html><head><title>no</title>{raw}</head><body>{raw}" + article.format("") + "</body>"
+        assert html_text.main_text(page, plain) == "first words of it last words of it"
+    for head in ("<head><title>no</title><meta charset=utf-8>", "<head><style>x</style></title><body>", "<head>\n"):
+        assert html_text.main_text("<html>" + head + article.format(""), plain) == "first words of it last words of it"
+
+
 @have_tables
 def test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
