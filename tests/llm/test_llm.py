@@ -369,6 +369,21 @@ def test_raw_elements_end_at_their_own_tag_and_head_at_the_body():
         assert html_text.main_text("<html>" + head + article.format(""), plain) == "first words of it last words of it"
 
 
+def test_class_names_of_wrappers_keep_the_article():
+    plain = html_text.Weights([])
+    body = "<p>some words of the article</p><figure><img src=x><figcaption>and its caption</figcaption></figure>"
+    want = "some words of the article and its caption"
+    for wrapper in ("content-sidebar-wrap", "has-sidebar", "with-comments", "header-fixed", "sidebar", "cookie-page"):
+        for inner in (f"<article>{body}</article>", f"<main>{body}</main>"):
+            page = f"<body><div class='{wrapper}'>{inner}</div><div class='comments'><article><p>a comment</p></article></div></body>"
+            assert html_text.main_text(page, plain) == want
+        page = f"<body><section class='{wrapper}'><h1>A title of six whole words</h1><div>{body}</div></section></body>"
+        assert html_text.main_text(page, plain) == "A title of six whole words " + want
+    for wrapper in ("content-sidebar-wrap", "has-sidebar", "with-comments", "header-fixed"):
+        assert html_text.main_text(f"<body><div class='{wrapper}'>{body}</div></body>", plain) == want
+    assert html_text.main_text(f"<body><nav><article>{body}</article></nav><div class='ad-top'>buy</div><div id='comments'>no</div></body>", plain) == ""
+
+
 @have_tables
 def test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
