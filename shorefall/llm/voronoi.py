@@ -68,6 +68,15 @@ def _best(ids: np.ndarray, xs: np.ndarray, qid: np.ndarray, qs: np.ndarray, leas
     return row[keep], ids[col[keep]], got[keep]
 
 
+def deal(placed: DataFrame, routed: DataFrame) -> DataFrame:
+    """(vec_id, q, cell, chunk, block) of candidates, for those blocks alone of which some query was routed to their cell."""
+    asked = routed.groupBy("cell").agg(F.first("chunks").alias("chunks"), F.collect_set("block").alias("blocks"))
+    return (
+        placed.join(F.broadcast(asked), "cell")  # at most PIVOTS rows
+        .select("vec_id", "q", "cell", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"), F.explode("blocks").alias("block"))
+    )
+
+
 def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best other rows, ties to the smaller id.
 
@@ -121,18 +130,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
                 ["query_id", "q", "least", "cell", "chunks"],
             )
 
-    sent = (
-        asked.mapInArrow(route, "query_id long, q array<int>, least long, cell int, chunks int")
-        .withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        .withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)")))
-        .drop("chunks")
-    )
-    parts = spark.createDataFrame([(int(c), int(n)) for c, n in zip(number, chunks)], "cell int, chunks int")
-    dealt = (
-        placed.join(F.broadcast(parts), "cell")  # at most PIVOTS rows
-        .select("vec_id", "q", "cell", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"))
-        .withColumn("block", F.explode(F.lit(list(range(blocks)))))
-    )
+    routed = asked.mapInArrow(route, "query_id long, q array<int>, least long, cell int, chunks int")
+    routed = scratch.save(routed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")))
+    sent = routed.withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)"))).drop("chunks")
+    dealt = deal(placed, routed)
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "key", "vec_id", "score"]

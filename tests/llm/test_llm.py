@@ -347,6 +347,13 @@ def test_top_k_against_all_pairs(spark, monkeypatch):
 # --- pages and URLs
 
 
+def test_candidates_go_only_to_blocks_that_ask_for_their_cell(spark):
+    placed = table(spark, [(i, [i], i % 3) for i in range(30)], "vec_id long, q array<int>, cell int")
+    routed = table(spark, [(1, 0, 1, 0), (2, 0, 1, 0), (3, 0, 1, 2), (4, 1, 2, 5)], "query_id long, cell int, chunks int, block int")
+    got = [(r.vec_id, r.block) for r in voronoi.deal(placed, routed).collect()]
+    assert sorted(got) == sorted([(i, b) for i in range(0, 30, 3) for b in (0, 2)] + [(i, 5) for i in range(1, 30, 3)])
+
+
 def test_main_text():
     page = "<html><head><title>no</title><style>x{}</style></head><body><nav><ul><li><a href='/'>menu words here</a></li></ul></nav><div class=\"ad\">buy this thing now please</div><article><h1>Head  line</h1><p>one <b>two</b> &amp; thr<i>ee</i><br>four</p><aside>side words</aside><script>var t='</p>'</script><p> last\npart </p></article><div id=comments><p>first comment of many words here</p></div><footer>foot &copy;</footer></body></html>"
     learned = html_text.Weights([page] * 20)
