@@ -11,11 +11,14 @@ doc_id, and a document lies whole in one block.
 
 from __future__ import annotations
 
-import struct
 import zlib
+from array import array
+from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,8 +30,11 @@ from .text import slices, small_batches
 BITS, RANKED = 8, 512
 #: Ids of a block, about (a longer document makes a longer block).
 BLOCK_IDS = 1 << 20
-#: Words and letter runs that a worker keeps at most, the longest it keeps, and the bytes of text it encodes at once.
-TABLE, STEMS, LONGEST, PART_BYTES = 120_000, 250_000, 64, 1 << 20
+#: Words and letter runs that one generation of a worker's tables keeps, the longest kept, and the bytes of text encoded at once.
+TABLE, STEMS, LONGEST, PART_BYTES = 150_000, 150_000, 64, 1 << 21
+#: An id that no model has; stands for a word whose ids depend on the text around it.
+UNUSED = 2**32 - 1
+WHOLE = array("I", [UNUSED]).tobytes()
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 END = 0
 #: How byte-level models write bytes: printable ones of Latin-1 as themselves, the others in order from U+0100 on.
@@ -99,13 +105,38 @@ class Codes:
         return out
 
 
+class Recent:
+    """A table of two generations: what is asked for again moves to the younger; when that is full, the older goes."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def look_up(self, keys: list[str], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """Values of distinct keys; ``make`` gives those of unknown ones."""
+        out = list(map(self.young.get, keys))
+        missing = [i for i, v in enumerate(out) if v is None]
+        if not missing:
+            return out
+        asked = [keys[i] for i in missing]
+        again = list(map(self.old.get, asked))
+        made = iter(make([k for k, v in zip(asked, again) if v is None]))
+        values = [next(made) if v is None else v for v in again]
+        for i, v in zip(missing, values):
+            out[i] = v
+        self.young.update((k, v) for k, v in zip(asked, values) if len(k) <= LONGEST)
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        return out
+
+
 class Encoder:
-    """Ids of whole texts from the tokenizers library, each distinct chunk encoded once.
+    """Ids of whole texts from the tokenizers library, each distinct word encoded once while the tables hold it.
 
     The model's pattern never takes a blank into a piece unless the blank begins it, or white space ends there;
     and a line feed between other characters is a piece of its own. So a text may be cut before each blank that
     has other than white space on one side, and around single line feeds; its ids are those of the chunks.
-    New words are encoded many at a time, as lines of one text, and the ids cut at the line feeds.
     """
 
     LINES = 512
@@ -116,10 +147,10 @@ class Encoder:
         self.lib.no_padding()
         self.feed = self.lib.encode("\n", add_special_tokens=False).ids
         self.line = self._bytes(self.feed)
-        #: Ids of words, with the blank or the line feed before them; None: white space in or about it needs the whole text.
-        self.words: dict[str, bytes | None] = {}
-        self.stems: dict[str, dict[str, bytes]] = {"": {}, " ": {}}  # letters alone, behind a blank or not
-        self.tails: dict[str, bytes] = {}  # marks behind letters
+        #: Ids of words, with the blank or the line feed before them; WHOLE: white space in or about it needs the whole text.
+        self.words = Recent(TABLE)
+        self.stems = {"": Recent(STEMS), " ": Recent(STEMS)}  # letters alone, behind a blank or not
+        self.tails = Recent(TABLE // 10)  # marks behind letters
         # a check that the model reads bytes as SHOWN has them
         tried = ["a", "é", "ß中", "ization", "İ"]
         self.direct = True
@@ -127,7 +158,7 @@ class Encoder:
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return array("I", ids).tobytes()
 
     def chunks(self, text: str) -> list[str]:
         """Chunks of any text, each with the blank before it."""
@@ -158,66 +189,74 @@ class Encoder:
         """Ids of runs of letters: each is one piece of the pattern, so the library's model takes it as it stands."""
         if not self.direct:
             return self._lines(before, stems)
-        tokens, out = self.lib.model.tokenize, []
-        for s in stems:
-            out.append(self._bytes([t.id for t in tokens((before + s).encode().decode("latin-1").translate(SHOWN))]))
-        return out
-
-    def _learn(self, new: list[str]) -> None:
-        """Ids of new words; letters and the marks behind them are pieces of their own, so each is encoded once."""
-        table, tails = self.words, self.tails
-        if len(tails) > TABLE // 10:
-            tails.clear()
-        for before, known, begin, group in (
-            ("", self.stems[""], self.line, [w for w in new if w[:1] == "\n"]),
-            (" ", self.stems[" "], b"", [w for w in new if w[:1] != "\n"]),
+        shown = lambda s: s.encode().decode("latin-1").translate(SHOWN)
+        tokens, begin = self.lib.model.tokenize, shown(before)
+        return [array("I", [t.id for t in tokens(begin + (s if s.isascii() else shown(s)))]).tobytes() for s in stems]
+
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """Ids of words; letters and the marks behind them are pieces of their own, so each is encoded once."""
+        out: dict[str, bytes] = {}
+        for before, begin, group in (
+            ("", self.line, [w for w in new if w[:1] == "\n"]),
+            (" ", b"", [w for w in new if w[:1] != "\n"]),
         ):
             bodies = [w[1:] for w in group] if begin else group
             stems = [w.rstrip(MARKS) for w in bodies]
-            fresh = [s for s in set(stems).difference(known) if s.isalpha()]
-            known.update(zip(fresh, self._pieces(before, fresh)))
+            letters = list({s for s in stems if s.isalpha()})
+            ids_of = dict(zip(letters, self.stems[before].look_up(letters, partial(self._pieces, before))))
+            ends = list({b[len(s) :] for b, s in zip(bodies, stems) if len(s) < len(b) and s in ids_of})
+            tail_of = dict(zip(ends, self.tails.look_up(ends, partial(self._lines, ""))))
             rest = []
             for w, body, s in zip(group, bodies, stems):
-                ids = known.get(s)
+                ids = ids_of.get(s)
                 if ids is None:
                     if body.split() == [body]:
                         rest.append(body)
                     else:
-                        table[w] = None
+                        out[w] = WHOLE
                 elif len(s) == len(body):
-                    table[w] = begin + ids
+                    out[w] = begin + ids
                 else:
-                    tail = body[len(s) :]
-                    if tail not in tails:
-                        tails[tail] = self._lines("", [tail])[0]
-                    table[w] = begin + ids + tails[tail]
+                    out[w] = begin + ids + tail_of[body[len(s) :]]
             mark = "\n" if begin else ""
-            table.update((mark + w, begin + ids) for w, ids in zip(rest, self._lines(before, rest)))
-            self._forget(known, fresh, STEMS)
-
-    @staticmethod
-    def _forget(table: dict, new: list[str], most: int) -> None:
-        """Takes long keys out again, and all new ones once the table is full."""
-        full = len(table) > most
-        for k in new:
-            if full or len(k) > LONGEST:
-                del table[k]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+            out.update((mark + w, begin + ids) for w, ids in zip(rest, self._lines(before, rest)))
+        return [out[w] for w in new]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): unsigned 32-bit ids of all texts in a row (null: none), and where each text's end."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         # words, each with the line feed before it, if there is one; a text begins like a line
-        split = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
-        new = list(set().union(*split).difference(self.words))
-        self._learn(new)
-        table, begin, out = self.words, len(self.line), []
-        for text, own in zip(texts, split):
-            got = [table[w] for w in own]
-            if None in got:
-                out.append(b"".join([self._bytes(e.ids) for e in self.lib.encode_batch(self.chunks(text), add_special_tokens=False)]))
-            else:
-                out.append(b"".join(got)[begin:])
-        self._forget(table, new, TABLE)
-        return out
+        feed, nothing = (pa.scalar(x, pa.large_string()) for x in ("\n", ""))
+        split = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(nothing, texts, feed), "\n", " \n"), " ")
+        words = split.flatten().dictionary_encode()
+        known = self.words.look_up(words.dictionary.to_numpy(zero_copy_only=False).tolist(), self._learn)
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        values = np.frombuffer(b"".join(known), "<u4")
+        begin = np.cumsum(size) - size
+        whole = np.zeros(len(known), bool)
+        whole[size > 0] = values[begin[size > 0]] == UNUSED
+        at = words.indices.to_numpy()
+        n = split.value_lengths().to_numpy().astype(np.int64) - 1  # the first is what stands before the added line feed
+        first = np.cumsum(n) - n
+        keep = np.ones(len(at), bool)
+        keep[first + np.arange(len(n))] = False
+        at = at[keep]
+        src, took = begin[at], size[at]
+        src[first] += len(self.feed)
+        took[first] = np.maximum(took[first] - len(self.feed), 0)
+        sums = np.cumsum(took)
+        ids = values[np.repeat(src - (sums - took), took) + np.arange(sums[-1])]
+        ends = sums[first + n - 1]
+        odd = np.flatnonzero(np.add.reduceat(whole[at], first, dtype=np.int64))
+        if len(odd):
+            parts = np.split(ids, ends[:-1])
+            for i in odd.tolist():
+                own = [e.ids for e in self.lib.encode_batch(self.chunks(texts[i].as_py()), add_special_tokens=False)]
+                parts[i] = np.concatenate([np.array(x, np.uint32) for x in own])
+            ids, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+        return ids, ends
 
 
 _encoders: dict[int, Encoder] = {}
@@ -235,29 +274,32 @@ def write(docs: DataFrame, tokenizer_path: str, scratch: Scratch, end: int = END
     with open(tokenizer_path, encoding="utf-8") as f:
         model = f.read()
     sent, key = docs.sparkSession.sparkContext.broadcast(model), hash(model)
-    tail = np.array([end], "<u4").tobytes()
 
     def run(batches):
         own, part = _encoder(key, sent.value), TaskContext.get().partitionId()
-        held, ids, held_n, block = [], [], 0, 0
+        held, ids, counts, n, block = [], [], [], 0, 0
 
         def row():
-            counts = [len(x) // 4 for x in held]
-            payload = pack(np.frombuffer(b"".join(held), "<u4"))
+            payload = pack(np.concatenate(held))
             return pa.RecordBatch.from_arrays(
-                [pa.array([x], t) for x, t in ((part, pa.int32()), (block, pa.int32()), (ids, pa.list_(pa.int64())), (counts, pa.list_(pa.int64())), (payload, pa.binary()))],
+                [pa.array([x], t) for x, t in ((part, pa.int32()), (block, pa.int32()), (np.concatenate(ids), pa.list_(pa.int64())), (np.concatenate(counts), pa.list_(pa.int64())), (payload, pa.binary()))],
                 ["part", "block", "doc_ids", "counts", "payload"],
             )
 
         for batch in batches:
             for cut in slices(batch, "text", PART_BYTES):
-                for i, x in zip(cut.column(0).to_pylist(), own.encode([t or "" for t in cut.column(1).to_pylist()])):
-                    ids.append(i)
-                    held.append(x + tail)
-                    held_n += len(x) // 4 + 1
-                    if held_n >= BLOCK_IDS:
+                got, ends = own.encode(cut.column(1))
+                got = np.insert(got, ends, end)
+                ends, doc, at, taken = ends + np.arange(1, len(ends) + 1), cut.column(0).to_pylist(), 0, 0
+                while at < len(ends):  # a block takes the document that fills it whole
+                    to = min(len(ends), int(np.searchsorted(ends, taken + BLOCK_IDS - n)) + 1)
+                    held.append(got[taken : ends[to - 1]])
+                    ids.append(np.array(doc[at:to], object))
+                    counts.append(np.diff(ends[at:to], prepend=taken))
+                    n, at, taken = n + len(held[-1]), to, int(ends[to - 1])
+                    if n >= BLOCK_IDS:
                         yield row()
-                        held, ids, held_n, block = [], [], 0, block + 1
+                        held, ids, counts, n, block = [], [], [], 0, block + 1
         if held:
             yield row()
 
