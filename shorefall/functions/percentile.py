@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 ACCURACY = 10_000
 
 
-def exact_percentiles(df: DataFrame, values: list[Column], q: float) -> list[float | None]:
-    """The q-th percentile of each column, nulls left out; None for a column without values.
+def exact_percentiles(df: DataFrame, values: list[Column], q: float | list[float]) -> list[float | None]:
+    """The q-th percentile (or one of its own) of each column, nulls left out; None for a column without values.
 
     Approximate percentiles bracket the place; values below the bracket are counted, and the exact aggregate
     sees the bracket alone. A bracket that misses the place is widened to the column's end on that side.
@@ -20,8 +20,8 @@ def exact_percentiles(df: DataFrame, values: list[Column], q: float) -> list[flo
     if not values:
         return []
     cols = [v.cast("double") for v in values]
-    low, high = max(0.0, q - 2 / ACCURACY), min(1.0, q + 2 / ACCURACY)
-    near = df.agg(*[F.percentile_approx(c, [low, high], ACCURACY) for c in cols]).first()
+    qs = q if isinstance(q, list) else [q] * len(cols)
+    near = df.agg(*[F.percentile_approx(c, [max(0.0, p - 2 / ACCURACY), min(1.0, p + 2 / ACCURACY)], ACCURACY) for c, p in zip(cols, qs)]).first()
     ends = [(b[0], b[1]) if b else (None, None) for b in near]
     for _ in range(3):
         counts, exact = [], []
@@ -33,7 +33,7 @@ def exact_percentiles(df: DataFrame, values: list[Column], q: float) -> list[flo
         out, again = [], False
         for i, (c, (a, b)) in enumerate(zip(cols, ends)):
             n, below, inside = got[3 * i : 3 * i + 3]
-            place = q * (n - 1)
+            place = qs[i] * (n - 1)
             if a is None or not n:
                 exact.append(F.lit(None).cast("double"))
                 continue

@@ -32,14 +32,13 @@ def axis_overlap(spark: SparkSession, src0: float, dsrc: float, nsrc: int, dst0:
 
 
 def axis_bilinear(spark: SparkSession, dst0: float, ddst: float, ndst: int, src0: float, dsrc: float, nsrc: int) -> DataFrame:
-    """(dst, src, w): the two source lines whose centres enclose each destination line's centre, as far as they exist."""
+    """(dst, src, w): for each destination line the first of the two source lines whose centres enclose its centre, and the second's weight.
+
+    src goes from -1 to nsrc - 1; lines beyond have no row.
+    """
     u = (F.lit(dst0) + F.lit(ddst) * (F.col("id") + 0.5) - F.lit(src0)) / F.lit(dsrc) - 0.5
-    lines = spark.range(ndst).select(F.col("id").cast("int").alias("dst"), F.floor(u).cast("int").alias("i"), u.alias("u"))
-    near = F.inline(F.array(
-        F.struct(F.col("i").alias("src"), (1 - (F.col("u") - F.col("i"))).alias("w")),
-        F.struct((F.col("i") + 1).alias("src"), (F.col("u") - F.col("i")).alias("w")),
-    ))
-    return lines.select("dst", near).where(F.col("src").between(0, nsrc - 1))
+    lines = spark.range(ndst).select(F.col("id").cast("int").alias("dst"), F.floor(u).cast("int").alias("src"), (u - F.floor(u)).alias("w"))
+    return lines.where(F.col("src").between(-1, nsrc - 1))
 
 
 def _axes(spark: SparkSession, src: GridSpec, dst: GridSpec) -> tuple[DataFrame, DataFrame]:
@@ -49,18 +48,22 @@ def _axes(spark: SparkSession, src: GridSpec, dst: GridSpec) -> tuple[DataFrame,
     return x, y
 
 
-def overlap_fraction(mask: DataFrame, src: GridSpec, dst: GridSpec, by: tuple[str, ...] = (), value: Column | None = None, denominator: str = "contributing") -> DataFrame:
+def overlap_fraction(mask: DataFrame, src: GridSpec, dst: GridSpec, by: tuple[str, ...] = (), value: Column | None = None, denominator: str = "contributing", each: Column | None = None) -> DataFrame:
     """(*by, drow, dcol, fraction): area-weighted mean of a mask's true cells (or of ``value``) over coarse cells.
 
     mask: true cells only (row, col). denominator "contributing" divides by the source cells that cover a
     coarse cell, so that one partly off the source grid is not diluted; "full" by the whole coarse cell.
     Partial sums by coarse cell are made before the shuffle. Coarse cells without a true cell have no row.
+    each: an array of the cases that the cell belongs to; the result has one more column ``case``. Cells are
+    multiplied by their cases only behind the joins with the axes.
     """
     spark = mask.sparkSession
     x, y = _axes(spark, src, dst)
     x_all, y_all = x.groupBy("dcol").agg(F.sum("wx").alias("sx")), y.groupBy("drow").agg(F.sum("wy").alias("sy"))
     cells = mask.join(small(x, 2 * src.ncols), "col").join(small(y, 2 * src.nrows), "row")
     weight = F.col("wx") * F.col("wy") * (F.lit(1.0) if value is None else value)
+    if each is not None:
+        cells, by = cells.withColumn("case", F.explode(each)), (*by, "case")
     sums = cells.groupBy(*by, "drow", "dcol").agg(F.sum(weight).alias("w"))
     if denominator == "contributing":
         sums = sums.join(small(x_all, dst.ncols), "dcol").join(small(y_all, dst.nrows), "drow")
@@ -70,14 +73,15 @@ def overlap_fraction(mask: DataFrame, src: GridSpec, dst: GridSpec, by: tuple[st
     return sums.select(*by, "drow", "dcol", F.least(F.greatest(fraction, F.lit(0.0)), F.lit(1.0)).alias("fraction"))
 
 
-def population_overlap(mask: DataFrame, src: GridSpec, population: DataFrame, pop_grid: GridSpec, by: tuple[str, ...] = (), match: tuple[str, ...] = ()) -> DataFrame:
-    """(*by, population): sum of population x covered fraction; missing and negative population counts as none.
+def population_overlap(mask: DataFrame, src: GridSpec, population: DataFrame, pop_grid: GridSpec, variants: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, *variants, population): sum of population x covered fraction; missing and negative population counts as none.
 
-    population: prow, pcol, population and the columns of ``match``, by which it is joined too.
+    population: prow, pcol, population and the columns of ``variants``; the mask is resampled once for all of them.
+    by: columns that tell masks apart.
     """
     fraction = overlap_fraction(mask, src, pop_grid, by)
     people = population.where("population >= 0 and not isnan(population)").withColumnsRenamed({"prow": "drow", "pcol": "dcol"})
-    return fraction.join(people, ["drow", "dcol", *match]).groupBy(*by).agg(F.sum(F.col("population") * F.col("fraction")).alias("population"))
+    return fraction.join(people, ["drow", "dcol"]).groupBy(*by, *variants).agg(F.sum(F.col("population") * F.col("fraction")).alias("population"))
 
 
 def class_fraction(classes: DataFrame, class_value: int, src: GridSpec, dst: GridSpec) -> DataFrame:
@@ -103,17 +107,27 @@ def density(population: DataFrame, pop_grid: GridSpec) -> DataFrame:
 
 
 def density_on_grid(population: DataFrame, pop_grid: GridSpec, grid: GridSpec, cells: DataFrame) -> DataFrame:
-    """Columns of ``cells`` and density: bilinear in the enclosing centres, weights renormalised over those that exist; 0 where none does."""
+    """Columns of ``cells`` and density: bilinear in the enclosing centres, weights renormalised over those that exist; 0 where none does.
+
+    The coarse grid is turned into squares of four neighbouring densities first, so that a cell looks one row up.
+    """
     grid.check_same_crs(pop_grid)
     spark = cells.sparkSession
-    x = axis_bilinear(spark, grid.x0, grid.dx, grid.ncols, pop_grid.x0, pop_grid.dx, pop_grid.ncols).toDF("col", "pcol", "wx")
-    y = axis_bilinear(spark, grid.y0, grid.dy, grid.nrows, pop_grid.y0, pop_grid.dy, pop_grid.nrows).toDF("row", "prow", "wy")
-    near = cells.select("row", "col").join(small(x, 2 * grid.ncols), "col").join(small(y, 2 * grid.nrows), "row")
-    people = density(population, pop_grid)
-    near = near.join(small(people, pop_grid.nrows * pop_grid.ncols), ["prow", "pcol"])
-    weight = F.col("wx") * F.col("wy")
-    mean = near.groupBy("row", "col").agg((F.try_divide(F.sum(weight * F.col("density")), F.sum(weight))).alias("density"))
-    return cells.join(mean, ["row", "col"], "left").withColumn("density", F.greatest(F.coalesce("density", F.lit(0.0)), F.lit(0.0)).cast("float"))
+    x = axis_bilinear(spark, grid.x0, grid.dx, grid.ncols, pop_grid.x0, pop_grid.dx, pop_grid.ncols).toDF("col", "__j", "__wx")
+    y = axis_bilinear(spark, grid.y0, grid.dy, grid.nrows, pop_grid.y0, pop_grid.dy, pop_grid.nrows).toDF("row", "__i", "__wy")
+    corners = [(0, 0), (0, 1), (1, 0), (1, 1)]
+    corner = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in corners])).alias("at")
+    spread = density(population, pop_grid).select("prow", "pcol", "density", corner)
+    square = spread.groupBy((F.col("prow") - F.col("at.a")).alias("__i"), (F.col("pcol") - F.col("at.b")).alias("__j")).agg(
+        *[F.max(F.when((F.col("at.a") == a) & (F.col("at.b") == b), F.col("density"))).alias(f"__d{a}{b}") for a, b in corners]
+    )
+    found = cells.join(small(x, grid.ncols), "col", "left").join(small(y, grid.nrows), "row", "left")
+    found = found.join(small(square, (pop_grid.nrows + 1) * (pop_grid.ncols + 1)), ["__i", "__j"], "left")
+    part = lambda a, k: F.col(k) if a else 1 - F.col(k)
+    weights = [(F.col(f"__d{a}{b}"), part(a, "__wy") * part(b, "__wx")) for a, b in corners]
+    there = lambda v: sum((F.when(d.isNotNull(), v(d, w)).otherwise(0.0) for d, w in weights), F.lit(0.0))
+    mean = F.try_divide(there(lambda d, w: w * d), there(lambda d, w: w))
+    return found.select(*cells.columns, F.greatest(F.coalesce(mean, F.lit(0.0)), F.lit(0.0)).cast("float").alias("density"))
 
 
 def masked_density(dense: DataFrame, flood: DataFrame) -> DataFrame:

@@ -181,7 +181,7 @@ def _shares(spark, d):
     built = areas.weighted_area(frac, "fraction", grid, total=F.col("dem_valid_land"), common=F.col("common_analysis_land"))
     pop = fx.population(spark, d).where("pop_scenario = 'SSP2' and year = 2020").drop("pop_scenario", "year")
     sides = marked.select("row", "col", F.explode(F.array_compact(F.array(F.when(F.col("dem_valid_land"), F.lit("total")), F.when(F.col("common_analysis_land"), F.lit("common"))))).alias("side"))
-    people = resample.population_overlap(sides, grid, pop, pg, ("side",)).agg(*[F.coalesce(F.sum(F.when(F.col("side") == s, F.col("population"))), F.lit(0.0)).alias(s) for s in ("total", "common")])
+    people = resample.population_overlap(sides, grid, pop, pg, by=("side",)).agg(*[F.coalesce(F.sum(F.when(F.col("side") == s, F.col("population"))), F.lit(0.0)).alias(s) for s in ("total", "common")])
     return areas.representativeness(whole, built, people)
 
 
@@ -434,10 +434,7 @@ def j1(spark, d):
 select pop_scenario, year, round(sum(population * fraction), 4) as population from f join pop on prow = drow and pcol = dcol where population >= 0 group by 1, 2""")
 def j2(spark, d):
     mask = fx.cells(spark, d).where("common").select("row", "col")
-    pop = fx.population(spark, d)
-    keys = pop.select("pop_scenario", "year").distinct()
-    out = resample.population_overlap(mask.crossJoin(F.broadcast(keys)), fx.grid_of(spark, d), pop, fx.pop_grid_of(spark, d), ("pop_scenario", "year"), ("pop_scenario", "year"))
-    return rounded(out, 4)
+    return rounded(resample.population_overlap(mask, fx.grid_of(spark, d), fx.population(spark, d), fx.pop_grid_of(spark, d), ("pop_scenario", "year")), 4)
 
 
 @query("j3_class_fraction", f"with {sql.CELLS}, {sql.TO_CELLS}, m as (select * from ({sql.class_tile()}) where class = 50), f as ({sql.fraction('m', 'k')}) select drow as row, dcol as col, round(fraction, 6) as fraction from f")
@@ -679,7 +676,7 @@ def r1(spark, d):
 
 @query("r2_population_norm", PRIORITY + " select row, col, round(p::double, 4) as p from norm")
 def r2(spark, d):
-    cells, log = _dense(spark, d), F.log1p(F.col("density").cast("double")).cast("float")
+    cells, log = Scratch(spark).save(_dense(spark, d)), F.log1p(F.col("density").cast("double")).cast("float")
     return rounded(cells.select("row", "col", pr.normalise_p(log, pr.scale_of(cells, log, 0.99, F.col("common"))).alias("p")), 4)
 
 
@@ -694,10 +691,10 @@ def r4(spark, d):
     return rounded(found.select("row", "col", F.col("priority")[0].alias("priority")), 4)
 
 
-@query("r5_priority_cases", PRIORITY + " select k::int as k, row, col, round(priority::double, 4) as priority from pri where priority > 0.0001")
+@query("r5_priority_cases", PRIORITY + """ select k::int as k, row, col, round(coalesce(priority::double, 0), 4) as priority
+  from (select distinct row, col from pri) cross join nine left join pri using (k, row, col)""")
 def r5(spark, d):
-    found = _priority(spark, d)[0].select("row", "col", F.posexplode("priority").alias("k", "priority"))
-    return rounded(found.where("priority > 0.0001"), 4)
+    return rounded(_priority(spark, d)[0].select("row", "col", F.posexplode("priority").alias("k", "priority")), 4)
 
 
 @query("r6_top_decile", PRIORITY + " select k::int as k, row, col from hot")

@@ -27,10 +27,14 @@ def f32(v: float) -> Column:
     return F.lit(v).cast("float")
 
 
+def f32_of(v: float | None) -> float:
+    """Rounded to a 32-bit float; 0 for none."""
+    return 0.0 if v is None else struct.unpack("f", struct.pack("f", v))[0]
+
+
 def scale_of(cells: DataFrame, value: Column, q: float, domain: Column) -> float:
     """Exact percentile (linear interpolation) over a domain, as a 32-bit float; 0 for an empty one."""
-    found = exact_percentiles(cells.where(domain), [value], q)[0]
-    return 0.0 if found is None else struct.unpack("f", struct.pack("f", found))[0]
+    return f32_of(exact_percentiles(cells.where(domain), [value], q)[0])
 
 
 def normalise_p(value: Column, scale: float) -> Column:
@@ -58,7 +62,9 @@ def priority_cases(cells: DataFrame, grid: GridSpec, level: float, cases=None, *
     cases = cases or cases_of(level)
     common = F.col("common")
     log_pop = F.log1p(F.col("density").cast("double")).cast("float")
-    scales = {"rate_p95": scale_of(cells, F.col("rate_clean"), 0.95, common), "pop_log_p99": scale_of(cells, log_pop, 0.99, common)}
+    cells = Scratch(cells.sparkSession).save(cells.select("row", "col", "dem", "land", "common", "rate_clean", "density"))  # read by each pass below
+    found = exact_percentiles(cells.where(common), [F.col("rate_clean"), log_pop], [0.95, 0.99])
+    scales = {"rate_p95": f32_of(found[0]), "pop_log_p99": f32_of(found[1])}
     surfaces = {f"dem_{d}": F.col("dem") + f32(d) for d, _, _ in cases}
     floods = [Case(f"dem_{d}", h + REACH_M) for d, _, h in cases]
     flood = connected_flood(cells, grid, surfaces, floods, carry=("common", "rate_clean", "density", "dem"), **how).where(common)
@@ -70,7 +76,7 @@ def priority_cases(cells: DataFrame, grid: GridSpec, level: float, cases=None, *
 def cutoffs(priority: DataFrame, n: int) -> list[float]:
     """Each case's 90th percentile of positive values, 0 where there is none."""
     found = exact_percentiles(priority, [F.when(F.col("priority")[k] > 0, F.col("priority")[k]) for k in range(n)], 0.9)
-    return [0.0 if v is None else struct.unpack("f", struct.pack("f", v))[0] for v in found]
+    return [f32_of(v) for v in found]
 
 
 def hot_flags(priority: DataFrame, cut: list[float]) -> DataFrame:

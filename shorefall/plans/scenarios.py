@@ -14,6 +14,7 @@ from ..grid import GridSpec, row_area_table
 from ..operators.areas import mask_area
 from ..operators.flood import Case, connected_flood
 from ..operators.resample import overlap_fraction, small
+from ..scratch import Scratch
 
 TERRAIN_OFFSETS = (-1.0, -0.5, 0.0, 0.5, 1.0)
 
@@ -39,9 +40,15 @@ class FloodPlan:
     def names(self, spark, kinds: str) -> DataFrame:
         return spark.createDataFrame([(i, *d.values()) for i, (_, _, d) in enumerate(self.pairs)], f"pair int, {kinds}")
 
+    def flood(self, cells: DataFrame, grid: GridSpec, **how) -> DataFrame:
+        """(row, col, hits) of flooded cells of the common domain."""
+        return connected_flood(cells, grid, self.surfaces, self.cases, carry=("common",), **how).where("common").select("row", "col", "hits")
+
     def floods(self, cells: DataFrame, grid: GridSpec, **how) -> DataFrame:
         """(row, col, baseline, adjusted): for each cell of the common domain, the pairs whose baseline and adjusted flood hold it."""
-        flood = connected_flood(cells, grid, self.surfaces, self.cases, carry=("common",), **how).where("common")
+        return self.paired(self.flood(cells, grid, **how))
+
+    def paired(self, flood: DataFrame) -> DataFrame:
         base, adjusted = {}, {}
         for i, (b, a, _) in enumerate(self.pairs):
             base.setdefault(b, []).append(i)
@@ -88,21 +95,21 @@ def main_scenarios(cells: DataFrame, grid: GridSpec, scenarios: list, population
     """
     spark = cells.sparkSession
     plan = main_plan(scenarios)
-    floods = plan.floods(cells, grid, **how)
+    flood = Scratch(spark).save(plan.flood(cells, grid, **how))  # read for areas and for people
     names = plan.names(spark, "scenario string, year int, added_water_m double, water_level_egm2008_m double, persistence string")
     names = names.withColumn("pop_scenario", pop_scenario(F.col("scenario")))
-    areas = plan.areas(floods, grid)
-    # people by distinct flood: pairs of one scenario and year share a population, so masks are summed by pair
-    both = floods.select("row", "col", F.explode(F.array(F.struct(F.lit("b").alias("side"), F.col("baseline").alias("ps")), F.struct(F.lit("a").alias("side"), F.col("adjusted").alias("ps")))).alias("m"))
-    masks = both.select("row", "col", F.col("m.side").alias("side"), F.explode("m.ps").alias("pair"))
-    keyed = F.broadcast(names.select("pair", "pop_scenario", F.col("year").alias("pop_year")))
-    people = population.withColumnRenamed("year", "pop_year")
-
-    fraction = overlap_fraction(masks, grid, pop_grid, ("pair", "side")).join(keyed, "pair")
-    valid = people.where("population >= 0 and not isnan(population)").withColumnsRenamed({"prow": "drow", "pcol": "dcol"})
-    exposed = fraction.join(valid, ["pop_scenario", "pop_year", "drow", "dcol"]).groupBy("pair").agg(
-        F.sum(F.when(F.col("side") == "b", F.col("population") * F.col("fraction")).otherwise(0.0)).alias("baseline_population"),
-        F.sum(F.when(F.col("side") == "a", F.col("population") * F.col("fraction")).otherwise(0.0)).alias("subsidence_adjusted_population"),
+    areas = plan.areas(plan.paired(flood), grid)
+    # people by distinct flood: a case is resampled once, whatever pairs it is part of
+    fraction = overlap_fraction(flood, grid, pop_grid, each=F.col("hits"))
+    valid = population.where("population >= 0 and not isnan(population)").withColumnsRenamed({"prow": "drow", "pcol": "dcol", "year": "pop_year"})
+    sides = [(i, k, side) for i, (b, a, _) in enumerate(plan.pairs) for k, side in ((b, "b"), (a, "a"))]
+    keyed = spark.createDataFrame(sides, "pair int, case int, side string").join(names.select("pair", "pop_scenario", F.col("year").alias("pop_year")), "pair")
+    asked = F.broadcast(keyed.select("case", "pop_scenario", "pop_year").distinct())  # one row a case and population
+    people = fraction.join(asked, "case").join(valid, ["pop_scenario", "pop_year", "drow", "dcol"])
+    people = people.groupBy("case", "pop_scenario", "pop_year").agg(F.sum(F.col("population") * F.col("fraction")).alias("people"))
+    exposed = keyed.join(people, ["case", "pop_scenario", "pop_year"]).groupBy("pair").agg(
+        F.sum(F.when(F.col("side") == "b", F.col("people")).otherwise(0.0)).alias("baseline_population"),
+        F.sum(F.when(F.col("side") == "a", F.col("people")).otherwise(0.0)).alias("subsidence_adjusted_population"),
     )
     common = mask_area(cells.where("common"), grid).select(F.col("area_km2").alias("common_domain_area_km2"))
     out = names.join(areas, "pair").join(exposed, "pair", "left").fillna(0.0, ["baseline_population", "subsidence_adjusted_population"]).crossJoin(common)

@@ -41,14 +41,27 @@ def draw(seed: int, site: Column, rep: Column, i: Column, n: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % n
 
 
+#: Replicates whose draws are counted beside each other in one row.
+BESIDE = 25
+
+
 def bootstrap_rmse(resid: DataFrame, n_rep: int = 20, seed: int = 1) -> DataFrame:
     """(site, rmse_low, rmse_high): 2.5 and 97.5 percentiles of the RMSE over resampled residuals.
 
-    resid: site, i (0 to n - 1 within a site), e.
+    resid: site, i (0 to n - 1 within a site), e. A residual's draws are counted for BESIDE replicates in one row
+    where they are drawn, so what is shuffled and joined has a row for each residual and BESIDE replicates.
     """
     size = resid.groupBy("site").agg(F.count("*").alias("n"))
-    draws = size.select("site", "n", F.explode(F.sequence(F.lit(1), F.lit(n_rep))).alias("rep"))
-    draws = draws.select("site", "rep", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
-    picked = draws.select("site", "rep", draw(seed, F.col("site"), F.col("rep"), F.col("k"), F.col("n")).alias("i"))
-    each = picked.join(resid, ["site", "i"]).groupBy("site", "rep").agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"))
+    blocks = range(-(-n_rep // BESIDE))
+    block = F.explode(F.array(*[F.lit(b) for b in blocks])).alias("block")
+    drawn = size.select("site", "n", block).select("site", "n", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
+    rep = F.explode(F.sequence(F.col("block") * BESIDE + 1, F.least((F.col("block") + 1) * BESIDE, F.lit(n_rep)))).alias("rep")
+    picked = drawn.select("site", "n", "block", "k", rep).select("site", "block", "rep", draw(seed, F.col("site"), F.col("rep"), F.col("k"), F.col("n")).alias("i"))
+    place = F.col("rep") - F.col("block") * BESIDE
+    beside = min(n_rep, BESIDE)
+    counts = picked.groupBy("site", "block", "i").agg(*[F.count_if(place == j + 1).alias(f"c{j}") for j in range(beside)])
+    squares = resid.select("site", "i", (F.col("e") * F.col("e")).alias("ee"))
+    sums = counts.join(squares, ["site", "i"]).groupBy("site", "block").agg(*[F.sum(F.col(f"c{j}") * F.col("ee")).alias(f"s{j}") for j in range(beside)])
+    each = sums.join(size, "site").select("site", "n", "block", F.posexplode(F.array(*[f"s{j}" for j in range(beside)])).alias("j", "s"))
+    each = each.where(F.col("block") * BESIDE + F.col("j") < n_rep).withColumn("rmse", F.sqrt(F.col("s") / F.col("n")))
     return each.groupBy("site").agg(F.percentile("rmse", 0.025).alias("rmse_low"), F.percentile("rmse", 0.975).alias("rmse_high"))

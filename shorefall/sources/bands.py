@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 MAIN_SCENARIOS, MAIN_YEARS, MAIN_ADDED = ("SSP2-4.5", "SSP5-8.5"), (2050, 2100), (0.0, 1.5, 3.0)
 #: Columns that may name a unit, the first that exists is taken.
 NAME_COLUMNS = ("NAME_2", "NL_NAME_2", "NAME_1", "GID_2", "GID_1")
+#: Rows of a mask that go to one file.
+MASK_ROWS = 512
 SCENARIO_SCHEMA = "scenario string, year int, surge_m double, water_level_used_egm2008_m double"
 
 
@@ -100,8 +102,8 @@ def load_admin_units(
 
 
 def write_masks(masks: DataFrame, path: str) -> None:
-    """True cells of (case_id, label, row, col), one folder for each case and label."""
-    masks.repartition("case_id", "label").write.mode("overwrite").partitionBy("case_id", "label").parquet(path)
+    """True cells of (case_id, label, row, col), one folder for each case and label, a mask in parts by blocks of rows."""
+    masks.repartition("case_id", "label", F.floor(F.col("row") / MASK_ROWS)).write.mode("overwrite").partitionBy("case_id", "label").parquet(path)
 
 
 def layer(cells: DataFrame, value: Column, inside: Column, nodata: float = -9999.0) -> DataFrame:
