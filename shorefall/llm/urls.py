@@ -1,8 +1,8 @@
 """URL verdicts: rules first, then gradient-boosted trees on lexical features.
 
-The trees are fitted on a bounded sample of labelled URLs. Labels of a crawl that has none come from a list of
-host terms; the terms themselves are no feature, so the trees judge by form: lengths, depth, digits, entropy,
-parameters, hyphens, and how often labelled URLs with the same host suffix were blocked.
+The trees are fitted on a bounded sample of labelled URLs: those that a rule decides carry its verdict, and a table
+of labels may add others. The trees judge by form: lengths, depth, digits, entropy, parameters, hyphens, and how
+often labelled URLs with the same host suffix were blocked.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
-#: Host terms (between dots and hyphens) that label a URL as to be blocked.
-BAD_TERMS = ["adult", "bet", "bets", "casino", "cheap", "escort", "gambling", "loans", "pills", "poker", "porn", "sex", "slots", "spam", "viagra", "warez", "xxx"]
 #: Labelled URLs used for fitting at most; half give the suffix statistics, half the trees.
 SAMPLE = 20_000
 TREES, DEPTH, SMOOTH = 15, 3, 4.0
@@ -90,12 +88,18 @@ def featured(urls: DataFrame, rates: DataFrame) -> DataFrame:
     return out.withColumns({k: v.cast("double") for k, v in made.items()})
 
 
-def labelled(urls: DataFrame, terms: list[str] = BAD_TERMS) -> DataFrame:
-    """url, host, path, label of a bounded sample of distinct URLs with a host, the same for the same table."""
+def labelled(urls: DataFrame, rules: list[tuple[str, str, str]] = RULES, labels: DataFrame | None = None) -> DataFrame:
+    """url, host, path, label (1: blocked) of a bounded sample of distinct URLs, the same for the same tables.
+
+    Labels are the rules' verdicts; labels (url, blocked 0 or 1) adds URLs that no rule decides.
+    """
     host, path = split_url(F.col("url"))
-    bad = F.arrays_overlap(F.split(F.col("host"), r"[.\-]"), F.array(*map(F.lit, terms)))
-    rows = urls.select("url", host.alias("host"), path.alias("path")).where("host <> ''").distinct()
-    return bounded(rows, SAMPLE, "url").withColumn("label", bad.cast("double"))
+    _, verdict = rule_of(host, path, rules)
+    decided = urls.select("url", host.alias("host"), path.alias("path"), (verdict == "block").cast("double").alias("label")).where("label is not null")
+    if labels is not None:
+        given = labels.where("url is not null and blocked in (0, 1)").where(verdict.isNull())
+        decided = decided.unionByName(given.select("url", host.alias("host"), path.alias("path"), F.col("blocked").cast("double").alias("label")))
+    return bounded(decided.groupBy("url", "host", "path").agg(F.min("label").alias("label")), SAMPLE, "url")
 
 
 class UrlModel:
@@ -130,9 +134,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, model: Ur
     """page_id, host, path, rule, verdict, p_block of every row: the longest rule's verdict, else the trees'.
 
     A null URL or one without a host is judged by the trees like any other (features of the empty host). An
-    empty table gives an empty one; repeated rows are each judged.
+    empty table gives an empty one; repeated rows are each judged; other columns play no part.
     """
-    model = model or UrlModel(labelled(pages))
+    model = model or UrlModel(labelled(pages, rules))
     host, path = split_url(F.col("url"))
     rows = model.blocked(pages.select("page_id", "url", host.alias("host"), path.alias("path")))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
