@@ -14,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from .sample import bounded
-from .text import ODD, SPACED, Words, buffers, map_slices, mix, small_batches, text_udf
+from .text import ODD, SPACED, Words, buffers, map_slices, mix, small_batches, text_udf, unused
 
-#: Labelled documents used for fitting at most.
-SAMPLE = 8000
+#: Labelled documents used for fitting at most, and features of theirs that come to the driver at most.
+SAMPLE, FEATURES = 8000, 1 << 24
 BUCKETS = 1 << 18
 SMOOTH, COST, EPOCHS = 1.0, 1.0, 12
 THRESHOLD = 0.7
@@ -182,7 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on at most SAMPLE labelled documents (doc_id, text with doc_id, quality), chosen by hash.
 
     Labels that are null or not 0 or 1, and null ids, take no part; of labels that repeat an id the smallest
-    counts, of repeated documents the smallest text.
+    counts, of repeated documents the smallest list of features. Only features come to the driver, FEATURES at most:
+    documents beyond are left out, in the order of the hash.
     """
     given = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = bounded(given, SAMPLE, "doc_id")
@@ -196,20 +198,31 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return part
 
     rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text")  # SAMPLE rows at most
-    found = map_slices(rows, "text", make, "doc_id long, quality int, x array<int>").toArrow().to_pylist()
-    first = {}
-    for r in sorted(found, key=lambda r: (r["doc_id"], r["x"])):
-        first.setdefault(r["doc_id"], r)
-    ordered = sorted(first.values(), key=lambda r: int(mix(np.array([r["doc_id"]], np.int64).view(np.uint64))[0]))
-    return Model([np.array(r["x"], np.int64) for r in ordered], np.array([r["quality"] for r in ordered], np.int64))
-
-
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """Columns of ``docs`` and __score, 0 to 1. Null texts score as the empty text."""
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.save(map_slices(rows, "text", make, "doc_id long, quality int, x array<int>"))
+    place = lambda i: int(mix(np.array([i], np.int64).view(np.uint64))[0])
+    sizes = sorted((place(r.doc_id), r.doc_id, r.n) for r in found.groupBy("doc_id").agg(F.sum(F.size("x")).alias("n")).collect())  # SAMPLE rows at most
+    total = np.cumsum([n for *_, n in sizes])
+    ids = [i for (_, i, _), t in zip(sizes, total.tolist()) if t <= FEATURES]
+    kept = found if len(ids) == len(sizes) else found.where(F.col("doc_id").isin(ids))
+    got = kept.toArrow().combine_chunks()
+    scratch.drop(found)
+    doc, quality, x = (got.column(i) for i in range(3))
+    first: dict[int, tuple[list[int], int]] = {}
+    for i, d in enumerate(doc.to_pylist()):
+        own = (x[i].values.to_numpy(), quality[i].as_py())
+        if d not in first or own[0].tolist() < first[d][0].tolist():
+            first[d] = own
+    ordered = [first[d] for d in sorted(first, key=place)]
+    return Model([v.astype(np.int64) for v, _ in ordered], np.array([y for _, y in ordered], np.int64))
+
+
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """Columns of ``docs`` and ``name``, 0 to 1. Null texts score as the empty text; repeated rows are each scored."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers, twice
     small_batches(docs)
     score = text_udf(lambda: lambda text, _: pa.array(sent.value.score(text)), "double")
-    return docs.withColumn("__score", score(F.col("text"), F.lit(0)))
+    return docs.withColumn(name, score(F.col("text"), F.lit(0)))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -225,10 +238,15 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     model = fit(docs.select("doc_id", "text"), labels.where(~held_out(F.col("doc_id"))))
     out = scored(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (its columns) that the classifier predicts good."""
+    """Rows of ``docs`` (its columns, whatever their names) that the classifier predicts good.
+
+    Null and empty texts are judged as the empty text, repeated rows each; rows with a null id are judged too. An
+    empty table gives an empty one.
+    """
     model = fit(docs.select("doc_id", "text"), labels.where(~held_out(F.col("doc_id"))))
-    return scored(docs, model).where(F.col("__score") >= THRESHOLD).select(docs.columns)
+    (name,) = unused(docs, "score")
+    return scored(docs, model, name).where(F.col(name) >= THRESHOLD).select(docs.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..graph import connected_components
 from ..scratch import Scratch
-from .text import LOWER, map_slices, raw
+from .text import LOWER, map_slices, raw, unused
 
 RADIUS = 3
 #: Rows of one key that are compared at once; a key with more is dealt as pairs of parts of this size.
@@ -98,7 +98,7 @@ def links(fps: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
     """
     masks = covering_masks(radius)
     keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks]))
-    keyed = scratch.save(fps.select("fp", keys.alias("t", "key")))
+    keyed = scratch.save(fps.select("fp", keys.alias("t", "key")))  # read twice
     shared = keyed.groupBy("t", "key").count().where("count > 1")
     parts = F.ceil(F.col("count") / PART).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
@@ -156,12 +156,13 @@ def dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Rows of ``docs`` (its columns alone): one of each class, that with the smallest doc_id.
 
     Of repeated rows with that id one stays (the smallest text, nulls first). Rows with a null doc_id are kept:
-    they can't be named as a class's first.
+    they can't be named as a class's first. An empty table gives an empty one; columns of any name are kept.
     """
+    (nth,) = unused(docs, "nth")
     scratch = Scratch(docs.sparkSession)
     keep = scratch.save(components(docs, radius).where("doc_id = component_id").select("doc_id").distinct())
     named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").select(docs.columns)
     twice = named.groupBy("doc_id").count().where("count > 1").select("doc_id")
     order = Window.partitionBy("doc_id").orderBy("text")
-    again = named.join(twice, "doc_id", "left_semi").withColumn("__nth", F.row_number().over(order)).where("__nth = 1").select(docs.columns)
+    again = named.join(twice, "doc_id", "left_semi").withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(docs.columns)
     return named.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(again).unionByName(docs.where("doc_id is null"))

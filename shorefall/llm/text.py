@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Bytes of text handled at once inside a task (NumPy needs some fifty times that); one longer text is handled alone.
 SLICE_BYTES = 1 << 20
 #: Rows that go to Python at once at most.
-BATCH_ROWS = 2000
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(ODD), -1, 1 << 64))
 
@@ -39,10 +39,15 @@ def release() -> None:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Bounds the Arrow batches of the session, so that long texts do not fill the executors' memory."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    """Bounds the Arrow batches of the session, in rows and bytes, so that long texts do not fill the executors' memory.
+
+    The settings stay, as plans made from ``df`` read them when they run.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        had = str(conf.get(key)).lower()
+        if not had.removesuffix("b").isdigit() or not 0 < int(had.removesuffix("b")) <= most:
+            conf.set(key, str(most))
     return df
 
 
