@@ -7,44 +7,54 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Relative rank error of the bracket's ends; the exact pass sees about this share of the values, four times.
+#: Relative rank error of a bracket's ends; one bracket holds about four times this share of the values.
 ACCURACY = 10_000
+#: Values that the exact aggregate may see; a bracket that holds more is narrowed again.
+MOST = 1_000_000
+
+
+def _brackets(df: DataFrame, cols: list[Column], places: list[float]) -> list[tuple[float, float] | None]:
+    """For each column two values around the relative place; None without values."""
+    around = lambda p: [max(0.0, p - 2 / ACCURACY), min(1.0, p + 2 / ACCURACY)]
+    near = df.agg(*[F.percentile_approx(c, around(p), ACCURACY) for c, p in zip(cols, places)]).first()
+    return [tuple(b) if b else None for b in near]
 
 
 def exact_percentiles(df: DataFrame, values: list[Column], q: float | list[float]) -> list[float | None]:
     """The q-th percentile (or one of its own) of each column, nulls left out; None for a column without values.
 
-    Approximate percentiles bracket the place; values below the bracket are counted, and the exact aggregate
-    sees the bracket alone. A bracket that misses the place is widened to the column's end on that side.
+    Approximate percentiles bracket the place; values below the bracket are counted. A bracket with more than MOST
+    values is bracketed again, so the exact aggregate sees about MOST at any size (of a bracket that ties keep from
+    shrinking it holds the few distinct values). One that misses the place is widened to the column's end there.
     """
     if not values:
         return []
     cols = [v.cast("double") for v in values]
     qs = q if isinstance(q, list) else [q] * len(cols)
-    near = df.agg(*[F.percentile_approx(c, [max(0.0, p - 2 / ACCURACY), min(1.0, p + 2 / ACCURACY)], ACCURACY) for c, p in zip(cols, qs)]).first()
-    ends = [(b[0], b[1]) if b else (None, None) for b in near]
-    for _ in range(3):
-        counts, exact = [], []
-        for c, (a, b) in zip(cols, ends):
-            if a is None:
-                a, b = 0.0, 0.0
-            counts += [F.count(c), F.count_if(c < F.lit(a)), F.count_if((c >= F.lit(a)) & (c <= F.lit(b)))]
-        got = df.agg(*counts).first()
-        out, again = [], False
-        for i, (c, (a, b)) in enumerate(zip(cols, ends)):
-            n, below, inside = got[3 * i : 3 * i + 3]
-            place = qs[i] * (n - 1)
-            if a is None or not n:
-                exact.append(F.lit(None).cast("double"))
-                continue
+    ends = _brackets(df, cols, qs)
+    held = lambda i: (cols[i] >= F.lit(ends[i][0])) & (cols[i] <= F.lit(ends[i][1]))
+    some, settled = [i for i, e in enumerate(ends) if e], set()
+    while some:
+        got = df.agg(*[f for i in some for f in (F.count(cols[i]), F.count_if(cols[i] < F.lit(ends[i][0])), F.count_if(held(i)))]).first()
+        share, again = {}, {}
+        for j, i in enumerate(some):
+            n, below, inside = got[3 * j : 3 * j + 3]
+            (a, b), place = ends[i], qs[i] * (n - 1)
             first, last = math.floor(place) - below, math.ceil(place) - below
             if first < 0 or last >= inside:
-                ends[i] = (-math.inf if first < 0 else a, math.inf if last >= inside else b)
-                again = True
+                again[i] = (-math.inf if first < 0 else a, math.inf if last >= inside else b)
+                settled.add(i)
                 continue
-            share = 0.0 if inside == 1 else (place - below) / (inside - 1)
-            exact.append(F.percentile(F.when((c >= F.lit(a)) & (c <= F.lit(b)), c), F.lit(share)))
+            share[i] = 0.0 if inside == 1 else (place - below) / (inside - 1)
+            if inside > MOST and a < b and i not in settled:
+                again[i] = None
         if not again:
-            out = list(df.agg(*[e.alias(f"p{i}") for i, e in enumerate(exact)]).first())
             break
-    return out
+        narrow = [i for i, e in again.items() if e is None]
+        if narrow:
+            again |= zip(narrow, _brackets(df, [F.when(held(i), cols[i]) for i in narrow], [share[i] for i in narrow]))
+            settled |= {i for i in narrow if again[i] == ends[i]}
+        for i, e in again.items():
+            ends[i] = e
+    exact = [F.percentile(F.when(held(i), cols[i]), F.lit(share[i])) if e else F.lit(None).cast("double") for i, e in enumerate(ends)]
+    return list(df.agg(*[e.alias(f"p{i}") for i, e in enumerate(exact)]).first())

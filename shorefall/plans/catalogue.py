@@ -80,7 +80,7 @@ select scenario, year, added_water_m, water_level_egm2008_m from f where n = 1""
 def s3(spark, d):
     path = f"{Scratch(spark).root}/scenarios"
     rows = _scenario_rows(spark, d).orderBy("o_orderkey").drop("o_orderkey")
-    rows.coalesce(1).write.option("header", True).csv(path)
+    rows.write.option("header", True).csv(path)  # sorted parts, named in order
     return bands.load_scenarios(spark, path)
 
 
@@ -389,11 +389,15 @@ def p15(spark, d):
 # --- connectivity
 
 
-def _floods(spark, d, neighbours):
+#: Cells on a side of the tiles of the queries that put small grids into many tiles.
+SMALL_TILE = 16
+
+
+def _floods(spark, d, neighbours, **how):
     cells, grid = fx.cells(spark, d), fx.grid_of(spark, d)
     surfaces = {"dem": F.col("dem"), "sub": lv.adjusted_surface(F.col("dem"), F.col("sub_2100_clean"))}
     cases = [flood.Case("dem", DEEP, neighbours), flood.Case("dem", BASE, neighbours), flood.Case("sub", DEEP, neighbours), flood.Case("sub", BASE, neighbours)]
-    return flood.hit_cells(flood.connected_flood(cells, grid, surfaces, cases), ["low", "high", "low_sunk", "high_sunk"])
+    return flood.hit_cells(flood.connected_flood(cells, grid, surfaces, cases, **how), ["low", "high", "low_sunk", "high_sunk"])
 
 
 def _flood_sql(n):
@@ -411,6 +415,16 @@ def c2(spark, d):
     return _floods(spark, d, 4)
 
 
+@query("c1_connected_flood_tiles", _flood_sql(8))
+def c1_tiles(spark, d):
+    return _floods(spark, d, 8, tile=SMALL_TILE)
+
+
+@query("c2_connected_flood_4_tiles", _flood_sql(4))
+def c2_tiles(spark, d):
+    return _floods(spark, d, 4, tile=SMALL_TILE)
+
+
 @query("c3_paired_masks", PAIRED + " select row, col, baseline, adjusted, adjusted and not baseline as added from pm")
 def c3(spark, d):
     return flood.paired_masks(_pair(spark, d), 0, 1)
@@ -583,16 +597,35 @@ def a9(spark, d):
     return _areas6(sc.connectivity_sensitivity(fx.cells(spark, d), fx.grid_of(spark, d), fx.SCENARIOS))
 
 
+@query("a9_connectivity_sensitivity_tiles", CONNECTIVITY)
+def a9_tiles(spark, d):
+    return _areas6(sc.connectivity_sensitivity(fx.cells(spark, d), fx.grid_of(spark, d), fx.SCENARIOS, tile=SMALL_TILE))
+
+
+def _datum(spark, d, **how):
+    out = sc.datum_sensitivity(fx.cells(spark, d), fx.grid_of(spark, d), fx.TARGET, **how)
+    return out.select(r("datum_offset_m", 9), r("water_level_egm2008_m", 9), *[r(c) for c in out.columns if c.endswith("_km2")])
+
+
 @query("a10_datum_sensitivity", DATUM)
 def a10(spark, d):
-    out = sc.datum_sensitivity(fx.cells(spark, d), fx.grid_of(spark, d), fx.TARGET)
-    return out.select(r("datum_offset_m", 9), r("water_level_egm2008_m", 9), *[r(c) for c in out.columns if c.endswith("_km2")])
+    return _datum(spark, d)
+
+
+@query("a10_datum_sensitivity_tiles", DATUM)
+def a10_tiles(spark, d):
+    return _datum(spark, d, tile=SMALL_TILE)
+
+
+#: Consecutive site numbers whose distances share a map.
+SITES_A_MAP = 1024
 
 
 def _grouped(spark, d):
     s = zones.nearest_pixel(fx.sites(spark, d), fx.cells(spark, d), fx.grid_of(spark, d)).withColumn("set", F.col("site") % 7)
+    s = s.withColumn("block", F.floor(F.col("site") / SITES_A_MAP))
     entry = F.struct(F.col("site").cast("string").alias("k"), F.round("distance_m", 6).alias("v"))
-    return s.groupBy("set").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("distances"))
+    return s.groupBy("set", "block").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("distances"))
 
 
 @query("a12_site_distances", f"""with {sql.CELLS}, {SITES} select site % 7 as set, round(min(distance_m), 4) as minimum_m, round(max(distance_m), 4) as maximum_m,

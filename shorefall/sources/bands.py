@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,13 +48,12 @@ def load_scenarios(
     """(scenario, year, added_water_m, water_level_egm2008_m) from CSV.
 
     Added water is compared after rounding to millimetres (halves to even); of rows with one key the first in
-    the file counts. Another number of rows than expected is an error.
+    the file counts (of several files the first by name). Another number of rows than expected is an error.
     """
     raw = spark.read.csv(path, header=True, schema=SCENARIO_SCHEMA).select("*", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("line"))
     kept = raw.where(F.col("scenario").isin(*scenarios) & F.col("year").isin(*years) & F.bround("surge_m", 3).isin(*added))
-    first = Window.partitionBy("scenario", "year", "surge_m").orderBy("line")
-    out = kept.withColumn("n", F.row_number().over(first)).where("n = 1")
-    out = out.select("scenario", "year", F.col("surge_m").alias("added_water_m"), F.col("water_level_used_egm2008_m").alias("water_level_egm2008_m"))
+    first = F.min_by("water_level_used_egm2008_m", "line").alias("water_level_egm2008_m")
+    out = kept.groupBy("scenario", "year", F.col("surge_m").alias("added_water_m")).agg(first)
     if expected is not None and (found := out.count()) != expected:
         raise ValueError(f"expected {expected} main scenarios, found {found}")
     return out.orderBy("scenario", "year", "added_water_m")

@@ -142,7 +142,7 @@ def test_sites(spark):
     series = spark.createDataFrame([(1, float(t), 2 + 3.0 * t - 0.5 * t * t) for t in range(6)] + [(2, 1.0, 1.0)], "site int, t double, y double")
     got = {r.site: r for r in st.site_trend(series).collect()}
     assert [got[1].c0, got[1].c1, got[1].c2] == pytest.approx([2, 3, -0.5]) and got[2].c0 is None
-    maps = spark.createDataFrame([("six", '{"a": 8.3, "b": 20.0, "c": 27.97}')], "set string, distances string")
+    maps = spark.createDataFrame([("six", '{"a": 8.3, "c": 27.97}'), ("six", '{"b": 20.0}')], "set string, distances string")
     assert st.site_distance_summary(maps).first()[1:] == pytest.approx((8.3, 27.97, 18.756667, 20.0))
     resid = spark.createDataFrame([(1, i, float(i)) for i in range(5)], "site int, i long, e double")
     low, high = st.bootstrap_rmse(resid, 10, 3).first()[1:]

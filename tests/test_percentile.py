@@ -15,3 +15,16 @@ def test_exact_percentiles(spark, monkeypatch, accuracy):
         for q in (0.0, 0.5, 0.9, 0.95, 1.0):
             got = percentile.exact_percentiles(df, [F.col("a"), F.col("b")], q)
             assert got[0] == pytest.approx(np.percentile(v, 100 * q)) and got[1] is None
+
+
+@pytest.mark.parametrize("accuracy", [8, 100])
+def test_brackets_are_narrowed_again(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(percentile, "ACCURACY", accuracy)
+    monkeypatch.setattr(percentile, "MOST", 3)
+    rng = np.random.default_rng(2)
+    spread, ties = rng.normal(size=2000), np.repeat([1.0, 2.0, 7.0], [900, 1000, 100])
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(spread, ties)], "a double, b double")
+    for q in (0.0, 0.45, 0.5, 0.95, 1.0):
+        got = percentile.exact_percentiles(df, [F.col("a"), F.col("b")], q)
+        assert got == pytest.approx([np.percentile(spread, 100 * q), np.percentile(ties, 100 * q)])
+    assert percentile.exact_percentiles(df.limit(0), [F.col("a")], 0.5) == [None]
