@@ -1,60 +1,102 @@
-"""Exact percentiles (linear interpolation) of columns too large for one value-to-count map."""
+"""Exact percentiles (linear interpolation) of any number of values, by radix selection.
+
+The bits of a float, turned so that they order as the values do, are read BITS at a time from the top. A pass counts the values
+of every column by their next bits, among those that agree with the bits found so far, and so settles these bits of all places
+asked for. Three passes do for 32-bit floats and six for doubles, at any size and however values are spread; a task
+holds counters alone, and a pass brings back at most 2^BITS of them for each place.
+"""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
+
+BITS = 11
+
+
+def ordered_bits(values: np.ndarray) -> np.ndarray:
+    """Unsigned numbers that order as the floats do; both zeros are one, NaN is above all."""
+    v = np.where(np.isnan(values), np.array(np.nan, values.dtype), values + 0)
+    kind = np.uint32 if values.dtype == np.float32 else np.uint64
+    u = v.view(kind)
+    top = kind(1) << kind(8 * values.itemsize - 1)
+    return np.where(u & top, ~u, u | top)
+
+
+def from_bits(bits: int, width: int) -> float:
+    kind, real = (np.uint32, np.float32) if width == 32 else (np.uint64, np.float64)
+    top = 1 << (width - 1)
+    return float(np.array([bits ^ top if bits & top else bits ^ ((1 << width) - 1)], kind).view(real)[0])
+
 
-#: Relative rank error of a bracket's ends; one bracket holds about four times this share of the values.
-ACCURACY = 10_000
-#: Values that the exact aggregate may see; a bracket that holds more is narrowed again.
-MOST = 1_000_000
+def _counts(data: DataFrame, width: int, done: int, asked: list[list[int]]) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """(column, start) -> (next bits, count) in order, of values whose first ``done`` bits are the start."""
+    take = min(BITS, width - done)
 
+    def count(batches):
+        kind = np.uint32 if width == 32 else np.uint64
+        found = {(i, s): np.zeros(1 << take, np.int64) for i, own in enumerate(asked) for s in own}
+        for batch in batches:
+            for i, own in enumerate(asked):
+                u = ordered_bits(batch.column(i).drop_null().to_numpy())
+                for s in own:
+                    some = u[u >> kind(width - done) == kind(s)] if done else u
+                    found[i, s] += np.bincount((some >> kind(width - done - take) & kind((1 << take) - 1)).astype(np.int64), minlength=1 << take)
+        rows = [(i, s, b, n[b]) for (i, s), n in found.items() for b in np.flatnonzero(n)]
+        kinds = (("i", pa.int32()), ("s", pa.decimal128(20)), ("b", pa.int32()), ("n", pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([int(r[k]) for r in rows], kd) for k, (_, kd) in enumerate(kinds)], [c for c, _ in kinds])
 
-def _brackets(df: DataFrame, cols: list[Column], places: list[float]) -> list[tuple[float, float] | None]:
-    """For each column two values around the relative place; None without values."""
-    around = lambda p: [max(0.0, p - 2 / ACCURACY), min(1.0, p + 2 / ACCURACY)]
-    near = df.agg(*[F.percentile_approx(c, around(p), ACCURACY) for c, p in zip(cols, places)]).first()
-    return [tuple(b) if b else None for b in near]
+    out: dict = {}
+    counted = data.mapInArrow(count, "i int, s decimal(20), b int, n long").groupBy("i", "s", "b").agg(F.sum("n").alias("n"))
+    for r in sorted(counted.collect()):
+        out.setdefault((r.i, int(r.s)), []).append((r.b, r.n))
+    return out
 
 
 def exact_percentiles(df: DataFrame, values: list[Column], q: float | list[float]) -> list[float | None]:
     """The q-th percentile (or one of its own) of each column, nulls left out; None for a column without values.
 
-    Approximate percentiles bracket the place; values below the bracket are counted. A bracket with more than MOST
-    values is bracketed again, so the exact aggregate sees about MOST at any size (of a bracket that ties keep from
-    shrinking it holds the few distinct values). One that misses the place is widened to the column's end there.
+    NaN counts as the largest value. 32-bit floats stay so if all columns are; other numbers are read as doubles. The table is
+    scanned once a pass, so save what is costly to compute.
     """
     if not values:
         return []
-    cols = [v.cast("double") for v in values]
-    qs = q if isinstance(q, list) else [q] * len(cols)
-    ends = _brackets(df, cols, qs)
-    held = lambda i: (cols[i] >= F.lit(ends[i][0])) & (cols[i] <= F.lit(ends[i][1]))
-    some, settled = [i for i, e in enumerate(ends) if e], set()
-    while some:
-        got = df.agg(*[f for i in some for f in (F.count(cols[i]), F.count_if(cols[i] < F.lit(ends[i][0])), F.count_if(held(i)))]).first()
-        share, again = {}, {}
-        for j, i in enumerate(some):
-            n, below, inside = got[3 * j : 3 * j + 3]
-            (a, b), place = ends[i], qs[i] * (n - 1)
-            first, last = math.floor(place) - below, math.ceil(place) - below
-            if first < 0 or last >= inside:
-                again[i] = (-math.inf if first < 0 else a, math.inf if last >= inside else b)
-                settled.add(i)
-                continue
-            share[i] = 0.0 if inside == 1 else (place - below) / (inside - 1)
-            if inside > MOST and a < b and i not in settled:
-                again[i] = None
-        if not again:
-            break
-        narrow = [i for i, e in again.items() if e is None]
-        if narrow:
-            again |= zip(narrow, _brackets(df, [F.when(held(i), cols[i]) for i in narrow], [share[i] for i in narrow]))
-            settled |= {i for i in narrow if again[i] == ends[i]}
-        for i, e in again.items():
-            ends[i] = e
-    exact = [F.percentile(F.when(held(i), cols[i]), F.lit(share[i])) if e else F.lit(None).cast("double") for i, e in enumerate(ends)]
-    return list(df.agg(*[e.alias(f"p{i}") for i, e in enumerate(exact)]).first())
+    qs = q if isinstance(q, list) else [q] * len(values)
+    data = df.select(*[v.alias(f"c{i}") for i, v in enumerate(values)])
+    width = 32 if all(isinstance(f.dataType, FloatType) for f in data.schema.fields) else 64
+    data = data.select(*[F.col(c).cast("float" if width == 32 else "double") for c in data.columns])
+    counts = _counts(data, width, 0, [[0] for _ in values])
+    places: dict[int, list[list[int]]] = {}  # of each column its (start, rank inside it) below and above the place
+    for i, p in enumerate(qs):
+        if n := sum(k for _, k in counts.get((i, 0), [])):
+            places[i] = [[0, math.floor(p * (n - 1))], [0, math.ceil(p * (n - 1))]]
+    sizes = {i: sum(k for _, k in counts[i, 0]) for i in places}
+    done = 0
+    while done < width and places:
+        if done:
+            counts = _counts(data, width, done, [sorted({s for s, _ in places.get(i, [])}) for i in range(len(values))])
+        take = min(BITS, width - done)
+        for i, own in places.items():
+            for place in own:
+                start, rank = place
+                for b, k in counts[i, start]:
+                    if rank < k:
+                        break
+                    rank -= k
+                place[:] = [start << take | b, rank]
+        done += take
+    out: list[float | None] = []
+    for i, p in enumerate(qs):
+        if i not in places:
+            out.append(None)
+            continue
+        (low, _), (high, _) = places[i]
+        at = p * (sizes[i] - 1)
+        a, b = from_bits(low, width), from_bits(high, width)
+        out.append(a if low == high else (math.ceil(at) - at) * a + (at - math.floor(at)) * b)
+    return out

@@ -1,7 +1,7 @@
 """Low land connected to the ocean, tile by tile.
 
-Cells are shuffled to tiles once; all cases of a call are handled inside the tile, so cells are never multiplied
-by cases before a shuffle. In a tile, runs of passable cells are labelled with NumPy; only tile-border cells and
+Cells are shuffled to tiles once, into a table in buckets by tile that both passes read; all cases of a call are handled
+inside the tile, so cells are never multiplied by cases before a shuffle. In a tile, runs of passable cells are labelled with NumPy; only tile-border cells and
 component ids leave it. Components that touch across borders are tied by an equi-join of border cells, and
 components of the whole grid come from the contraction in ``graph``, with one node a case for the open sea. A
 second pass over the tiles keeps the low land of components that reach the sea. Interior cells never meet a
@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from ..graph import connected_components
 from ..grid import GridSpec
 from ..scratch import Scratch
+from ..sources.store import TILE, tile_number
+from .halo import window
 
-TILE = 512
 #: A node is case << 48 | tile << 24 | label; this one is the open sea.
 SEA = (1 << 48) - 1
 
@@ -96,9 +97,23 @@ class _Tile:
         return (~self.land & self.valid) | low, low
 
 
+def tile_parts(cells: DataFrame, grid: GridSpec, tile: int) -> int:
+    """Buckets for a table of tiles: as many as a shuffle has parts, and no more than tiles."""
+    return max(1, min(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-grid.nrows // tile) * -(-grid.ncols // tile)))
+
+
+def deal(cells: DataFrame, grid: GridSpec, tile: int, bands: dict[str, Column], carry: tuple[str, ...], scratch: Scratch, stored: bool) -> DataFrame:
+    """Cells with the number of their tile, and bands as 32-bit floats, in buckets by tile."""
+    out = cells.select(
+        F.col("tile") if stored else tile_number(grid, tile).alias("tile"), F.col("row").cast("int"), F.col("col").cast("int"),
+        F.coalesce(F.col("land"), F.lit(False)).alias("__land"), F.col("dem").isNotNull().alias("__valid"), *carry, *[s.cast("float").alias(n) for n, s in bands.items()],
+    )
+    return out if stored else scratch.save_by(out, "tile", tile_parts(cells, grid, tile))
+
+
 def connected_flood(
     cells: DataFrame, grid: GridSpec, surfaces: dict[str, Column], cases: list[Case], scratch: Scratch | None = None,
-    tile: int = TILE, carry: tuple[str, ...] = (),
+    tile: int = TILE, carry: tuple[str, ...] = (), stored: bool = False,
 ) -> DataFrame:
     """(row, col, *carry, hits): low land connected to the sea; hits lists the indices of the cases that flood the cell.
 
@@ -107,15 +122,11 @@ def connected_flood(
     no case have no row. A grid without seeds, and an empty table, give no rows.
     """
     scratch = scratch or Scratch(cells.sparkSession)
-    tiles = -(-grid.ncols // tile)
-    number = F.floor(F.col("row") / tile) * tiles + F.floor(F.col("col") / tile)
+    if -(-tile // 2) * tile >= 1 << 24 or -(-grid.nrows // tile) * -(-grid.ncols // tile) > 1 << 24 or len(cases) >= 1 << 15:
+        raise ValueError("a tile has up to 2^24 runs, a grid up to 2^24 tiles, and a call up to 32767 cases")
     place = {n: f"__surface{i}" for i, n in enumerate(surfaces)}
-    bands = [s.cast("float").alias(place[n]) for n, s in surfaces.items()]
     cases = [Case(place[c.surface], c.water, c.neighbours) for c in cases]
-    dealt = cells.select(
-        number.cast("long").alias("tile"), F.col("row").cast("int"), F.col("col").cast("int"),
-        F.coalesce(F.col("land"), F.lit(False)).alias("__land"), F.col("dem").isNotNull().alias("__valid"), *carry, *bands,
-    )
+    dealt = deal(cells, grid, tile, {place[n]: s for n, s in surfaces.items()}, carry, scratch, stored)
 
     def outline(table: pa.Table) -> pa.Table:
         """Border cells of each case's components, and their ties to the open sea."""
@@ -195,12 +206,16 @@ def paired_masks(flood: DataFrame, baseline: int, adjusted: int, common: str = "
     return flood.where(F.col(common) & (b | a)).select("row", "col", b.alias("baseline"), a.alias("adjusted"), (a & ~b).alias("added"))
 
 
-def edge_cells(mask: DataFrame) -> DataFrame:
-    """(row, col) of true cells with a neighbour, of eight, that is not true or lies off the grid.
+def edge_cells(mask: DataFrame, tile: int = TILE, scratch: Scratch | None = None) -> DataFrame:
+    """(row, col) of true cells (the rows of mask) with a neighbour, of eight, that is not true or lies off the grid."""
 
-    A cell sends a one to its neighbours; those that get fewer than eight are edge cells.
-    """
-    step = F.explode(F.array(*[F.struct(F.lit(a).alias("r"), F.lit(b).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    sent = mask.select("row", "col", step.alias("s")).groupBy((F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"))
-    counted = sent.agg(F.count("*").alias("n"), F.max((F.col("s.r") == 0) & (F.col("s.c") == 0)).alias("own"))
-    return counted.where("own and n < 9").select("row", "col")
+    def edge(there):
+        rows, cols = there.shape
+        whole = np.ones((rows - 2, cols - 2), bool)
+        for a in range(3):
+            for b in range(3):
+                whole &= there[a : rows - 2 + a, b : cols - 2 + b]
+        return ~whole
+
+    cells = mask.select("row", "col", F.lit(True).alias("there"))
+    return window(cells, {"there": False}, edge, "boolean", tile=tile, scratch=scratch).where("value").select("row", "col")

@@ -657,6 +657,20 @@ def a14(spark, d):
     return rounded(st.site_trend(fx.pairs(spark, d).withColumnRenamed("b", "y")), 4)
 
 
+_YEARS = PAIRS.replace("/ 365.25::double - 3.5::double as t", "/ 365.25::double + 1992 as t")
+_PUT = ", ".join(f"sum(pow(u, {k})) as s{k}" for k in range(1, 5)) + ", " + ", ".join(f"sum(b * pow(u, {k})) as q{k}" for k in range(3))
+_B = ", ".join(f"{_det([[f'q{i}' if j == k else _M[i][j] for j in range(3)] for i in range(3)])} / {_det(_M)} as b{k}" for k in range(3))
+
+
+@query("a14_site_trend_years", f"""with {_YEARS}, ends as (select site, (min(t) + max(t)) / 2 as mid, (max(t) - min(t)) / 2 as half from pr group by 1),
+s as (select site, mid, half, count(*)::double as s0, {_PUT} from (select *, (t - mid) / half as u from pr join ends using (site)) group by 1, 2, 3),
+b as (select site, s0, half, (mid - 1995) / half as m, {_B} from s)
+select site, s0::bigint as n, round(b0 - b1 * m + b2 * m * m, 6) as c0, round((b1 - 2 * b2 * m) / half, 6) as c1, round(b2 / (half * half), 6) as c2 from b""")
+def a14_years(spark, d):
+    years = fx.pairs(spark, d).select("site", F.col("b").alias("y"), (F.col("t") + 3.5 + 1992).alias("t"))
+    return rounded(st.site_trend(years, 1995.0))
+
+
 @query("a15_bootstrap_rmse", f"""with {PAIRS}, re as (select site, a - b as e, row_number() over (partition by site order by a - b) - 1 as i from pr),
 n as (select site, count(*) as n from re group by 1),
 dr as (select site, rep, n, unnest(range(n)) as k from n, range(1, 21) t(rep)),

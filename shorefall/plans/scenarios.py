@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.levels import DATUM_CI95_M, PERSISTENCE, adjusted_surface, pick_cases, subsidence_by
 from ..grid import GridSpec, row_area_table
 from ..operators.areas import mask_area
-from ..operators.flood import Case, connected_flood
+from ..operators.flood import Case
 from ..operators.resample import overlap_fraction, small
+from ..operators.spill import flood_by_levels
 from ..scratch import Scratch
 
 TERRAIN_OFFSETS = (-1.0, -0.5, 0.0, 0.5, 1.0)
@@ -22,7 +23,9 @@ TERRAIN_OFFSETS = (-1.0, -0.5, 0.0, 0.5, 1.0)
 class FloodPlan:
     """Distinct surfaces and cases, and pairs (baseline, adjusted) with the columns that describe them."""
 
-    def __init__(self):
+    def __init__(self, how=flood_by_levels):
+        """how: ``flood_by_levels`` or ``connected_flood``; they give the same rows."""
+        self.how = how
         self.surfaces: dict = {}
         self.cases: list[Case] = []
         self.pairs: list[tuple[int, int, dict]] = []
@@ -42,7 +45,7 @@ class FloodPlan:
 
     def flood(self, cells: DataFrame, grid: GridSpec, **how) -> DataFrame:
         """(row, col, hits) of flooded cells of the common domain."""
-        return connected_flood(cells, grid, self.surfaces, self.cases, carry=("common",), **how).where("common").select("row", "col", "hits")
+        return self.how(cells, grid, self.surfaces, self.cases, carry=("common",), **how).where("common").select("row", "col", "hits")
 
     def floods(self, cells: DataFrame, grid: GridSpec, **how) -> DataFrame:
         """(row, col, baseline, adjusted): for each cell of the common domain, the pairs whose baseline and adjusted flood hold it."""

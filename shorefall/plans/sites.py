@@ -18,12 +18,22 @@ def site_consistency(pairs: DataFrame) -> DataFrame:
     return pairs.where("a is not null and b is not null").groupBy("site").agg(F.count("*").alias("n"), F.corr("a", "b").alias("r"), F.sqrt(F.avg(d * d)).alias("rmse"))
 
 
-def site_trend(series: DataFrame) -> DataFrame:
-    """(site, n, c0, c1, c2): least-squares c0 + c1 t + c2 t^2 from power sums; nulls where t has under three values."""
-    t, y = F.col("t"), F.col("y")
-    sums = [F.sum(F.pow(t, k)).alias(f"s{k}") for k in range(1, 5)] + [F.sum(y * F.pow(t, k)).alias(f"q{k}") for k in range(3)]
-    s = series.where("t is not null and y is not null").groupBy("site").agg(F.count("*").cast("double").alias("s0"), *sums)
-    c = F.col
+def site_trend(series: DataFrame, origin: float = 0.0) -> DataFrame:
+    """(site, n, c0, c1, c2): least-squares c0 + c1 (t - origin) + c2 (t - origin)^2; nulls where t has under three values.
+
+    Sums run over t put to [-1, 1] by the ends of the site's range, so they are as well conditioned for calendar years as
+    for any other t, and partial sums of one site can be added in any order. Give an origin near the data where c0 and
+    c1 matter: far from it they cancel. Values that are null, NaN or infinite take no part.
+    """
+    t, y = F.col("t").cast("double"), F.col("y").cast("double")
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    used = series.where(finite(t) & finite(y)).select("site", t.alias("t"), y.alias("y"))
+    ends = used.groupBy("site").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).select("site", "lo", "hi", ((F.col("lo") + F.col("hi")) / 2).alias("mid"), ((F.col("hi") - F.col("lo")) / 2).alias("half"))
+    put = used.join(ends, "site").withColumn("u", F.coalesce(F.try_divide(F.col("t") - F.col("mid"), F.col("half")), F.lit(0.0)))
+    u, c = F.col("u"), F.col
+    sums = [F.sum(F.pow(u, k)).alias(f"s{k}") for k in range(1, 5)] + [F.sum(c("y") * F.pow(u, k)).alias(f"q{k}") for k in range(3)]
+    inside = F.count_if((c("t") > c("lo")) & (c("t") < c("hi"))).alias("inside")
+    s = put.groupBy("site", "mid", "half").agg(F.count("*").cast("double").alias("s0"), inside, *sums)
 
     def det(m: list[list[Column]]) -> Column:
         (a, b, d), (e, f, g), (h, i, j) = m
@@ -31,8 +41,10 @@ def site_trend(series: DataFrame) -> DataFrame:
 
     rows = [[c("s0"), c("s1"), c("s2")], [c("s1"), c("s2"), c("s3")], [c("s2"), c("s3"), c("s4")]]
     right = [c("q0"), c("q1"), c("q2")]
-    solve = lambda k: F.try_divide(det([[right[i] if j == k else rows[i][j] for j in range(3)] for i in range(3)]), det(rows))
-    return s.select("site", F.col("s0").cast("long").alias("n"), *[solve(k).alias(f"c{k}") for k in range(3)])
+    solve = lambda k: F.when(c("inside") > 0, F.try_divide(det([[right[i] if j == k else rows[i][j] for j in range(3)] for i in range(3)]), det(rows)))
+    s = s.select("site", c("s0").cast("long").alias("n"), ((c("mid") - origin) / c("half")).alias("m"), "half", *[solve(k).alias(f"b{k}") for k in range(3)])
+    m, b0, b1, b2 = c("m"), c("b0"), c("b1"), c("b2")
+    return s.select("site", "n", (b0 - b1 * m + b2 * m * m).alias("c0"), ((b1 - 2 * b2 * m) / c("half")).alias("c1"), (b2 / (c("half") * c("half"))).alias("c2"))
 
 
 def draw(seed: int, site: Column, rep: Column, i: Column, n: Column) -> Column:

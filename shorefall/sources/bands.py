@@ -27,19 +27,23 @@ def load_band(spark: SparkSession, path: str, nodata: float | None = -9999.0) ->
     return spark.read.parquet(path).select("row", "col", valid_value(F.col("value").cast("float"), nodata).alias("value"))
 
 
-def stack_bands(dem: DataFrame, bands: dict[str, DataFrame]) -> DataFrame:
+def stack_bands(dem: DataFrame, bands: dict[str, DataFrame], by: tuple[str, ...] = ("row", "col")) -> DataFrame:
     """Wide cells: the DEM's cells with one column a band; cells that a band lacks are null there.
 
-    Bands must lie on the DEM's grid: a band with a cell that the DEM lacks is refused when it is read.
+    All bands meet in one grouping, whose rows are combined before they are shuffled; bands in buckets by tile
+    (``by`` with "tile" in front) meet without a shuffle. Bands must lie on the DEM's grid: a cell that the DEM lacks is an error when it is read. Of
+    rows that repeat a cell in a band the largest value counts.
     """
-    out = dem.select("row", "col", F.col("value").alias("dem"))
-    for name, band in bands.items():
-        own = band.select("row", "col", F.col("value").alias(name), F.lit(True).alias("__in"))
-        joined = out.withColumn("__dem", F.lit(True)).join(own, ["row", "col"], "full")
-        stray = F.col("__in") & F.col("__dem").isNull()
-        checked = F.when(stray, F.raise_error(F.lit(f"band {name} is not on the DEM's grid")).cast("float")).otherwise(F.col(name))
-        out = joined.withColumn(name, checked).drop("__in", "__dem")
-    return out
+    all_bands = {"dem": dem, **bands}
+    rows = None
+    for i, band in enumerate(all_bands.values()):
+        own = band.select(*by, F.lit(i).alias("__band"), "value")
+        rows = own if rows is None else rows.union(own)
+    own = lambda i: F.col("__band") == i
+    grouped = rows.groupBy(*by).agg(*[F.max(F.when(own(i), F.col("value"))).alias(n) for i, n in enumerate(all_bands)], F.max(own(0)).alias("__dem"), F.max("__band").alias("__last"))
+    name = F.array(*[F.lit(n) for n in all_bands])[F.col("__last")]
+    checked = F.when(F.col("__dem"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("band "), name, F.lit(" is not on the DEM's grid"))).cast("boolean"))
+    return grouped.where(checked).drop("__dem", "__last")
 
 
 def load_scenarios(
