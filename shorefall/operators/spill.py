@@ -24,6 +24,7 @@ from ..grid import GridSpec
 from ..scratch import Scratch
 from ..sources.store import TILE
 from .flood import Case, _Tile, deal
+from .runs import runs_table
 
 #: A node is field << 48 | row * columns + col; this one is the open sea, the largest of its field.
 SEA = (1 << 48) - 1
@@ -251,36 +252,36 @@ def _levels(t: _Tile, nodes: pa.Table, grid: GridSpec, fields: list[Field], most
         yield levels_inside(_heights(t, field, most[k]), at, known[own], field.neighbours == 8)
 
 
-def _run(cells: DataFrame, grid: GridSpec, surfaces: dict[str, Column], fields: list[Field], most: list[float], scratch: Scratch | None, tile: int, carry, small: int, stored: bool, made, kind: str):
+def _run(cells: DataFrame, grid: GridSpec, surfaces: dict[str, Column], fields: list[Field], most: list[float], scratch: Scratch | None, tile: int, carry, small: int, stored: bool, made, schema: str):
+    """What ``made`` gives of each tile and the levels of its cells, an array for each field; of tiles that nothing reaches it gets None."""
     scratch = scratch or Scratch(cells.sparkSession)
     place = {n: f"__surface{i}" for i, n in enumerate(surfaces)}
     own = [Field(place[f.surface], f.neighbours) for f in fields]
     dealt = deal(cells, grid, tile, {place[n]: s for n, s in surfaces.items()}, carry, scratch, stored)
     wet = _wet_border(dealt, grid, own, most, scratch, tile, small)
-    kept = [f for f in cells.schema.fields if f.name in carry]
-    schema = "row int, col int, " + "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + kind
-    names = ["row", "col", *[f.name for f in kept]]
 
     def inside(table: pa.Table, nodes: pa.Table) -> pa.Table:
         if not table.num_rows or not nodes.num_rows:
-            some, values = np.zeros(0, np.int64), made([], np.zeros(0, np.int64))
-        else:
-            t = _Tile(table, tile)
-            some, values = _picked(t, _levels(t, nodes, grid, own, most), len(own), made)
-        picked = table.take(pa.array(some))
-        return pa.table([*(picked.column(n) for n in names), values], [*names, kind.split()[0]])
+            return made(None, table, None)
+        t = _Tile(table, tile)
+        return made(t, table, [np.where(t.land, level, np.float32("inf")) for level in _levels(t, nodes, grid, own, most)])
 
     return dealt.groupBy("tile").cogroup(wet.groupBy("tile")).applyInArrow(inside, schema)
 
 
-def _picked(t: _Tile, levels, n: int, made):
-    """Rows of land that some field reaches, and what is made of their levels."""
-    found = np.full((t.table.num_rows, n), np.inf, np.float32)
-    own = t.land[t.at]
-    for k, level in enumerate(levels):
-        found[:, k] = np.where(own, level[t.at], np.float32("inf"))
-    some = np.flatnonzero((found < np.inf).any(axis=1))
-    return some, made(found, some)
+def _cells_made(cells: DataFrame, carry, kind: str, n: int, made):
+    """(schema, function for ``_run``): a row for each cell that some field reaches, with what is made of its levels."""
+    kept = [f for f in cells.schema.fields if f.name in carry]
+    schema = "row int, col int, " + "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + kind
+    names = ["row", "col", *[f.name for f in kept]]
+
+    def rows(t, table, levels):
+        found = np.stack([level[t.at] for level in levels], axis=1) if t else np.zeros((0, n), np.float32)
+        some = np.flatnonzero((found < np.inf).any(axis=1))
+        picked = table.take(pa.array(some))
+        return pa.table([*(picked.column(c) for c in names), made(found[some])], [*names, kind.split()[0]])
+
+    return rows, schema
 
 
 def connection_levels(
@@ -293,11 +294,20 @@ def connection_levels(
     the sea, have no row.
     """
 
-    def made(found, some):
-        v = found[some].ravel() if len(some) else np.zeros(0, np.float32)
+    def made(found):
+        v = found.ravel()
         return pa.FixedSizeListArray.from_arrays(pa.array(v, mask=v == np.inf), len(fields)).cast(pa.list_(pa.float32()))
 
-    return _run(cells, grid, surfaces, fields, [float("inf")] * len(fields), scratch, tile, carry, small, stored, made, "levels array<float>")
+    rows, schema = _cells_made(cells, carry, "levels array<float>", len(fields), made)
+    return _run(cells, grid, surfaces, fields, [float("inf")] * len(fields), scratch, tile, carry, small, stored, rows, schema)
+
+
+def _asked(cases: list[Case]) -> tuple[list[Field], list[int], np.ndarray, list[float]]:
+    """Fields of the cases, each case's field and water, and each field's highest water."""
+    fields = list(dict.fromkeys(Field(c.surface, c.neighbours) for c in cases))
+    at = [fields.index(Field(c.surface, c.neighbours)) for c in cases]
+    water = np.array([c.water for c in cases], np.float32)
+    return fields, at, water, [max(float(w) for w, a in zip(water, at) if a == k) for k in range(len(fields))]
 
 
 def flood_by_levels(
@@ -305,15 +315,59 @@ def flood_by_levels(
     tile: int = TILE, carry: tuple[str, ...] = (), small: int = SMALL, stored: bool = False,
 ) -> DataFrame:
     """The rows of ``connected_flood``, from one set of levels for each surface and kind of neighbours."""
-    fields = list(dict.fromkeys(Field(c.surface, c.neighbours) for c in cases))
-    at = [fields.index(Field(c.surface, c.neighbours)) for c in cases]
-    water = np.array([c.water for c in cases], np.float32)
-    most = [max(float(w) for w, a in zip(water, at) if a == k) for k in range(len(fields))]
+    fields, at, water, most = _asked(cases)
 
-    def made(found, some):
-        hit = found[some][:, at] <= water if len(some) else np.zeros((0, len(cases)), bool)
-        row, which = np.nonzero(hit)
-        ends = np.searchsorted(row, np.arange(len(some) + 1)).astype(np.int32)
+    def made(found):
+        row, which = np.nonzero(found[:, at] <= water)
+        ends = np.searchsorted(row, np.arange(len(found) + 1)).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(which.astype(np.int32)))
 
-    return _run(cells, grid, surfaces, fields, most, scratch, tile, carry, small, stored, made, "hits array<int>")
+    rows, schema = _cells_made(cells, carry, "hits array<int>", len(fields), made)
+    return _run(cells, grid, surfaces, fields, most, scratch, tile, carry, small, stored, rows, schema).where("size(hits) > 0")
+
+
+def flood_runs(
+    cells: DataFrame, grid: GridSpec, surfaces: dict[str, Column], cases: list[Case], less: list[tuple[int, int]] = (), within: str | None = None,
+    scratch: Scratch | None = None, tile: int = TILE, small: int = SMALL, stored: bool = False,
+) -> DataFrame:
+    """(mask, row, start, stop): floods as runs of cells, cut at tile borders, so that no cell leaves its tile.
+
+    Mask k is case k; mask len(cases) + i holds what case a of the pair ``less[i]`` = (a, b) floods and case b does not. within: a boolean
+    column that all masks are limited to.
+    """
+    fields, at, water, most = _asked(cases)
+
+    def masks(t, levels):
+        inside = t.dense(within, False) if within else np.ones(t.shape, bool)
+        flood = lambda k: (levels[at[k]] <= water[k]) & inside
+        for k in range(len(cases)):
+            yield k, flood(k)
+        for i, (a, b) in enumerate(less):
+            yield len(cases) + i, flood(a) & ~flood(b)
+
+    def rows(t, table, levels):
+        return runs_table(masks(t, levels) if t else (), t.row0 if t else 0, t.col0 if t else 0)
+
+    carry = (within,) if within else ()
+    return _run(cells, grid, surfaces, fields, most, scratch, tile, carry, small, stored, rows, "mask int, row int, start int, stop int")
+
+
+def same_masks(cells: DataFrame, surfaces: dict[str, Column], pairs: list[tuple[tuple[str, float], tuple[str, float]]]) -> list[bool]:
+    """Whether two (surface, water) have the same low land; one scan for all pairs, and a number for each comes back."""
+    kinds = {n: f"__surface{i}" for i, n in enumerate(surfaces)}
+    data = cells.where("land and dem is not null").select(*[s.cast("float").alias(kinds[n]) for n, s in surfaces.items()])
+
+    def count(batches):
+        differ = np.zeros(len(pairs), np.int64)
+        for batch in batches:
+            low = {}
+            for i, sides in enumerate(pairs):
+                for name, water in sides:
+                    if (name, water) not in low:
+                        with np.errstate(invalid="ignore"):
+                            low[name, water] = batch.column(kinds[name]).to_numpy(zero_copy_only=False) <= np.float32(water)
+                differ[i] += int((low[sides[0]] != low[sides[1]]).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pairs)).astype(np.int32)), pa.array(differ)], ["i", "n"])
+
+    found = dict(data.mapInArrow(count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect())
+    return [not found.get(i) for i in range(len(pairs))]

@@ -778,7 +778,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = plan.case("dem", lv.adjusted_surface(F.col("dem"), F.lit(0.0)), BASE)
     plan.pair(b, plan.case("sub", lv.adjusted_surface(F.col("dem"), F.col("sub_2100_clean")), BASE), level=BASE)
     grid = fx.grid_of(spark, sf_dir)
-    return plan.areas(plan.floods(fx.cells(spark, sf_dir), grid), grid).drop("pair")
+    return plan.areas(plan.runs(fx.cells(spark, sf_dir), grid), grid).drop("pair")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

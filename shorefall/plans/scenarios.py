@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.levels import DATUM_CI95_M, PERSISTENCE, adjusted_surface, pick_cases, subsidence_by
-from ..grid import GridSpec, row_area_table
+from ..grid import GridSpec
 from ..operators.areas import mask_area
 from ..operators.flood import Case
-from ..operators.resample import overlap_fraction, small
-from ..operators.spill import flood_by_levels
+from ..operators.runs import run_area, run_overlap
+from ..operators.spill import flood_runs, same_masks
 from ..scratch import Scratch
 
 TERRAIN_OFFSETS = (-1.0, -0.5, 0.0, 0.5, 1.0)
@@ -23,9 +23,7 @@ TERRAIN_OFFSETS = (-1.0, -0.5, 0.0, 0.5, 1.0)
 class FloodPlan:
     """Distinct surfaces and cases, and pairs (baseline, adjusted) with the columns that describe them."""
 
-    def __init__(self, how=flood_by_levels):
-        """how: ``flood_by_levels`` or ``connected_flood``; they give the same rows."""
-        self.how = how
+    def __init__(self):
         self.surfaces: dict = {}
         self.cases: list[Case] = []
         self.pairs: list[tuple[int, int, dict]] = []
@@ -43,34 +41,28 @@ class FloodPlan:
     def names(self, spark, kinds: str) -> DataFrame:
         return spark.createDataFrame([(i, *d.values()) for i, (_, _, d) in enumerate(self.pairs)], f"pair int, {kinds}")
 
-    def flood(self, cells: DataFrame, grid: GridSpec, **how) -> DataFrame:
-        """(row, col, hits) of flooded cells of the common domain."""
-        return self.how(cells, grid, self.surfaces, self.cases, carry=("common",), **how).where("common").select("row", "col", "hits")
-
-    def floods(self, cells: DataFrame, grid: GridSpec, **how) -> DataFrame:
-        """(row, col, baseline, adjusted): for each cell of the common domain, the pairs whose baseline and adjusted flood hold it."""
-        return self.paired(self.flood(cells, grid, **how))
-
-    def paired(self, flood: DataFrame) -> DataFrame:
-        base, adjusted = {}, {}
-        for i, (b, a, _) in enumerate(self.pairs):
-            base.setdefault(b, []).append(i)
-            adjusted.setdefault(a, []).append(i)
-        of = lambda found: F.array(*[F.array(*[F.lit(p) for p in found.get(k, [])]).cast("array<int>") for k in range(len(self.cases))])
-        pairs = lambda found: F.flatten(F.transform("hits", lambda k: of(found)[k]))
-        return flood.select("row", "col", pairs(base).alias("baseline"), pairs(adjusted).alias("adjusted"))
-
-    def areas(self, floods: DataFrame, grid: GridSpec) -> DataFrame:
+    def runs(self, cells: DataFrame, grid: GridSpec, shifts: dict[str, tuple[str, float]] | None = None, **how) -> DataFrame:
+        """(mask, row, start, stop) of the common domain: mask k is case k, mask len(cases) + i what pair i's adjusted flood adds.
+
+        shifts: surfaces that are another one raised by an offset, but for rounding. Where water lowered by the offset leaves the
+        same land low on the other surface, its levels serve, and the surface gets none of its own.
+        """
+        cases, surfaces = list(self.cases), self.surfaces
+        moved = [(k, Case(shifts[c.surface][0], c.water - shifts[c.surface][1], c.neighbours)) for k, c in enumerate(cases) if shifts and c.surface in shifts]
+        if moved:
+            same = same_masks(cells, surfaces, [((cases[k].surface, cases[k].water), (c.surface, c.water)) for k, c in moved])
+            for (k, c), equal in zip(moved, same):
+                cases[k] = c if equal else cases[k]
+            surfaces = {n: s for n, s in surfaces.items() if n in {c.surface for c in cases}}
+        return flood_runs(cells, grid, surfaces, cases, [(a, b) for b, a, _ in self.pairs], "common", **how)
+
+    def areas(self, runs: DataFrame, grid: GridSpec) -> DataFrame:
         """(pair, baseline_km2, adjusted_km2, added_km2) of all pairs; a mask without cells has area 0."""
-        spark = floods.sparkSession
-        either = F.array_union("baseline", "adjusted")
-        cells = floods.select("row", F.explode(either).alias("pair"), "baseline", "adjusted")
-        b, a = F.expr("array_contains(baseline, pair)"), F.expr("array_contains(adjusted, pair)")
-        rows = cells.groupBy("pair", "row").agg(F.count_if(b).alias("b"), F.count_if(a).alias("a"), F.count_if(a & ~b).alias("d"))
-        rows = rows.join(small(row_area_table(spark, grid), grid.nrows), "row")
-        sums = rows.groupBy("pair").agg(*[F.sum(F.col(k) * F.col("area_km2")).alias(n) for k, n in (("b", "baseline_km2"), ("a", "adjusted_km2"), ("d", "added_km2"))])
-        all_pairs = spark.createDataFrame([(i,) for i in range(len(self.pairs))], "pair int")
-        return all_pairs.join(sums, "pair", "left").fillna(0.0)
+        spark, n = runs.sparkSession, len(self.cases)
+        sides = [(i, m, side) for i, (b, a, _) in enumerate(self.pairs) for side, m in (("baseline_km2", b), ("adjusted_km2", a), ("added_km2", n + i))]
+        keyed = spark.createDataFrame(sides, "pair int, mask int, side string").join(run_area(runs, grid), "mask", "left")
+        of = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("area_km2"))), F.lit(0.0)).alias(side)
+        return keyed.groupBy("pair").agg(*[of(s) for s in ("baseline_km2", "adjusted_km2", "added_km2")])
 
 
 def main_plan(scenarios: list) -> FloodPlan:
@@ -98,12 +90,12 @@ def main_scenarios(cells: DataFrame, grid: GridSpec, scenarios: list, population
     """
     spark = cells.sparkSession
     plan = main_plan(scenarios)
-    flood = Scratch(spark).save(plan.flood(cells, grid, **how))  # read for areas and for people
+    runs = Scratch(spark).save(plan.runs(cells, grid, **how))  # read for areas and for people
     names = plan.names(spark, "scenario string, year int, added_water_m double, water_level_egm2008_m double, persistence string")
     names = names.withColumn("pop_scenario", pop_scenario(F.col("scenario")))
-    areas = plan.areas(plan.paired(flood), grid)
+    areas = plan.areas(runs, grid)
     # people by distinct flood: a case is resampled once, whatever pairs it is part of
-    fraction = overlap_fraction(flood, grid, pop_grid, each=F.col("hits"))
+    fraction = run_overlap(runs.where(F.col("mask") < len(plan.cases)), grid, pop_grid).withColumnRenamed("mask", "case")
     valid = population.where("population >= 0 and not isnan(population)").withColumnsRenamed({"prow": "drow", "pcol": "dcol", "year": "pop_year"})
     sides = [(i, k, side) for i, (b, a, _) in enumerate(plan.pairs) for k, side in ((b, "b"), (a, "a"))]
     keyed = spark.createDataFrame(sides, "pair int, case int, side string").join(names.select("pair", "pop_scenario", F.col("year").alias("pop_year")), "pair")
@@ -126,18 +118,21 @@ def main_scenarios(cells: DataFrame, grid: GridSpec, scenarios: list, population
 
 def _sensitivity(plan: FloodPlan, cells: DataFrame, grid: GridSpec, kinds: str, **how) -> DataFrame:
     names = plan.names(cells.sparkSession, kinds)
-    out = names.join(plan.areas(plan.floods(cells, grid, **how), grid), "pair").drop("pair")
+    out = names.join(plan.areas(plan.runs(cells, grid, **how), grid), "pair").drop("pair")
     return out.withColumnsRenamed({"baseline_km2": "baseline_area_km2", "adjusted_km2": "continued_trend_area_km2", "added_km2": "subsidence_added_area_km2"})
 
 
 def terrain_sensitivity(cells: DataFrame, grid: GridSpec, scenarios: list, offsets=TERRAIN_OFFSETS, **how) -> DataFrame:
-    plan, dem, zero = FloodPlan(), F.col("dem"), F.lit(0.0).cast("float")
-    for o in offsets:
+    """A uniform offset of the terrain moves levels with it, but for rounding; surfaces whose low land it leaves the same are not labelled again."""
+    plan, dem, zero, shifts = FloodPlan(), F.col("dem"), F.lit(0.0).cast("float"), {}
+    for o in sorted(offsets, key=abs):
         for s in scenarios:
+            if o:
+                shifts |= {f"dem_{o}": ("dem_0.0", o), f"sub_{s.year}_{o}": (f"sub_{s.year}_0.0", o)}
             b = plan.case(f"dem_{o}", adjusted_surface(dem, zero, o), s.water_level_egm2008_m)
             a = plan.case(f"sub_{s.year}_{o}", adjusted_surface(dem, F.col(f"sub_{s.year}_clean"), o), s.water_level_egm2008_m)
             plan.pair(b, a, scenario=s.scenario, year=s.year, added=s.added_water_m, level=s.water_level_egm2008_m, offset=o)
-    return _sensitivity(plan, cells, grid, "scenario string, year int, added_water_m double, water_level_egm2008_m double, uniform_dem_offset_m double", **how)
+    return _sensitivity(plan, cells, grid, "scenario string, year int, added_water_m double, water_level_egm2008_m double, uniform_dem_offset_m double", shifts=shifts if 0.0 in offsets else None, **how)
 
 
 def connectivity_sensitivity(cells: DataFrame, grid: GridSpec, scenarios: list, **how) -> DataFrame:
