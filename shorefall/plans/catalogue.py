@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import levels as lv
 from ..grid import clip_extent, row_area_table
-from ..operators import areas, flood, resample, zones
+from ..operators import areas, flood, resample, runs, zones
 from ..scratch import Scratch
-from ..sources import bands
+from ..sources import bands, store
 from . import fixtures as fx
 from . import priority as pr
 from . import scenarios as sc
@@ -58,8 +58,10 @@ def s1(spark, d):
 @query("s2_stack_bands", f"with {sql.CELLS} select row, col, {rs('dem', 'rate', 'sub_2050', 'sub_2100')} from cells")
 def s2(spark, d):
     raw, names = fx.raw_bands(spark, d), ("dem", "rate", "sub_2050", "sub_2100")
-    each = {n: raw.select("row", "col", bands.valid_value(F.col(n)).alias("value")) for n in names}
-    return rounded(bands.stack_bands(each.pop("dem"), each))
+    each, grid = {n: raw.select("row", "col", bands.valid_value(F.col(n)).alias("value")) for n in names}, fx.grid_of(spark, d)
+    parts = flood.tile_parts(raw, grid, store.TILE)
+    stack = Scratch(spark).save_by(store.stacked(each.pop("dem"), each, grid, store.TILE, parts), "tile", parts, dealt=True)
+    return rounded(stack.drop("tile"))
 
 
 def _scenario_rows(spark, d):
@@ -91,15 +93,15 @@ def s4(spark, d):
     return bands.select_population(files, "SSP2", 2020)
 
 
-def _geojson(spark, d) -> str:
-    """A GeoJSON file of the units, one of them without geometry."""
+def _geojson(spark, d, name: str = "NAME_2", many: bool = False) -> str:
+    """A GeoJSON file of the units, one of them without geometry. many: each ring is a polygon of a MultiPolygon."""
     grid = fx.grid_of(spark, d)
     ring = fx.unit_corners(spark, d, grid).withColumn("c", F.transform("corners", lambda p: F.array(p["x"], p["y"])))
     shape = ring.groupBy("unit_id", "name").agg(F.transform(F.sort_array(F.collect_list(F.struct("ring", "c"))), lambda p: p["c"]).alias("rings"))
     none = shape.where("unit_id = 0").select(F.lit(26).alias("unit_id"), F.lit("EMPTY").alias("name"), F.lit(None).cast("array<array<array<double>>>").alias("rings"))
     part = shape.unionByName(none).select("unit_id", F.struct(
-        F.lit("Feature").alias("type"), F.struct(F.col("name").alias("NAME_2"), F.lit("x").alias("GID_2")).alias("properties"),
-        F.when(F.col("rings").isNotNull(), F.struct(F.lit("Polygon").alias("type"), F.col("rings").alias("coordinates"))).alias("geometry"),
+        F.lit("Feature").alias("type"), F.struct(F.col("name").alias(name), F.lit("x").alias("GID_2")).alias("properties"),
+        F.when(F.col("rings").isNotNull(), F.struct(F.lit("MultiPolygon" if many else "Polygon").alias("type"), (F.transform("rings", lambda ring: F.array(ring)) if many else F.col("rings")).alias("coordinates"))).alias("geometry"),
     ).alias("f"))
     whole = part.agg(F.transform(F.sort_array(F.collect_list(F.struct("unit_id", F.to_json("f").alias("f")))), lambda x: x["f"]).alias("fs"))
     path = f"{Scratch(spark).root}/units"
@@ -116,6 +118,15 @@ def s5(spark, d):
     return edges.join(units, "unit_id").groupBy("name").agg(F.count("*").alias("edges"), F.count_distinct("part", "ring").alias("rings"))
 
 
+@query("s5_load_multipolygons", """
+select n_name as name, case when n_nationkey % 2 = 0 then 8 else 4 end::bigint as edges, case when n_nationkey % 2 = 0 then 2 else 1 end::bigint as parts from nation where n_nationkey < 25
+union all select 'SEA', 4, 1""")
+def s5_many(spark, d):
+    grid = fx.grid_of(spark, d)
+    units, edges = bands.load_admin_units(spark, _geojson(spark, d, "NAME_1", True), grid.extent())
+    return edges.join(units, "unit_id").groupBy("name").agg(F.count("*").alias("edges"), F.count_distinct("part").alias("parts"))
+
+
 PAIR = [(0.0, "none", BASE, 8), (0.0, "c2100", BASE, 8)]
 
 
@@ -140,6 +151,46 @@ def s6(spark, d):
     return spark.read.parquet(path).groupBy("case_id", "label").agg(F.count("*").alias("cells"))
 
 
+def _pairs_of_all():
+    """The plan of the twelve cases under the continued trend, and their SQL."""
+    plan, cases = sc.FloodPlan(), []
+    for s in fx.SCENARIOS:
+        b = plan.case("dem", lv.adjusted_surface(F.col("dem"), F.lit(0.0).cast("float")), s.water_level_egm2008_m)
+        a = plan.case(f"sub_{s.year}", lv.adjusted_surface(F.col("dem"), F.col(f"sub_{s.year}_clean")), s.water_level_egm2008_m)
+        plan.pair(b, a, scenario=s.scenario, year=s.year, added=s.added_water_m, level=s.water_level_egm2008_m)
+    return plan
+
+
+def _all_masks_sql() -> str:
+    cases, rows = [], []
+    for s in fx.SCENARIOS:
+        own = [(0.0, "none", s.water_level_egm2008_m, 8), (0.0, f"c{s.year}", s.water_level_egm2008_m, 8)]
+        cases += [c for c in own if c not in cases]
+        name = f"{s.scenario.replace('-', 'm').replace('.', 'p')}_{s.year}_added{s.added_water_m:.1f}m".replace(".", "p")
+        rows.append((name, f"{s.water_level_egm2008_m:.9f}", *[cases.index(c) for c in own]))
+    values = ", ".join(f"('{n}', '{w}', {b}, {a})" for n, w, b, a in rows)
+    return f"""with recursive {sql.CELLS}, {sql.floods(cases)}, prs(case_id, level, b, a) as (values {values}), fc_ as (select k, row, col from fl where common),
+m as (select case_id, level, 'baseline' as label, row, col from prs join fc_ on k = b union all select case_id, level, 'continued', row, col from prs join fc_ on k = a
+  union all select case_id, level, 'added', row, col from prs join fc_ x on x.k = a where not exists (select 1 from fc_ y where y.k = b and y.row = x.row and y.col = x.col))
+select case_id, label, count(*) as cells, level as water_level_egm2008_m, 'continued_trend' as persistence, '8-neighbour' as connectivity from m group by 1, 2, 4"""
+
+
+@query("s6_write_masks_all", _all_masks_sql())
+def s6_all(spark, d):
+    plan = _pairs_of_all()
+    n = len(plan.cases)
+    made = plan.runs(fx.cells(spark, d), fx.grid_of(spark, d))
+    named = plan.names(spark, "scenario string, year int, added double, level double").select("pair", lv.case_id(F.col("scenario"), F.col("year"), F.col("added")).alias("case_id"), "level")
+    sides = [(i, m, label) for i, (b, a, _) in enumerate(plan.pairs) for label, m in (("baseline", b), ("continued", a), ("added", n + i))]
+    keyed = spark.createDataFrame(sides, "pair int, mask int, label string").join(named, "pair")
+    tags = named.select("case_id", F.lit("common analysis land").alias("domain"), F.lit("8-neighbour").alias("connectivity"), F.format_string("%.9f", "level").alias("water_level_egm2008_m"), F.lit("continued_trend").alias("persistence"))
+    path = f"{Scratch(spark).root}/masks"
+    bands.write_run_masks(made.join(F.broadcast(keyed), "mask").select("case_id", "label", "row", "start", "stop"), tags, path)
+    back, tags = bands.read_run_masks(spark, path)
+    cells = back.groupBy("case_id", "label").agg(F.sum(F.col("stop") - F.col("start")).alias("cells"))
+    return cells.join(tags, "case_id").select("case_id", "label", "cells", "water_level_egm2008_m", "persistence", "connectivity")
+
+
 @query("s7_write_layer", f"with {sql.CELLS} select row, col, round(case when common then rate_clean else (-9999)::float end::double, 6) as value from cells")
 def s7(spark, d):
     path = f"{Scratch(spark).root}/layer"
@@ -210,6 +261,17 @@ def s9(spark, d):
     return back.select(F.size("bands").cast("long").alias("bands"), F.size("domains").cast("long").alias("domains"), F.round(top, 4).alias("dem_maximum"), F.round("representativeness.population_share_percent", 4).alias("population_share_percent"))
 
 
+@query("s9_audit_grid", f"""with {sql.CELLS} select unnest(['dem', 'rate', 'sub_2050', 'sub_2100']) as band, 'EPSG:4326' as crs, 100::int as width, nrows::int as height, 112.0::double as west, round(22.8 - 0.0005 * nrows, 9)::double as south,
+  112.05::double as east, 22.8::double as north, 0.0005::double as pixel_width, 0.0005::double as pixel_height, (-9999)::double as nodata from size""")
+def s9_grid(spark, d):
+    cells, grid = fx.cells(spark, d), fx.grid_of(spark, d)
+    report = bands.audit_report(areas.domain_summary(cells, grid), areas.band_stats(cells, ["dem", "rate", "sub_2050", "sub_2100"]), _shares(spark, d), grid)
+    path = f"{Scratch(spark).root}/report"
+    report.coalesce(1).write.json(path)
+    back = spark.read.schema(report.schema).json(path).select(F.inline("bands"))
+    return rounded(back.select("band", "grid.*"), 9)
+
+
 @query("s10_verify_manifest", """
 select doc_id as file, case when doc_id % 50 = 1 then 'unlisted' when doc_id % 50 = 2 then 'mismatch' else 'ok' end as status from documents
 union all select 1000000000 + r, 'missing' from range(5) t(r)""")
@@ -444,6 +506,11 @@ def j1(spark, d):
     return rounded(resample.overlap_fraction(fx.cells(spark, d).where("common"), fx.grid_of(spark, d), fx.pop_grid_of(spark, d)))
 
 
+@query("j1_overlap_fraction_runs", f"with {sql.CELLS}, {sql.TO_POP}, m as (select row, col from cells where common), f as ({sql.fraction('m', 'p')}) select drow, dcol, round(fraction, 6) as fraction from f")
+def j1_runs(spark, d):
+    return rounded(runs.run_overlap(runs.cells_to_runs(fx.cells(spark, d).where("common")), fx.grid_of(spark, d), fx.pop_grid_of(spark, d), ()))
+
+
 @query("j2_population_overlap", f"""with {sql.CELLS}, {sql.TO_POP}, {sql.POPULATION}, m as (select row, col from cells where common), f as ({sql.fraction('m', 'p')})
 select pop_scenario, year, round(sum(population * fraction), 4) as population from f join pop on prow = drow and pcol = dcol where population >= 0 group by 1, 2""")
 def j2(spark, d):
@@ -456,6 +523,12 @@ def j3(spark, d):
     return rounded(resample.class_fraction(fx.classes(spark, d), 50, fx.class_grid_of(spark, d), fx.grid_of(spark, d)))
 
 
+@query("j3_class_fraction_runs", f"with {sql.CELLS}, {sql.TO_CELLS}, m as (select * from ({sql.class_tile()}) where class = 50), f as ({sql.fraction('m', 'k')}) select drow as row, dcol as col, round(fraction, 6) as fraction from f")
+def j3_runs(spark, d):
+    built = runs.run_overlap(runs.cells_to_runs(fx.classes(spark, d).where("class = 50")), fx.class_grid_of(spark, d), fx.grid_of(spark, d), ())
+    return rounded(built.select(F.col("drow").alias("row"), F.col("dcol").alias("col"), "fraction"))
+
+
 @query("j4_merge_max", f"with {sql.CELLS}, {BUILT} select row, col, round(fraction, 6) as fraction from built")
 def j4(spark, d):
     return rounded(_built(spark, d))
@@ -511,6 +584,12 @@ def a1(spark, d):
     return rounded(areas.mask_area(fx.cells(spark, d), fx.grid_of(spark, d), ("land", "common")))
 
 
+@query("a1_mask_area_runs", f"with {sql.CELLS}, {sql.AREA} select land, common, count(*) as pixels, round(sum(area_km2), 6) as area_km2 from cells join ra using (row) group by 1, 2")
+def a1_runs(spark, d):
+    by = ("land", "common")
+    return rounded(runs.run_area(runs.cells_to_runs(fx.cells(spark, d), by), fx.grid_of(spark, d), by))
+
+
 @query("a2_domain_summary", SUMMARY + f" select domain, pixels, round(area_km2, 6) as area_km2, round({SHARE}, 4) as share_of_dem_land_percent from one")
 def a2(spark, d):
     out = areas.domain_summary(fx.cells(spark, d), fx.grid_of(spark, d))
@@ -583,6 +662,12 @@ DATUM = _table_sql(
 )
 
 
+@query("c4_edge_cells_tiles", f"""with {sql.CELLS}, m as (select row, col from cells where common)
+select a.row, a.col from m a left join m b on b.row between a.row - 1 and a.row + 1 and b.col between a.col - 1 and a.col + 1 group by 1, 2 having count(*) < 9""")
+def c4_tiles(spark, d):
+    return flood.edge_cells(fx.cells(spark, d).where("common"), tile=SMALL_TILE)
+
+
 def _areas6(df: DataFrame) -> DataFrame:
     return df.select(*[r(c) if c.endswith("_km2") else F.col(c) for c in df.columns])
 
@@ -738,6 +823,19 @@ def r4(spark, d):
     return rounded(found.select("row", "col", F.col("priority")[0].alias("priority")), 4)
 
 
+@query("s7_write_priority_layers", PRIORITY + """ select c.row, c.col, case when c.common then round(coalesce(priority::double, 0), 4) else -9999 end as priority, case when c.common then round(coalesce(hits, 0) / 9::double, 5) else -9999 end as frequency
+  from cells c left join pri on pri.k = 4 and pri.row = c.row and pri.col = c.col left join rec on rec.row = c.row and rec.col = c.col""")
+def s7_priority(spark, d):
+    cells = fx.cells(spark, d)
+    found, hot = _hot(spark, d)
+    top = found.select("row", "col", F.col("priority")[4].alias("value"))
+    path = Scratch(spark).root
+    bands.write_layer(pr.on_grid(cells, top, "value"), F.col("value"), F.col("common"), f"{path}/priority")
+    bands.write_layer(pr.on_grid(cells, pr.recurrence(hot), "frequency"), F.col("frequency"), F.col("common"), f"{path}/frequency")
+    back = [spark.read.parquet(f"{path}/{n}").withColumnRenamed("value", n) for n in ("priority", "frequency")]
+    return back[0].join(back[1], ["row", "col"]).select("row", "col", r("priority", 4), r("frequency", 5))
+
+
 @query("r5_priority_cases", PRIORITY + """ select k::int as k, row, col, round(coalesce(priority::double, 0), 4) as priority
   from (select distinct row, col from pri) cross join nine left join pri using (k, row, col)""")
 def r5(spark, d):

@@ -16,7 +16,8 @@ from ..functions.levels import DATUM_CI95_M, threshold_proximity
 from ..functions.percentile import exact_percentiles
 from ..grid import GridSpec
 from ..operators.areas import mask_area
-from ..operators.flood import Case, connected_flood
+from ..operators.flood import Case
+from ..operators.spill import flood_by_levels
 from ..scratch import Scratch
 
 DEM_OFFSETS, DATUM_OFFSETS = (-0.5, 0.0, 0.5), (-DATUM_CI95_M, 0.0, DATUM_CI95_M)
@@ -67,7 +68,7 @@ def priority_cases(cells: DataFrame, grid: GridSpec, level: float, cases=None, *
     scales = {"rate_p95": f32_of(found[0]), "pop_log_p99": f32_of(found[1])}
     surfaces = {f"dem_{d}": F.col("dem") + f32(d) for d, _, _ in cases}
     floods = [Case(f"dem_{d}", h + REACH_M) for d, _, h in cases]
-    flood = connected_flood(cells, grid, surfaces, floods, carry=("common", "rate_clean", "density", "dem"), **how).where(common)
+    flood = flood_by_levels(cells, grid, surfaces, floods, carry=("common", "rate_clean", "density", "dem"), **how).where(common)
     s, p = normalise_p(F.col("rate_clean"), scales["rate_p95"]), normalise_p(log_pop, scales["pop_log_p99"])
     each = [priority_index(s, p, F.col("dem") + f32(d), h, F.array_contains("hits", k)) for k, (d, _, h) in enumerate(cases)]
     return flood.select("row", "col", F.array(*each).alias("priority")), scales
@@ -90,6 +91,12 @@ def recurrence(hot: DataFrame, n: int = 9) -> DataFrame:
     return hot.select("row", "col", hits.alias("hits")).where("hits > 0").withColumn("frequency", (F.col("hits") / F.lit(float(n))).cast("float"))
 
 
+def on_grid(cells: DataFrame, found: DataFrame, value: str) -> DataFrame:
+    """All cells with a value of ``found`` (row, col, value), 0 where it has none: the index and its recurrence as a whole grid."""
+    all_cells = cells.select("row", "col", "common").join(found.select("row", "col", value), ["row", "col"], "left")
+    return all_cells.withColumn(value, F.coalesce(value, f32(0.0)))
+
+
 def recurrence_areas(found: DataFrame, grid: GridSpec, n: int = 9) -> DataFrame:
     """One row: areas of frequency >= 2/3 and >= 1/3 (compared as integers), and the largest frequency."""
     sums = mask_area(found, grid, two_thirds=F.col("hits") * 3 >= 2 * n, one_third=F.col("hits") * 3 >= n)

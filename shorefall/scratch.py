@@ -48,18 +48,20 @@ class Scratch:
         out.scratch_path = path
         return out
 
-    def save_by(self, df: DataFrame, key: str, parts: int) -> DataFrame:
+    def save_by(self, df: DataFrame, key: str, parts: int, dealt: bool = False) -> DataFrame:
         """Saved in ``parts`` buckets by a column, so that grouping and joining by it reads the table without a shuffle.
 
+        dealt: the rows already lie in that many parts by the column.
+
         The catalogue is asked for the buckets only; its entry is gone before this returns, the files stay.
         """
         name = f"scratch_{uuid.uuid4().hex}"
-        dealt = df.repartition(parts, key).write.bucketBy(parts, key).sortBy(key).option("compression", "zstd")
-        path = self._write(lambda path: dealt.option("path", path).saveAsTable(name))
-        out = self.spark.table(name)
+        out = (df if dealt else df.repartition(parts, key)).write.bucketBy(parts, key).sortBy(key).option("compression", "zstd")
+        path = self._write(lambda path: out.option("path", path).saveAsTable(name))
+        found = self.spark.table(name)
         self.spark.sql(f"drop table {name}")
-        out.scratch_path = path
-        return out
+        found.scratch_path = path
+        return found
 
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..grid import GridSpec
+from ..scratch import Scratch
+from .digests import file_digests
+from .features import feature_texts
+
 MAIN_SCENARIOS, MAIN_YEARS, MAIN_ADDED = ("SSP2-4.5", "SSP5-8.5"), (2050, 2100), (0.0, 1.5, 3.0)
 #: Columns that may name a unit, the first that exists is taken.
 NAME_COLUMNS = ("NAME_2", "NL_NAME_2", "NAME_1", "GID_2", "GID_1")
@@ -27,11 +32,11 @@ def load_band(spark: SparkSession, path: str, nodata: float | None = -9999.0) ->
     return spark.read.parquet(path).select("row", "col", valid_value(F.col("value").cast("float"), nodata).alias("value"))
 
 
-def stack_bands(dem: DataFrame, bands: dict[str, DataFrame], by: tuple[str, ...] = ("row", "col")) -> DataFrame:
+def stack_bands(dem: DataFrame, bands: dict[str, DataFrame], by: tuple[str, ...] = ("row", "col"), parts: int | None = None) -> DataFrame:
     """Wide cells: the DEM's cells with one column a band; cells that a band lacks are null there.
 
-    All bands meet in one grouping, whose rows are combined before they are shuffled; bands in buckets by tile
-    (``by`` with "tile" in front) meet without a shuffle. Bands must lie on the DEM's grid: a cell that the DEM lacks is an error when it is read. Of
+    All bands meet in one grouping. With ``parts`` they are dealt in so many parts by the first column of ``by`` (a tile), and meet
+    there, so that the result can be written in buckets as it lies. Bands must lie on the DEM's grid: a cell that the DEM lacks is an error when it is read. Of
     rows that repeat a cell in a band the largest value counts.
     """
     all_bands = {"dem": dem, **bands}
@@ -39,6 +44,7 @@ def stack_bands(dem: DataFrame, bands: dict[str, DataFrame], by: tuple[str, ...]
     for i, band in enumerate(all_bands.values()):
         own = band.select(*by, F.lit(i).alias("__band"), "value")
         rows = own if rows is None else rows.union(own)
+    rows = rows.repartition(parts, by[0]) if parts else rows
     own = lambda i: F.col("__band") == i
     grouped = rows.groupBy(*by).agg(*[F.max(F.when(own(i), F.col("value"))).alias(n) for i, n in enumerate(all_bands)], F.max(own(0)).alias("__dem"), F.max("__band").alias("__last"))
     name = F.array(*[F.lit(n) for n in all_bands])[F.col("__last")]
@@ -75,20 +81,19 @@ def select_population(files: DataFrame, scenario: str, year: int) -> DataFrame:
 def load_admin_units(
     spark: SparkSession, path: str, bbox: tuple[float, float, float, float], names: tuple[str, ...] = NAME_COLUMNS
 ) -> tuple[DataFrame, DataFrame]:
-    """(units, edges) of the features of a GeoJSON file whose box meets bbox (west, east, south, north).
+    """(units, edges) of the features of GeoJSON files whose box meets bbox (west, east, south, north).
 
+    The files are read in parts (``feature_texts``).
     units: unit_id, name. edges: unit_id, part, ring, x1, y1, x2, y2. Features without geometry go. The name is
     the first of ``names`` that the file has (by its columns, not row by row), else the feature's number.
     """
     rings = T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType())))
-    seen = spark.read.option("multiLine", True).json(path)
-    kind = seen.schema["features"].dataType.elementType
-    found = [f.name for f in kind["properties"].dataType.fields] if "properties" in kind.names else []
-    schema = T.StructType([T.StructField("features", T.ArrayType(T.StructType([
-        T.StructField("properties", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("geometry", T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())])),
-    ])))])
-    feature = spark.read.option("multiLine", True).schema(schema).json(path).select(F.posexplode("features").alias("unit_id", "f"))
+    scratch = Scratch(spark)
+    schema = "type string, properties map<string,string>, geometry struct<type:string,coordinates:string>"
+    read = feature_texts(spark, path, scratch).select(F.col("number").alias("unit_id"), F.from_json("text", schema).alias("f"))
+    feature = scratch.save(read.where("f.type = 'Feature'"))
+    named = feature.agg(*[F.coalesce(F.max(F.map_contains_key("f.properties", F.lit(n))), F.lit(False)) for n in names]).first() if names else []
+    found = [n for n, there in zip(names, named) if there]
     text = F.col("f.geometry.coordinates")
     many = T.ArrayType(rings)
     shape = F.when(F.col("f.geometry.type") == "MultiPolygon", F.from_json(text, many)).otherwise(F.array(F.from_json(text, rings)))
@@ -129,21 +134,48 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         one.write.mode("overwrite").format(fmt).save(path)
 
 
-def audit_report(summary: DataFrame, bands: DataFrame, shares: DataFrame) -> DataFrame:
-    """One nested row: band statistics, the domains, and the shares of the common domain."""
+def write_run_masks(runs: DataFrame, tags: DataFrame, path: str) -> None:
+    """Masks as runs (case_id, label, row, start, stop), a folder for each case and label, and the tags of each case beside them.
+
+    tags: a row for each case_id with what describes it (domain, connectivity, water level, persistence).
+    """
+    runs.repartition("case_id", "label", F.floor(F.col("row") / MASK_ROWS)).write.mode("overwrite").partitionBy("case_id", "label").parquet(f"{path}/runs")
+    tags.coalesce(1).write.mode("overwrite").json(f"{path}/tags")
+
+
+def read_run_masks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(runs, tags) of ``write_run_masks``."""
+    return spark.read.parquet(f"{path}/runs"), spark.read.json(f"{path}/tags")
+
+
+def audit_report(summary: DataFrame, bands: DataFrame, shares: DataFrame, grid: GridSpec | None = None) -> DataFrame:
+    """One nested row: band statistics, the domains, the shares of the common domain, and the grid of each band if it is given."""
     band = bands.agg(F.sort_array(F.collect_list(F.struct("band", "valid_pixels", "minimum", "maximum"))).alias("bands"))
     domains = summary.agg(F.sort_array(F.collect_list(F.struct("domain", "pixels", "area_km2", "share_of_dem_land_percent"))).alias("domains"))
     share = shares.select(F.struct(*shares.columns).alias("representativeness"))
-    return band.crossJoin(domains).crossJoin(share)
+    out = band.crossJoin(domains).crossJoin(share)
+    if grid is None:
+        return out
+    geometry = F.struct(*[F.lit(v).alias(n) for n, v in _geometry(grid).items()])
+    return out.withColumn("bands", F.transform("bands", lambda b: b.withField("grid", geometry)))
+
+
+def _geometry(grid: GridSpec) -> dict:
+    west, east, south, north = grid.extent()
+    return {"crs": grid.crs, "width": grid.ncols, "height": grid.nrows, "west": west, "south": south, "east": east, "north": north, "pixel_width": grid.dx, "pixel_height": -grid.dy, "nodata": grid.nodata}
 
 
 def verify_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """(file, status): ok, mismatch (bytes or hash), missing (listed, not there), unlisted.
 
-    files: file, content (binary or text). manifest: file, bytes, sha256 (any case).
+    files: file and content (binary or text), or file, bytes and sha256 as ``file_digests`` gives them for files of any size.
+    manifest: file, bytes, sha256 (any case).
     """
-    content = F.col("content").cast("binary")
-    there = files.select("file", F.octet_length(content).cast("long").alias("have_bytes"), F.sha2(content, 256).alias("have"))
+    if "sha256" in files.columns:
+        there = files.select("file", F.col("bytes").cast("long").alias("have_bytes"), F.lower("sha256").alias("have"))
+    else:
+        content = F.col("content").cast("binary")
+        there = files.select("file", F.octet_length(content).cast("long").alias("have_bytes"), F.sha2(content, 256).alias("have"))
     both = there.join(manifest.select("file", F.col("bytes").cast("long").alias("bytes"), F.lower("sha256").alias("sha256")), "file", "full")
     status = (
         F.when(F.col("have").isNull(), "missing").when(F.col("sha256").isNull(), "unlisted")
@@ -153,5 +185,5 @@ def verify_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file, content) of a folder's files, for verify_manifest."""
-    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    """(file, bytes, sha256) of a folder's files of any size, for verify_manifest; file is the path from the folder."""
+    return file_digests(spark, path)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..grid import GridSpec, clip_window
+from .bands import stack_bands
 
 TILE = 512
 #: Tiles that a clip names one by one, so that other buckets are not opened.
@@ -32,6 +33,20 @@ def write_tiles(cells: DataFrame, grid: GridSpec, name: str, tile: int = TILE, p
     (out.option("path", path) if path else out).saveAsTable(name)
 
 
+def write_stack(dem: DataFrame, bands: dict[str, DataFrame], grid: GridSpec, name: str, tile: int = TILE, parts: int | None = None, path: str | None = None) -> None:
+    """A store of the cells of ``stack_bands``. All bands are dealt to the buckets together, in one shuffle, and meet in them."""
+    parts = parts or int(dem.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = stacked(dem, bands, grid, tile, parts).write
+    out = out.mode("overwrite").bucketBy(parts, "tile").sortBy("tile", "row", "col").option("compression", "zstd")
+    (out.option("path", path) if path else out).saveAsTable(name)
+
+
+def stacked(dem: DataFrame, bands: dict[str, DataFrame], grid: GridSpec, tile: int, parts: int) -> DataFrame:
+    """The stack with its tiles, in ``parts`` parts by tile."""
+    number = tile_number(grid, tile)
+    return stack_bands(dem.withColumn("tile", number), {n: b.withColumn("tile", number) for n, b in bands.items()}, ("tile", "row", "col"), parts)
+
+
 def read_tiles(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
