@@ -30,18 +30,23 @@ SAMPLE = 2048
 PIVOTS = (64, 1024)
 #: Vectors of a chunk and queries of a block at most, fewer where that would be more than BYTES of components.
 CHUNK, BLOCK, BYTES = 32_768, 32_768, 32 << 20
-#: Scores computed at once inside a task.
-SCORES = 1 << 21
+#: Scores computed at once inside a task, and queries routed at once.
+SCORES, ROUTED = 1 << 21, 512
+FARTHEST = 1e150
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0) -> DataFrame:
     """(vec_id, q): floor(scale * x) of each component, as a double, which holds every such integer exactly.
 
-    Rows take no part if id or vector is null, or a component is null, NaN or infinite.
+    Rows take no part if id or vector is null, or a component is null, NaN or infinite. Finite ones whose squares no
+    double holds (scaled, FARTHEST or more) are an error that names the row.
     """
     x = F.col(vec_col)
     whole = ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     scaled = lambda v: v.cast("double") * scale
+    far = F.exists(x, lambda v: F.abs(scaled(v)) >= FARTHEST)
+    message = F.concat(F.lit("vec_id "), F.col(id_col).cast("string"), F.lit(f": a component beyond {FARTHEST:g} / {scale:g}"))
+    x = F.when(whole & far, F.raise_error(message).cast(vectors.schema[vec_col].dataType)).otherwise(x)
     ints = F.transform(x, lambda v: F.when(F.abs(scaled(v)) < float(1 << 52), F.floor(scaled(v)).cast("double")).otherwise(scaled(v)))
     return vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & whole).select(F.col(id_col).cast("long").alias("vec_id"), ints.alias("q"))
 
@@ -110,6 +115,15 @@ def _parts(pivots: np.ndarray, rows: dict[int, int], most: int) -> tuple[np.ndar
     return first, parts
 
 
+def chunks_of(asks_for: np.ndarray, first: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, chunk) pairs, sorted and distinct, of (query asks for cell) and the cells' chunks; memory follows what is asked for."""
+    r, c = np.nonzero(asks_for)
+    n = parts[c]
+    chunk = np.repeat(first[c], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    pairs = np.unique(np.repeat(r, n).astype(np.int64) << 32 | chunk)
+    return pairs >> 32, pairs & 0xFFFFFFFF
+
+
 def route(vectors: DataFrame, is_query: Column, k: int, id_col: str, vec_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, int] | None:
     """(placed, routed, dims); None for a table without vectors.
 
@@ -144,31 +158,28 @@ def route(vectors: DataFrame, is_query: Column, k: int, id_col: str, vec_col: st
     number, reach, norms = cells["cell"].to_numpy(), cells["far"].to_numpy(), cells["norm"].to_numpy()
     first, parts = _parts(pivots, dict(zip(number.tolist(), cells["n"].tolist())), chunk)
     block_first, block_parts = _parts(pivots, dict(zip(number.tolist(), cells["asked"].tolist())), block)
-    n_chunks = int((first + parts).max())
-    # (query asks for cell) x (cell lies in chunk), for cells in the order of number
-    lies = np.zeros((len(number), n_chunks), np.float32)
-    for i, cell in enumerate(number.tolist()):
-        lies[i, first[cell] : first[cell] + parts[cell]] = 1
     dealt_as = spark.createDataFrame([(int(c), int(first[c]), int(parts[c])) for c in number], "cell int, first int, parts int")
-    placed = placed.join(F.broadcast(dealt_as), "cell").withColumn("chunk", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int"))
+    placed = placed.join(F.broadcast(dealt_as), "cell").withColumn("chunk", (F.col("first") + F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col("parts"))).cast("int"))  # rows that repeat an id are spread too
 
     def bound(batches):
         for b in batches:
-            q, qid, home = _matrix(b.column(1), dims), b.column(0).to_numpy(), b.column(2).to_numpy()
-            if not len(q):
-                continue
-            least = np.full(len(q), np.iinfo(np.int64).min)
-            row, _, got = _best(sample_ids, sample, qid, q, least, k)
-            full = np.bincount(row, minlength=len(q)) == k
-            last = np.searchsorted(row, np.arange(len(q)), "right") - 1
-            least[full] = [max(-(2**63), min(2**63 - 1, int(v))) for v in got[last[full]]]
-            size = np.linalg.norm(q, axis=1)
-            most = np.minimum(q @ pivots[number].T + size[:, None] * reach, size[:, None] * norms)
-            asks_for = most * (1 + 1e-9) + np.abs(most) * 1e-9 + size[:, None] * norms * 1e-9 + 1e-3 >= least[:, None]
-            r, c = np.nonzero(asks_for.astype(np.float32) @ lies)
-            own = block_first[home] + (mix(qid.astype(np.int64).view(np.uint64)) % block_parts[home].astype(np.uint64)).astype(np.int64)
-            asked_chunks = pa.ListArray.from_arrays(np.searchsorted(r, np.arange(len(q) + 1)).astype(np.int32), pa.array(c.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(least), pa.array(own.astype(np.int32)), asked_chunks], ["query_id", "q", "least", "block", "chunks"])
+            for at in range(0, len(b), ROUTED):
+                yield bound_part(b.slice(at, ROUTED))
+
+    def bound_part(b):
+        q, qid, home = _matrix(b.column(1), dims), b.column(0).to_numpy(), b.column(2).to_numpy()
+        least = np.full(len(q), np.iinfo(np.int64).min)
+        row, _, got = _best(sample_ids, sample, qid, q, least, k)
+        full = np.bincount(row, minlength=len(q)) == k
+        last = np.searchsorted(row, np.arange(len(q)), "right") - 1
+        least[full] = [max(-(2**63), min(2**63 - 1, int(v))) for v in got[last[full]]]
+        size = np.linalg.norm(q, axis=1)
+        most = np.minimum(q @ pivots[number].T + size[:, None] * reach, size[:, None] * norms)
+        asks_for = most * (1 + 1e-9) + np.abs(most) * 1e-9 + size[:, None] * norms * 1e-9 + 1e-3 >= least[:, None]
+        r, c = chunks_of(asks_for, first[number], parts[number])
+        own = block_first[home] + (mix(qid.astype(np.int64).view(np.uint64)) % block_parts[home].astype(np.uint64)).astype(np.int64)
+        asked_chunks = pa.ListArray.from_arrays(np.searchsorted(r, np.arange(len(q) + 1)).astype(np.int32), pa.array(c.astype(np.int32)))
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(least), pa.array(own.astype(np.int32)), asked_chunks], ["query_id", "q", "least", "block", "chunks"])
 
     asked = placed.where(asks).select("vec_id", "q", "cell").distinct()
     routed = scratch.save(asked.mapInArrow(bound, "query_id long, q array<double>, least long, block int, chunks array<int>"))
