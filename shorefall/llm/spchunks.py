@@ -2,8 +2,9 @@
 
 No piece of the model holds a white-space marker behind another character, so no piece crosses from a word
 into the next marker, and BPE merges never do either: a text is cut before each run of blanks, each distinct
-chunk is segmented once by the library, and ids are joined back by position. The table lives in the worker
-and takes no more chunks beyond a bound, so a task's memory does not grow with the corpus and texts need no shuffle.
+chunk is segmented once by the library, and ids are joined back by position. The table lives in the worker, in two
+generations of bounded size: chunks that come again stay, others go, so a task's memory does not grow with the corpus and
+texts need no shuffle.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from .dac import Recent
 from .text import map_slices
 
 MARK = "▁"
-#: Chunks that a worker's table holds at most, the longest chunk that it keeps, and bytes of text handled at once.
-TABLE, LONGEST, PART_BYTES = 100_000, 64, 1 << 19
+#: Chunks of a generation of a worker's table, and bytes of text handled at once.
+TABLE, PART_BYTES = 60_000, 1 << 19
 RUNS = re.compile(" +[^ ]+")
 
 
@@ -43,7 +45,7 @@ class ChunkTable:
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces = (self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size()))
         self.cuts = not any(MARK in p.lstrip(MARK) for p in pieces)
-        self.table: dict[str, tuple[int, str, str]] = {}
+        self.table = Recent(TABLE)
 
     def rows(self, ids: list[list[int]]) -> list[tuple[int, str, str]]:
         return [(len(x), ",".join(map(str, x)), d) for x, d in zip(ids, self.sp.decode(ids))]
@@ -51,10 +53,11 @@ class ChunkTable:
     def look_up(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(n, ids, decoded) of each whole text."""
         cut = [chunks(t) if self.cuts else None for t in texts]
-        table = self.table
-        new = list(set().union(*(c for c in cut if c)).difference(table))
-        if new:
-            table.update(zip(new, self.rows(self.sp.encode(new, num_threads=1))))
+        distinct = set().union(*(c for c in cut if c))
+        lines = [c for c in distinct if "\n" in c]  # these hardly ever come again
+        words = list(distinct.difference(lines))
+        make = lambda new: self.rows(self.sp.encode(new, num_threads=1)) if new else []
+        table = dict(zip(words, self.table.look_up(words, make))) | dict(zip(lines, make(lines)))
         out = []
         for text, own in zip(texts, cut):
             if own is None:
@@ -62,10 +65,6 @@ class ChunkTable:
             else:
                 got = [table[c] for c in own]
                 out.append((sum([g[0] for g in got]), ",".join([g[1] for g in got if g[0]]), " ".join([g[2] for g in got])))
-        full = len(table) > TABLE
-        for c in new:  # once the table is full, new chunks serve their slice alone; those across lines hardly ever come again
-            if full or len(c) > LONGEST or "\n" in c:
-                del table[c]
         return out
 
 
@@ -83,7 +82,8 @@ def _table(key: int, model: bytes) -> ChunkTable:
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; null text counts as empty, a null id stays null.
 
-    Repeated rows are each encoded; an empty text has no ids and the hashes of the empty string.
+    Repeated rows are each encoded; an empty text has no ids and the hashes of the empty string. An empty table gives an empty
+    one; other columns play no part. A long text is cut into chunks whole, some ten times its size in memory.
     """
     with open(model_path, "rb") as f:
         model = f.read()
