@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from .text import raw, small_batches, text_udf, unused
 
 WINDOW = 10
@@ -175,9 +176,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, name: str
     """Columns of ``docs`` and ``name``: struct(spans array<int> (flat pairs of word positions), items array<string>), null without a hit.
 
     benchmark: item_id, text. Items with a null id or without words take no part; repeated ids count once.
-    Documents are passed once for each block of items. An empty benchmark hits nothing.
+    Documents are passed once for each block of items, and written behind each block but the last, so that workers hold one
+    automaton at a time. An empty benchmark hits nothing.
     """
     small_batches(docs)
+    scratch, sent, saved = Scratch(docs.sparkSession), None, None
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES) or 1
@@ -188,6 +191,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, name: str
         listed = [(r.item, ws) for r in own if (ws := words(r.text.encode()))]
         if not listed:
             continue
+        if sent is not None:
+            before, saved = saved, scratch.save(out)
+            sent.destroy()
+            if before is not None:
+                scratch.drop(before)
+            out = saved
         sent = docs.sparkSession.sparkContext.broadcast(Automaton(listed, window))  # one block of items
 
         def make(sent=sent):
