@@ -523,6 +523,28 @@ def test_url_trees_learn_from_form(spark):
     assert right >= 390
 
 
+@have_tables
+def test_url_trees_beat_the_commonest_label(spark):
+    """Fitted on seven tenths of the URLs that rules decide (by hash), judged on the others."""
+    pages = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/pages.parquet")
+    rows = urls.labelled(pages)
+    tenth = F.pmod(F.xxhash64("url"), F.lit(10))
+    model = urls.UrlModel(rows.where(tenth < 7))
+    got = [(r.label == 1.0, r.p_block >= 0.5) for r in model.blocked(rows.where(tenth >= 7)).collect()]
+    share = sum(a for a, _ in got) / len(got)
+    assert len(got) > 200 and sum(a == b for a, b in got) / len(got) > max(share, 1 - share) + 0.15
+    assert model.held_out[0] > model.held_out[1] + urls.MARGIN
+
+
+def test_url_labels_without_a_signal_fall_back(spark):
+    rng = random.Random(5)
+    rows = [(f"http://{rng.randrange(10**9):x}.example.net/{rng.randrange(10**6)}", float(rng.random() < 0.3)) for _ in range(600)]
+    host, path = urls.split_url(F.col("url"))
+    train = table(spark, rows, "url string, label double").select("url", host.alias("host"), path.alias("path"), "label")
+    model = urls.UrlModel(train)
+    assert model.trees is None and {r.p_block for r in model.blocked(train.drop("label")).collect()} == {model.base} and model.base < 0.5
+
+
 def slow_url(url):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     host = re.match(r"[^/?#]*", rest)[0]
@@ -593,18 +615,71 @@ def test_registered_queries_and_sql(spark):
 
 
 @have_tables
+def slow_fingerprint(text):
+    ws = re.findall(rb"[^\x20\x09-\x0D]+", bytes(c + 32 if 65 <= c < 91 else c for c in (text or "").encode()))
+    grams = [b" ".join(ws[k : k + 3]) for k in range(len(ws) - 2)] or ([b" ".join(ws)] if ws else [])
+    hs = [xxhash.xxh64_intdigest(g, seed=42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def is_part(some, whole):
+    it = iter(whole)
+    return all(w in it for w in some)
+
+
 def test_pipeline(spark):
+    """Each stage on what the one before kept: ids, texts and columns against what brute force keeps."""
     import corpus_pipeline as c
+    import public_tokenizers
+    import sentencepiece
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert c.ORACLE_SQL is None and len(c.STAGES) == 5
-    n, scratch = docs.count(), Scratch(spark)
-    for name, stage in c.STAGES[:-1]:
-        out = scratch.save(stage(spark, docs, SF))
-        assert out.columns == docs.columns and out.count() <= n
-        docs, n = out, out.count()
-    assert decontam.report(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).where("contaminated").count() <= 1
-    assert c.run(spark, SF).count() == n > 100
+    scratch, kept = Scratch(spark), [docs]
+    for _, stage in c.STAGES[:-1]:
+        kept.append(scratch.save(stage(spark, kept[-1], SF)))
+        assert kept[-1].columns == docs.columns
+    ids = [[r.doc_id for r in d.collect()] for d in kept]
+    assert all(len(set(own)) == len(own) and set(own) <= set(before) for before, own in zip(ids, ids[1:]))
+    texts = [{r.doc_id: r.text for r in d.collect()} for d in kept]
+    # 1: what the classifier gives 0.7 or more stays as it is
+    good = {r.doc_id for r in quality.judged(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect() if r.predicted}
+    assert set(ids[1]) == good and all(texts[1][i] == texts[0][i] for i in ids[1])
+    # 5: the smallest id of each class of fingerprints stays
+    prints = {i: slow_fingerprint(t) for i, t in texts[1].items()}
+    first = {}
+    for i in sorted(prints):
+        if i not in first:
+            todo = [i]
+            while todo:
+                x = todo.pop()
+                if x not in first:
+                    first[x] = i
+                    todo += [y for y in prints if y not in first and (prints[x] ^ prints[y]).bit_count() <= 3]
+    assert set(ids[2]) == set(first.values()) and all(texts[2][i] == texts[1][i] for i in ids[2])
+    # 7: words are cut only; no run of 50 words is left twice
+    assert set(ids[3]) <= set(ids[2]) and all(is_part(texts[3][i].split(), texts[2][i].split()) for i in ids[3])
+    runs = {}
+    for i in sorted(ids[3]):
+        ws = texts[3][i].lower().split()
+        for k in range(len(ws) - 49):
+            runs.setdefault(tuple(ws[k : k + 50]), set()).add(i)
+    assert all(len(own) == 1 for own in runs.values())
+    # 9: hit words are cut, and documents that are mostly such words go
+    items = [(str(r.item_id), decontam.words(r.text.encode())) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    grams = {tuple(ws[k : k + min(10, len(ws))]) for _, ws in items for k in range(len(ws) - min(10, len(ws)) + 1)}
+    for i in ids[3]:
+        ws, hit = decontam.words(texts[3][i].encode()), set()
+        for n in {len(g) for g in grams}:
+            hit |= {x for k in range(len(ws) - n + 1) if tuple(ws[k : k + n]) in grams for x in range(k, k + n)}
+        assert (i in texts[4]) == (len(hit) <= 0.5 * len(ws)) or not ws
+        if i in texts[4]:
+            assert decontam.words(texts[4][i].encode()) == [w for k, w in enumerate(ws) if k not in hit] and (hit or texts[4][i] == texts[3][i])
+    # 6: the library's ids of what is left
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = {i: (len(own), hashlib.sha256(",".join(map(str, own)).encode()).hexdigest(), hashlib.sha256(sp.decode(own).encode()).hexdigest()) for i, own in ((i, sp.encode(t or "")) for i, t in texts[4].items())}
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in c.run(spark, SF).collect()}
+    assert got == want and len(got) > 100
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in c.STAGES:
         assert stage(spark, empty, SF).collect() == []
