@@ -571,6 +571,14 @@ def j7(spark, d):
     return out.select("site", "row", "col", r("distance_m", 3), r("value", 5))
 
 
+@query("j7_nearest_value", f"""with {sql.CELLS}, {SITES}, nv as (select site, c.row, c.col, dem, 2 * 6371008.8::double * asin(sqrt(pow(sin((radians(22.8::double - 0.0005::double * (c.row + 0.5::double)) - radians(lat)) / 2), 2)
+  + cos(radians(lat)) * cos(radians(22.8::double - 0.0005::double * (c.row + 0.5::double))) * pow(sin(radians(112.0::double + 0.0005::double * (c.col + 0.5::double) - lon) / 2), 2))) as d from si, cells c where dem is not null),
+nr as (select *, row_number() over (partition by site order by round(d, 6), row, col) as n from nv)
+select site, row, col, round(d, 3) as distance_m, round(dem::double, 5) as value from nr where n = 1""")
+def j7_value(spark, d):
+    return zones.nearest_value(fx.sites(spark, d), fx.cells(spark, d), fx.grid_of(spark, d)).select("site", "row", "col", r("distance_m", 3), r("value", 5))
+
+
 @query("j8_masked_density", f"with recursive {sql.CELLS}, {sql.POPULATION}, {sql.DENSITY}, {sql.floods([PAIR[1]])} select row, col, round(density::double, 2) as density from dens join fl using (row, col)")
 def j8(spark, d):
     return rounded(resample.masked_density(_dense(spark, d).select("row", "col", "density"), _pair(spark, d).where(F.array_contains("hits", 1))), 2)

@@ -241,3 +241,56 @@ def test_a_large_file_is_read_in_blocks(tmp_path):
     for _ in range(3 << 6):
         want.update(bytes(1 << 24))
     assert (name, int(size), sha) == ("sparse", 3 << 30, want.hexdigest()) and int(kb) < 500_000
+
+
+# --- blocks
+
+
+@pytest.mark.parametrize("block", [4, 16, 64])
+def test_coverage_from_block_sums(spark, block):
+    from shorefall.operators import zones
+
+    rng = np.random.default_rng(block)
+    n, m = 50, 70
+    grid = GridSpec(112, 0.0005, 22.8, -0.0005, n, m)
+    kind = rng.random((n, m))
+    rows = [(r, c, 1.0 if kind[r, c] > 0.1 else None, bool(kind[r, c] > 0.3), 1.0 if kind[r, c] > 0.5 else None, 1.0) for r in range(n) for c in range(m)]
+    cells = spark.createDataFrame(rows, "row int, col int, dem float, land boolean, rate float, sub_2100 float")
+    spans = [(u, r, a, b) for u, (r0, r1, lean) in enumerate([(0, 50, 0), (3, 45, 1), (10, 12, 0), (49, 50, 0)]) for r in range(r0, r1) for a, b in [(min(69, lean * r // 2), 69 - lean * r // 3)]]
+    spans += [(4, 5, 3, 3), (4, 5, 60, 62)]
+    got = {x.administrative_unit: (x.land_area_km2, x.common_area_km2) for x in zones.admin_coverage(spark.createDataFrame([(u, f"u{u}") for u in range(6)], "unit_id int, name string"), spark.createDataFrame(spans, "unit_id int, row int, col_start int, col_end int"), cells, grid, block=block).collect()}
+    from shorefall.grid import row_area_table
+
+    area = {r.row: r.area_km2 for r in row_area_table(spark, grid).collect()}
+    want = {}
+    for u, r, a, b in spans:
+        for c in range(a, b + 1):
+            if kind[r, c] > 0.3:
+                x, y = want.get(f"u{u}", (0.0, 0.0))
+                want[f"u{u}"] = (x + area[r], y + area[r] * (kind[r, c] > 0.5))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_nearest_value_against_all_cells(spark):
+    from shorefall.operators import zones
+
+    rng = np.random.default_rng(4)
+    n, m, block = 60, 90, 4
+    grid = GridSpec(20, 0.01, 61, -0.01, n, m)
+    there = rng.random((n, m)) < 0.004
+    there[50, 80:84] = True
+    cells = spark.createDataFrame([(r, c, float(r) if there[r, c] else None) for r in range(n) for c in range(m)], "row int, col int, dem float")
+    sites = [(i, float(20 + rng.random() * 0.9), float(61 - rng.random() * 0.6)) for i in range(1000)] + [(1000, 19.0, 61.5), (1001, 25.0, 60.0), (1002, None, 60.0)]
+    sites += [(1003, 20 + 0.01 * 82.0, 61 - 0.01 * 50.5)]  # as far from one cell as from the next
+    got = {x.site: (x.row, x.col, x.value) for x in zones.nearest_value(spark.createDataFrame(sites, "site int, lon double, lat double"), cells, grid, block=block).collect()}
+    r, c = np.nonzero(there)
+    lat, lon = np.radians(61 - 0.01 * (r + 0.5)), np.radians(20 + 0.01 * (c + 0.5))
+    for i, x, y in sites:
+        if x is None:
+            assert i not in got
+            continue
+        a, b = np.radians(y), np.radians(x)
+        d = np.round(2 * 6371008.8 * np.arcsin(np.sqrt(np.sin((lat - a) / 2) ** 2 + np.cos(a) * np.cos(lat) * np.sin((lon - b) / 2) ** 2)), 6)
+        k = np.lexsort((c, r, d))[0]
+        assert got[i] == (r[k], c[k], float(r[k])), i
+    assert zones.nearest_value(spark.createDataFrame(sites, "site int, lon double, lat double"), cells.where("dem > 1000"), grid).collect() == []
