@@ -47,5 +47,6 @@ def connected_components(edges: DataFrame, scratch: Scratch, src: str = "src", d
         nxt = pick.select(F.col("node").alias("to"), F.col("to").alias("then"))
         at = at.join(nxt, "to", "left").select("node", F.coalesce("then", "to").alias("to"))
     at = scratch.save(at)
+    scratch.drop(live, *picks)
     least = at.groupBy("to").agg(F.min("node").alias("component"))
     return at.join(least, "to").select("node", "component")

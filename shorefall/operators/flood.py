@@ -151,6 +151,7 @@ def connected_flood(
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64())
         return pa.table([pa.array(x, kd) for x, kd in zip(whole, kinds)], ["case", "row", "col", "node"])
 
+    mark = scratch.n
     border = scratch.save(dealt.groupBy("tile").applyInArrow(outline, "case int, row int, col int, node long"))
     inner = border.where("row >= 0")
     # of each pair of neighbours one is above or left; only those in another tile are asked for
@@ -168,6 +169,7 @@ def connected_flood(
     seas = classes.where(F.col("node").bitwiseAND(F.lit(SEA)) == SEA).select("component")  # at most one row a case
     reached = classes.join(F.broadcast(seas), "component", "left_semi").where(F.col("node").bitwiseAND(F.lit(SEA)) != SEA)
     wet = scratch.save(reached.select(F.shiftright(F.col("node"), 24).bitwiseAND(F.lit((1 << 24) - 1)).alias("tile"), "node"))
+    scratch.drop_since(mark, wet)
 
     kept = [f for f in cells.schema.fields if f.name in carry]
     schema = "row int, col int, " + "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "hits array<int>"

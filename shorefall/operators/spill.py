@@ -222,6 +222,7 @@ def _wet_border(dealt: DataFrame, grid: GridSpec, fields: list[Field], most: lis
             out.append([base + cell[edge], np.full(len(edge), BORDER), flat[edge]])
         return pa.table([pa.array(np.concatenate(x), kd) for x, kd in zip(zip(*out), (pa.int64(), pa.int64(), pa.float32()))], ["a", "b", "w"])
 
+    mark = scratch.n
     found = scratch.save(dealt.groupBy("tile").applyInArrow(outline, "a long, b long, w float"))
     place = F.col("a").bitwiseAND(F.lit(SEA))
     row, col = F.floor(place / F.lit(ncols)), place % ncols
@@ -237,7 +238,9 @@ def _wet_border(dealt: DataFrame, grid: GridSpec, fields: list[Field], most: lis
     level = border_levels(found.where(F.col("b") != BORDER).union(across), scratch, len(fields), small)
     row, col = F.floor(F.col("node").bitwiseAND(F.lit(SEA)) / F.lit(ncols)), F.col("node").bitwiseAND(F.lit(SEA)) % ncols
     number = F.floor(row / tile) * (-(-ncols // tile)) + F.floor(col / tile)
-    return scratch.save(level.select(number.cast("long").alias("tile"), "node", "level"))
+    wet = scratch.save(level.select(number.cast("long").alias("tile"), "node", "level"))
+    scratch.drop_since(mark, wet)
+    return wet
 
 
 def _levels(t: _Tile, nodes: pa.Table, grid: GridSpec, fields: list[Field], most: list[float]):

@@ -64,7 +64,16 @@ class Scratch:
         return found
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
         for t in tables:
-            p = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            self._delete(t.scratch_path)
+
+    def drop_since(self, mark: int, *keep: DataFrame) -> None:
+        """Drops what was saved since ``mark`` (an earlier ``n``), but for tables that are still read."""
+        kept = {t.scratch_path for t in keep}
+        for i in range(mark, self.n):
+            if (path := f"{self.root}/{i}") not in kept:
+                self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

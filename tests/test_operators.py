@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +148,21 @@ def test_sites(spark):
     resid = spark.createDataFrame([(1, i, float(i)) for i in range(5)], "site int, i long, e double")
     low, high = st.bootstrap_rmse(resid, 10, 3).first()[1:]
     assert low < high <= 4
+
+
+def test_bootstrap_in_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(st, "SQUARES", 16)
+    monkeypatch.setattr(st, "TOGETHER", 4)
+    sizes, rows = {1: 1, 2: 16, 3: 17, 4: 100}, []
+    for site, n in sizes.items():
+        rows += [(site, i, float(rng.normal()) if i != 5 else None) for i in range(n)]
+    got = {r.site: (r.rmse_low, r.rmse_high) for r in st.bootstrap_rmse(spark.createDataFrame(rows, "site int, i long, e double"), 10, 7).collect()}
+    for site, n in sizes.items():
+        ee = np.array([(e or 0.0) ** 2 for s, _, e in rows if s == site])
+        rmse = []
+        for rep in range(1, 11):
+            at = [int(hashlib.md5(f"7|{site}|{rep}|{k}".encode()).hexdigest()[:8], 16) % n for k in range(n)]
+            rmse.append(np.sqrt(ee[at].sum() / n))
+        assert got[site] == pytest.approx((np.percentile(rmse, 2.5), np.percentile(rmse, 97.5)))
+    assert st.bootstrap_rmse(spark.createDataFrame([], "site int, i long, e double")).collect() == []

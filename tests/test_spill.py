@@ -148,3 +148,16 @@ def test_numbers_that_do_not_fit_are_refused(spark):
     with pytest.raises(ValueError):
         connection_levels(cells, GridSpec(0, 1, 0, -1, 10**9, 10**9), {"dem": F.col("dem")}, [Field("dem")])
     assert spill.SEA == 2**48 - 1
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    from shorefall.scratch import Scratch
+
+    rows = random_cells(np.random.default_rng(1), 30, 30, 9)
+    cells, grid = spark.createDataFrame(rows, SCHEMA), GridSpec(0, 1, 0, -1, 30, 30)
+    for how, small in ((connected_flood, None), (flood_by_levels, 0), (flood_by_levels, 10**6)):
+        scratch = Scratch(spark)
+        scratch.root = f"file://{tmp_path}/{how.__name__}{small}"
+        out = how(cells, grid, {"dem": F.col("dem")}, [Case("dem", 2.0)], scratch=scratch, tile=8, **({} if small is None else {"small": small}))
+        assert len(list((tmp_path / f"{how.__name__}{small}").iterdir())) == 2  # the tiles, and what reaches the sea
+        assert out.count() > 0

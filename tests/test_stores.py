@@ -145,11 +145,11 @@ def test_a_halo_shuffles_rims_alone(spark):
 
 @pytest.mark.parametrize("first", [0.0, 2015.0, 1e6])
 def test_trend_of_calendar_years(spark, first):
-    rows = [(s, first + k, 3 + 2 * k + 0.5 * k * k + s) for s in (0, 1) for k in range(10)] + [(2, first, 1.0), (2, first + 1, 2.0), (3, None, 1.0), (3, first, float("nan"))]
+    rows = [(s, first + k, 3 + 2 * k + 0.5 * k * k + s) for s in (0, 1) for k in range(10)] + [(2, first, 1.0), (2, first + 1, 2.0), (3, None, 1.0), (3, first, float("nan")), (4, first, 2.0), (4, first, 3.0)]
     got = {r.site: r for r in site_trend(spark.createDataFrame(rows, "site int, t double, y double"), origin=first).collect()}
     for s in (0, 1):
         assert [got[s].c0, got[s].c1, got[s].c2] == pytest.approx([3 + s, 2, 0.5], abs=1e-9) and got[s].n == 10
-    assert got[2].c2 is None and 3 not in got
+    assert got[2].c2 is None and 3 not in got and (got[4].n, got[4].c0) == (2, None)
 
 
 # --- features
