@@ -336,5 +336,8 @@ def read(blocks: DataFrame) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Writes and reads back. Null text counts as empty (the end id alone); null ids come first; rows may repeat."""
+    """Writes and reads back. Null text counts as empty (the end id alone); null ids come first; rows may repeat.
+
+    An empty table gives an empty one. Other columns take no part.
+    """
     return read(write(docs, tokenizer_path, Scratch(docs.sparkSession)))

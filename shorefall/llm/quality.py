@@ -234,7 +234,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; the model learns from labels of rows that are not held out.
 
     A null id is not held out; repeated rows are each scored; without labels of both classes the score is that
-    of the class seen, or a half.
+    of the class seen, or a half. An empty table gives an empty one; other columns take no part.
     """
     model = fit(docs.select("doc_id", "text"), labels.where(~held_out(F.col("doc_id"))))
     out = scored(docs.select("doc_id", "text"), model)

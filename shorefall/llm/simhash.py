@@ -13,7 +13,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import connected_components
@@ -140,7 +140,8 @@ def components(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", te
 
     Equal fingerprints meet in one aggregate, so copies are never paired; only distinct fingerprints are
     compared. Null texts have fingerprint 0. Rows with a null id stay, in the class of their fingerprint;
-    a class with null ids alone has a null component. Repeated rows stay. An empty table gives an empty one.
+    a class with null ids alone has a null component. Repeated rows stay. An empty table gives an empty one. Other columns
+    take no part; a long text is read whole, as a list of its words.
     """
     scratch = Scratch(docs.sparkSession)
     rows = scratch.save(fingerprints(docs, id_col, text_col))
@@ -149,6 +150,7 @@ def components(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", te
     named = fps.join(classes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     ids = scratch.save(named.join(least, "component").select("fp", "component_id"))
+    scratch.drop_since(0, rows, ids)
     return rows.join(ids, "fp")
 
 
@@ -158,11 +160,12 @@ def dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Of repeated rows with that id one stays (the smallest text, nulls first). Rows with a null doc_id are kept:
     they can't be named as a class's first. An empty table gives an empty one; columns of any name are kept.
     """
-    (nth,) = unused(docs, "nth")
+    (row,) = unused(docs, "row")
     scratch = Scratch(docs.sparkSession)
     keep = scratch.save(components(docs, radius).where("doc_id = component_id").select("doc_id").distinct())
     named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").select(docs.columns)
     twice = named.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    order = Window.partitionBy("doc_id").orderBy("text")
-    again = named.join(twice, "doc_id", "left_semi").withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(docs.columns)
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    first = F.min_by(whole, F.struct(F.col("text").isNotNull(), "text")).alias(row)
+    again = named.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(first).select(f"{row}.*")
     return named.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(again).unionByName(docs.where("doc_id is null"))
