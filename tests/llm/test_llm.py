@@ -604,7 +604,7 @@ def test_registered_queries_and_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
     found = queries.queries()
-    assert sorted(found, key=lambda n: int(re.match(r"op(\d+)_", n)[1])) and len(found) == 10
+    assert sorted(found, key=lambda n: int(re.match(r"op(\d+)_", n)[1])) and len(found) == 13
     names = ["query_id", "rank", "vec_id", "score"]
     got = sorted(map(tuple, found["op3_voronoi"](spark, SF).select(*names).collect()))
     assert got == sorted(con.sql(queries.OP3_SQL).select(", ".join(names)).fetchall())
