@@ -75,7 +75,7 @@ def mix(
     (null: 0); target is the source's. A document gives ``taken div size`` whole copies and the first
     ``taken mod size`` words; a source's taken words are its target, rounded down. ``quality`` is a positive weight, by
     default the share of letters and blanks; null, NaN and weights that are not positive count as LEAST. Ties in the key go
-    to the smaller id; rows that repeat an id are documents of their own. An empty table gives an empty one, a
+    to the smaller id, then to the smaller size; rows that repeat an id are documents of their own. An empty table gives an empty one, a
     table without words takes none. Other columns take no part.
     """
     scratch = Scratch(docs.sparkSession)
@@ -84,7 +84,7 @@ def mix(
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words_of(F.col(text)).alias("size"), q.alias("q"))
     read = scratch.save(read.select("doc_id", "source", "size", key_of(F.col("doc_id"), F.col("q"), seed).alias("key")))
     sources = scratch.save(targets(read.groupBy("source").agg(F.sum("size").alias("size")), scratch, weights, share, epochs))
-    order = [F.col("key"), F.col("doc_id").asc_nulls_first()]
+    order = [F.col("key"), F.col("doc_id").asc_nulls_first(), F.col("size")]  # rows equal in these are equal in the result
     placed = running(read, scratch, ["source"], order, {"before": F.col("size")})
     own = sources.select(F.col("source").alias("__source"), F.col("size").alias("source_size"), "target")
     placed = placed.join(own, F.col("source").eqNullSafe(F.col("__source")))

@@ -135,7 +135,7 @@ l as (select z.*, row_number() over (order by size::double / w, source nulls las
 e as (select o, rest, lft from l where rest * w <= size * 2.0::double * lft order by o limit 1),
 t as (select l.source, l.size as source_size, least(size * 2.0::double, case when l.o >= e.o then e.rest * w / e.lft::double else size * 2.0::double end) as target from l left join e on true),
 p as (select r, doc_id, d.size, source_size, target, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as full_,
-    coalesce(sum(d.size) over (partition by d.source order by -ln(u) / q, doc_id nulls first, r rows between unbounded preceding and 1 preceding), 0)::bigint as before
+    coalesce(sum(d.size) over (partition by d.source order by -ln(u) / q, doc_id nulls first, d.size, r rows between unbounded preceding and 1 preceding), 0)::bigint as before
   from d join t on d.source is not distinct from t.source)
 select doc_id, size, source_size, target, (full_ * size + greatest(0, least(size, floor(target - full_ * source_size)::bigint - before)))::bigint as taken from p
 """

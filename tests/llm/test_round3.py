@@ -130,6 +130,7 @@ def test_targets_fill_by_weight(spark):
 def test_mix_takes_budgets_and_agrees_with_itself(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(["w"] * rng.randint(0, 30)), "x", rng.choice(["big"] * 6 + ["b", "é", None]), 0) for i in range(600)]
+    rows += [(5, " ".join(["w"] * k), "x", "b", 0) for k in range(1, 9)]  # one id and one key, but sizes of their own
     rows += [(5, "same row", "x", "big", 0)] * 20 + [(None, "no id", "x", "b", 0), (700, None, "x", "b", 0), (701, "", "x", "alone", 0)]
     docs = spark.createDataFrame(rows, DOCS).withColumn("target", F.lit("clash")).withColumn("key", F.lit(1))
     got = mixing.mix(docs).collect()
@@ -142,7 +143,7 @@ def test_mix_takes_budgets_and_agrees_with_itself(spark):
         assert sum(r["size"] for r in own) == size and sum(r.taken for r in own) == math.floor(target)
         assert all(0 <= r.taken <= 2 * r["size"] for r in own)
         full = math.floor(target / size) if size else 0
-        part = [r for r in sorted(own, key=lambda r: r.key) if r["size"]]
+        part = [r for r in sorted(own, key=lambda r: (r.key, r.doc_id or -1, r["size"])) if r["size"]]
         kinds = [(r.taken - full * r["size"]) / r["size"] for r in part]
         assert kinds == sorted(kinds, reverse=True)  # whole documents in the order of keys, then one in part, then none
         assert sum(0 < k < 1 for k in kinds) <= 1
