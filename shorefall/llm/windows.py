@@ -6,15 +6,20 @@ sides that hold c. So a text of n shingles has about 2n / LEAST compact windows
 Cartesian tree over its hashes that span LEAST shingles. Two stretches share a min-hash only if the windows
 that they lie in do.
 
-Windows of different documents with one value are tied to the smallest document that has the value, and to
-the smallest that also has the same words before or behind it, never to each other. Tied windows of a pair
-of documents are joined as intervals; where those of enough hash functions overlap, the stretches are read
-again and compared: similarity of 0.8 or more of their shingle sets (by 32-bit hashes of shingles). Each pair of
-distinct stretches is compared once, however many documents have them.
-
-The smallest document with a value need not hold the passage around it. So wherever a window shares its value
-and 27 words with another document, each run of PASSAGE words is a key as well, and goes to the first document
-and place that has all of it: exact passages do not depend on which documents the windows were tied to.
+Windows of different documents with one value are tied: all pairs of them where the value has FEW windows or
+fewer, else those of each document to the smallest document that has the value, and to the smallest that also
+has the same words before or behind it. Tied windows of a pair of documents are joined as intervals; where
+those of enough hash functions overlap, the stretches are read again and compared: similarity of 0.8 or more of
+their shingle sets (by 32-bit hashes of shingles). Each pair of distinct stretches is compared once, however
+many documents have them.
+
+The smallest document with a frequent value need not hold the passage around it. So where such a window lies in
+no verified passage, runs of PASSAGE words around it and around all others of its value are linked by keys, each
+to the first document and place that has it: the run, the run without its word at a place (another word stands
+there), and a run one word longer without one of its words. Similarity of 0.8 allows about one changed word in
+PASSAGE, so a similar passage holds a run with at most one; it leaves one half of the run as it is, and runs take
+part only if another document has one half too. Equal runs have their keys made once. No pairs are made, so the
+work grows with the runs however frequent a line is.
 """
 
 from __future__ import annotations
@@ -42,6 +47,13 @@ HASHES, ENOUGH = 4, 2
 DRIFT, SNAP = 16, 32
 #: Pairs of places compared at once, and shingles by which parts of a long document overlap then.
 PAIRS, OVERLAP = 1 << 18, 8 * LEAST
+#: Windows of a value all of which are tied to each other, and words of each half of a run that is looked for by keys.
+FEW, PART = 16, PASSAGE // 2
+#: Runs of one document that keys are made of at once, and the bit of those that lie in no verified passage.
+RUNS, ASKS = 4096, 256
+#: (bit, kind, first, end): the edits that runs may have which agree otherwise, by the part that they agree in.
+_M, _K = PART + PART // 2 + 1, PART // 2
+EDITS = [(1, 1, _M, PASSAGE), (1, 2, _M, PASSAGE + 1), (2, 1, PART, _M), (4, 2, PART, _M), (8, 1, 0, _K), (16, 1, _K, PART), (32, 2, 0, _K + 1), (64, 2, _K + 1, PART + 1)]
 #: Shingles of stretches compared at once (one longer pair is compared alone).
 COMPARED = 1 << 16
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -145,17 +157,6 @@ def windows(docs: DataFrame) -> DataFrame:
     return map_slices(rows, "text", make, "value long, doc long, c int, l int, r int, ctx long")
 
 
-def starts_around(c: np.ndarray, left: np.ndarray, right: np.ndarray, before: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """[lo, hi] of where stretches of LEAST shingles begin that a window (left, c, right) is smallest in and that hold a side's words.
-
-    before, behind: whether another document has the value with the same words on that side. A stretch holds the
-    words before c, behind c, or both. Without any, hi < lo.
-    """
-    lo = np.maximum(left, np.where(before, c - LEAST + 1, c - LEAST + HALF))
-    hi = np.minimum(right - LEAST + 1, np.where(behind, c, c - HALF + 1))
-    return lo, np.where(before | behind, hi, lo - 1)
-
-
 def joined_ranges(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     """Ranges [start, end), in order, overlapping and touching ones joined."""
     if not len(starts):
@@ -166,13 +167,109 @@ def joined_ranges(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]
     return list(zip(starts[np.concatenate([[0], cut])].tolist(), reached[np.concatenate([cut - 1, [-1]])].tolist()))
 
 
-def runs_of(place: np.ndarray, rdoc: np.ndarray, rplace: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, end, rdoc), in words: keys that go on in the same document at the same distance are one passage."""
-    by = np.argsort(place, kind="stable")
-    place, rdoc, rplace = place[by], rdoc[by], rplace[by]
-    new = (np.diff(place) != 1) | (np.diff(rplace) != 1) | (np.diff(rdoc) != 0)
+class Runs:
+    """Hashes of parts of the runs that begin at ``at``; an edit is a word that is left out."""
+
+    def __init__(self, words: np.ndarray, at: np.ndarray):
+        self.n, self.at = len(words), at
+        self.sums = np.zeros(self.n + 1, np.uint64)
+        np.cumsum(words * powers(ODD, self.n)[: self.n], out=self.sums[1:])
+        self.inverse = powers(INVERSE, self.n + PASSAGE)
+
+    def part(self, first, end, which: np.ndarray, shift: int = 0) -> np.ndarray:
+        """Words [first, end) of the runs, as if they began ``shift`` words earlier."""
+        s = self.at[which]
+        return (self.sums[s + end] - self.sums[s + first]) * self.inverse[s + shift]
+
+    def coarse(self, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, which, bit): runs with an edit alike agree in the shared half and in one part of the other half too.
+
+        ``halves``: see ``shared_halves``; ASKS may be added, and is then added to the bits. bit: the EDITS that the
+        part leaves open, 128 for a run without an edit beside one with a word more.
+        """
+        m, k = _M, _K
+        out = []
+
+        def add(tag: int, bit: int, which: np.ndarray, *parts: tuple[int, ...]):
+            key = sum((self.part(*x[:2], which, *x[2:]) for x in parts), np.zeros(len(which), np.uint64))
+            out.append((mix(key + np.array([tag], np.uint64) * INVERSE), which, bit + (halves[which] & ASKS)))
+
+        fits = self.at + PASSAGE < self.n
+        head, tail, longer = (np.flatnonzero(x) for x in (halves & 1 > 0, halves & 2 > 0, (halves & 4 > 0) & fits))
+        also = np.flatnonzero((halves & 1 > 0) & fits)
+        add(1, 1, head, (0, m))
+        add(2, 2, head, (0, PART), (m, PASSAGE))
+        add(3, 4, also, (0, PART), (m, PASSAGE + 1, 1))
+        add(3, 128, head, (0, PART), (m - 1, PASSAGE))
+        add(4, 8, tail, (k, PASSAGE))
+        add(4, 32, longer, (k + 1, PASSAGE + 1, 1))
+        add(5, 16, tail, (0, k), (PART, PASSAGE))
+        add(6, 64, longer, (0, k + 1), (PART + 1, PASSAGE + 1, 1))
+        add(6, 128, tail, (0, k + 1), (PART, PASSAGE))
+        key, which, bit = (np.concatenate(x) for x in zip(*out))
+        return key.view(np.int64), which, bit
+
+    def keys(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(key, which, edit, kind) of the runs; ``bits``: those of ``coarse`` that another run shares.
+
+        Kinds 0: PASSAGE words, edit -1; 1: the same but for the word at place + edit; 2: PASSAGE + 1 words but for that one.
+        A run of kind 0 and one of kind 2 with one key differ by one word more; keys of kind 1 agree with none of another kind.
+        """
+        every = np.arange(len(self.at))
+        out = [(mix(self.part(0, PASSAGE, every)), every, np.full(len(every), -1), np.zeros(len(every), np.int64))]
+        for bit, kind, first, end in EDITS:
+            size = PASSAGE + kind - 1
+            which = np.flatnonzero((bits & bit > 0) & (self.at + size <= self.n))
+            edit = np.tile(np.arange(first, end), len(which))
+            which = np.repeat(which, end - first)
+            key = self.part(0, edit, which) + self.part(edit + 1, size, which, 1)
+            if kind == 1:
+                key = mix(key + (edit + 1).astype(np.uint64) * INVERSE)
+            out.append((mix(key), which, edit, np.full(len(which), kind)))
+        key, which, edit, kind = (np.concatenate(x) for x in zip(*out))
+        return key.view(np.int64), which, edit, kind
+
+
+def shared_halves(n: int, places: np.ndarray) -> np.ndarray:
+    """Bits for each of n places: PART words from it on are shared (1), the last PART of PASSAGE words (2), of PASSAGE + 1 (4)."""
+    has = np.zeros(n + PASSAGE + 2, np.int64)
+    has[places] = 1
+    return has[:n] | has[PART : n + PART] << 1 | has[PART + 1 : n + PART + 1] << 2
+
+
+def linked_runs(place: np.ndarray, edit: np.ndarray, kind: np.ndarray, rdoc: np.ndarray, rplace: np.ndarray, rkind: np.ndarray, redit: np.ndarray, known: list[tuple[int, int]]) -> list[tuple[int, int, int, float]]:
+    """(start, end, rdoc, similarity), in words, of linked runs; those inside ``known`` ranges or inside longer ones given are left out.
+
+    Runs that go on with the same document at the same distance and with the same changed word are one passage;
+    its similarity is that of texts whose shingles are distinct.
+    """
+    own = np.where(kind == 0, -1, place + edit)
+    other = np.where((kind == 0) & (rkind == 2), rplace + redit, -1)
+    by = np.lexsort((place, place - rplace, other, own, kind, rdoc))
+    place, rplace, own, other, kind, rdoc = (x[by] for x in (place, rplace, own, other, kind, rdoc))
+    new = (np.diff(place) > 1) | (np.diff(place - rplace) != 0) | (np.diff(own) != 0) | (np.diff(other) != 0) | (np.diff(kind) != 0) | (np.diff(rdoc) != 0)
     cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(place)]])
-    return [(int(place[a]), int(place[b - 1]) + PASSAGE, int(rdoc[a])) for a, b in zip(cuts[:-1], cuts[1:])]
+    rows = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        start, end = int(place[a]), int(place[b - 1]) + PASSAGE + int(kind[a] == 2)
+        n = end - start - SHINGLE + 1
+        more = -1 if kind[a] == 2 else int(other[a] >= 0)  # shingles of the other text, against this one's
+        if own[a] >= 0:
+            e = int(own[a]) - start
+            lost = min(e, n - 1) - max(e - SHINGLE + 1, 0) + 1
+        elif other[a] >= 0:
+            e = int(other[a] - rplace[a])
+            lost = min(e, n) - max(e - SHINGLE + 1, 0)
+        else:
+            lost = 0
+        rows.append((start, end, int(rdoc[a]), (n - lost) / (n + more + lost)))
+    covered, out = [(a, b) for a, b in known], []
+    for row in sorted(rows, key=lambda r: (r[0] - r[1], -r[3], r)):
+        at = bisect.bisect_right(covered, (row[0], 1 << 62)) - 1
+        if row[3] >= SIMILAR and (at < 0 or covered[at][1] < row[1]):
+            out.append(row)
+            bisect.insort(covered, (row[0], max(row[1], covered[at][1] if at >= 0 else 0)))
+    return out
 
 
 def _places(lists: pa.ListArray) -> np.ndarray:
@@ -341,6 +438,39 @@ def passages(xs: pa.ListArray, ys: pa.ListArray) -> list[tuple[int, int, int, fl
         first, end = np.concatenate([first, cut]), np.concatenate([cut, end])
 
 
+def coupled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, rdoc, pos, rpos, f) of all pairs of windows of a value in two documents; rows are a value and the list of its windows."""
+    for batch in batches:
+        lists = batch.column(1)
+        n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lists.flatten()
+        f = np.repeat(batch.column(0).to_numpy(zero_copy_only=False) & 3, n)
+        times = np.repeat(n, n)
+        own = np.repeat(np.arange(len(flat)), times)
+        other = _ranges(np.repeat(np.cumsum(n) - n, n), np.repeat(np.cumsum(n), n))
+        doc = flat.field("doc").to_numpy(zero_copy_only=False)
+        later = doc[other] < doc[own]
+        own, other = own[later], other[later]
+        spot = pa.StructArray.from_arrays([flat.field(k) for k in ("c", "l", "r")], ["c", "l", "r"])
+        each = pa.array(np.arange(len(own) + 1, dtype=np.int32))
+        columns = [pa.array(doc[own]), pa.array(doc[other]), *(pa.ListArray.from_arrays(each, spot.take(pa.array(x))) for x in (own, other)), pa.array(f[own])]
+        yield pa.RecordBatch.from_arrays(columns, ["doc", "rdoc", "pos", "rpos", "f"])
+    release()
+
+
+def _lists(parts: list[np.ndarray], kind: type) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, kind)))
+
+
+def _run_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of ``size`` words."""
+    n = len(words)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(words * powers(ODD, n)[:n], out=sums[1:])
+    return mix((sums[size:] - sums[: max(0, n + 1 - size)]) * powers(INVERSE, n)[: max(0, n + 1 - size)])
+
+
 def repeats(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, text_hash, start, end, of_doc, similarity): words [start, end) repeat a passage of an earlier document.
 
@@ -350,26 +480,30 @@ def repeats(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """
     scratch = scratch or Scratch(docs.sparkSession)
     every = scratch.save(windows(docs))
-    seen = every.groupBy("value").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"))
-    shared = scratch.save(seen.where("d0 < d1").select("value", "d0"))
+    seen = every.groupBy("value").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.count("*").alias("n"))
+    shared = scratch.save(seen.where("d0 < d1").select("value", "d0", (F.col("n") <= FEW).alias("few")))
     # merge joins throughout: what they join grows with the corpus
     tied = scratch.save(every.join(shared.hint("merge"), "value"))
     scratch.drop(every)
+    listed = tied.where("few").groupBy("value").agg(F.collect_list(F.struct("doc", "c", "l", "r")).alias("w"))
+    place_list = "array<struct<c: int, l: int, r: int>>"
+    close = listed.mapInArrow(coupled, f"doc long, rdoc long, pos {place_list}, rpos {place_list}, f long")
     sides = {"before": F.shiftright("ctx", 32), "behind": F.col("ctx").bitwiseAND(F.lit(0xFFFFFFFF))}
-    tied_on = tied.withColumns(sides).drop("ctx")
+    tied_on = tied.where("not few").withColumns(sides).drop("ctx", "few")
     near, small = tied_on, []
     for side, to in (("before", "d2"), ("behind", "d3")):
         least = tied_on.where(f"{side} <> 0").groupBy("value", side).agg(F.min("doc").alias(to), F.max("doc").alias("most"))
         small.append(scratch.save(least.where(f"{to} < most").drop("most")))  # written, so that skewed keys of the join can be split
         near = near.join(small[-1].hint("merge"), ["value", side], "left")
     near = scratch.save(near.drop("before", "behind"))
-    scratch.drop(shared, tied, *small)
+    scratch.drop(shared, *small)
     targets = F.array_distinct(F.array_compact(F.array("d0", "d2", "d3")))
     place = F.struct("c", "l", "r")
     asked = near.select("value", "doc", "c", "l", "r", F.explode(targets).alias("rdoc")).where("rdoc < doc").groupBy("value", "doc", "rdoc").agg(F.collect_list(place).alias("pos"))
     # all places of a value in a target, beside all in the document: as many numbers as places, not as pairs of them
     first = scratch.save(near.where("doc = d0 or doc = d2 or doc = d3").groupBy("value", F.col("doc").alias("rdoc")).agg(F.collect_list(place).alias("rpos")))
-    pairs = asked.join(first.hint("merge"), ["value", "rdoc"]).groupBy("doc", "rdoc").agg(F.collect_list(F.struct("pos", "rpos", F.col("value").bitwiseAND(F.lit(3)).alias("f"))).alias("w"))
+    far = asked.join(first.hint("merge"), ["value", "rdoc"]).select("doc", "rdoc", "pos", "rpos", F.col("value").bitwiseAND(F.lit(3)).alias("f"))
+    pairs = close.union(far).groupBy("doc", "rdoc").agg(F.collect_list(F.struct("pos", "rpos", "f")).alias("w"))
 
     def chain(batches):
         for batch in batches:
@@ -378,71 +512,29 @@ def repeats(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
     found = scratch.save(pairs.mapInArrow(chain, "doc long, a int, b int, rdoc long, ra int, rb int"))
 
-    def around(batches):
-        for batch in batches:
-            doc, *window = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-            lo, hi = starts_around(*window)
-            kept = lo <= hi
-            columns = [pa.array(doc[kept]), pa.array(lo[kept].astype(np.int32)), pa.array((hi[kept] + 1).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(i).filter(pa.array(kept)) for i in (6, 7))], ["doc", "a", "b", "value", "asks"])
-        release()
-
-    # places from which runs of PASSAGE words may be repeated; those of windows that an earlier document shares ask for it
-    asks = F.coalesce(F.col("d2") < F.col("doc"), F.lit(False)) | F.coalesce(F.col("d3") < F.col("doc"), F.lit(False))
-    sided = near.where("d2 is not null or d3 is not null").select("doc", "c", "l", "r", F.col("d2").isNotNull(), F.col("d3").isNotNull(), "value", asks)
-    begun = scratch.save(sided.mapInArrow(around, "doc long, a int, b int, value long, asks boolean"))
-    begins = begun.select("doc", "a", "b").withColumn("key", F.lit(True))
-    wanted = found.select("doc", "a", "b").union(found.select("rdoc", "ra", "rb")).withColumn("key", F.lit(False)).union(begins).distinct()
-    listed = wanted.groupBy("doc").agg(F.collect_list(F.struct("a", "b", "key")).alias("w"))
+    scratch.drop(tied, first)
+    wanted = found.select("doc", "a", "b").union(found.select("rdoc", "ra", "rb")).distinct()
+    listed = wanted.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("w"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(listed.hint("merge"), "doc").where("text is not null")
 
     def make():
-        none = np.zeros(0, np.int64)
-
-        def lists(parts: list[np.ndarray], kind: type) -> pa.Array:
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, kind)))
-
         def part(b: pa.RecordBatch) -> pa.RecordBatch:
-            data, offsets = buffers(b.column(1))
-            words = Words(data, offsets, SPACED)
+            words = Words(*buffers(b.column(1)), SPACED)
             shingle = (words.shingles(SHINGLE)[0] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            n = len(words.hash)
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(words.hash * powers(ODD, n)[:n], out=sums[1:])
-            inverse = powers(INVERSE, n)
-            doc, th, own = b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3)
-            ends = np.cumsum(own.value_lengths().to_numpy(zero_copy_only=False))
-            flat = own.flatten()
-            begin, end, is_key = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("a", "b", "key"))
-            rows, parts, keys, hashes = [], [], [], []
-            for i, e in enumerate(ends.tolist()):
-                low, high = int(words.first[i]), max(int(words.first[i]), int(words.first[i + 1]) - SHINGLE + 1)
-                of = slice(int(ends[i - 1]) if i else 0, e)
-                starts, stops, kind = begin[of], end[of], is_key[of]
-                for s, t in zip(starts[~kind].tolist(), stops[~kind].tolist()):
-                    rows.append((doc[i], th[i], s, t, False))
-                    parts.append(shingle[min(low + s, high) : min(low + t, high)])
-                    hashes.append(xxhash.xxh64_intdigest(parts[-1].tobytes()) - (1 << 63))
-                    keys.append(none)
-                for s, t in joined_ranges(starts[kind], stops[kind]):
-                    at = np.arange(low + s, min(low + t, high - LEAST + 1))
-                    if len(at):
-                        rows.append((doc[i], th[i], s, t, True))
-                        parts.append(shingle[:0])
-                        hashes.append(0)
-                        keys.append(mix((sums[at + PASSAGE] - sums[at]) * inverse[at]).view(np.int64))
-            columns = list(zip(*rows)) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-            return pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(columns, kinds)), pa.array(hashes, pa.int64()), lists(parts, np.int32), lists(keys, np.int64)], ["doc", "th", "a", "b", "key", "h", "sh", "keys"])
+            n = b.column(3).value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(n)), n)
+            begin, end = (b.column(3).flatten().field(k).to_numpy(zero_copy_only=False) for k in ("a", "b"))
+            low = words.first[:-1][row]
+            high = np.maximum(low, words.first[1:][row] - SHINGLE + 1)
+            parts = [shingle[s:e] for s, e in zip(np.minimum(low + begin, high).tolist(), np.minimum(low + end, high).tolist())]
+            hashes = [xxhash.xxh64_intdigest(p.tobytes()) - (1 << 63) for p in parts]
+            taken = pa.array(row)
+            return pa.RecordBatch.from_arrays([b.column(0).take(taken), b.column(2).take(taken), pa.array(begin), pa.array(end), pa.array(hashes, pa.int64()), _lists(parts, np.int32)], ["doc", "th", "a", "b", "h", "sh"])
 
         return part
 
-    read = map_slices(texts.select("doc", "text", F.xxhash64("text").alias("th"), "w"), "text", make, "doc long, th long, a int, b int, key boolean, h long, sh array<int>, keys array<long>")
-    both_kinds = scratch.save(read)
-    scratch.drop(near, first)
+    read = scratch.save(map_slices(texts.select("doc", "text", F.xxhash64("text").alias("th"), "w"), "text", make, "doc long, th long, a int, b int, h long, sh array<int>"))
     # pairs of distinct stretches, known by hashes of their shingles, are compared once
-    read = both_kinds.where("not key")
     whose = read.select("doc", "th", "a", "b", "h")
     theirs = whose.select(F.col("doc").alias("rdoc"), F.col("a").alias("ra"), F.col("b").alias("rb"), F.col("h").alias("rh")).distinct()
     linked = found.join(whose.hint("merge"), ["doc", "a", "b"]).join(theirs.hint("merge"), ["rdoc", "ra", "rb"])
@@ -473,7 +565,9 @@ def repeats(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     out = scratch.save(out.agg(F.max("similarity").alias("similarity")))
     scratch.drop(found, linked, contents, alike)
 
-    # exact runs are looked for around windows that ask and lie in no verified passage, and around all that share their values
+    # runs are looked for around windows of frequent values that lie in no verified passage, and around all that share their values
+    lo, hi = F.greatest("l", F.col("c") - (LEAST - 1)), F.least("c", F.col("r") - (LEAST - 1))
+    begun = near.select("doc", lo.alias("a"), (hi + 1).alias("b"), "value", (F.col("d0") < F.col("doc")).alias("asks")).where("a < b")
     spans = F.collect_list(F.struct("start", "end")).alias("spans")
     verified = out.groupBy(F.col("doc_id").alias("doc"), F.col("text_hash").alias("th")).agg(spans)
     single = whose.groupBy("doc").agg(F.min("th").alias("th"), F.max("th").alias("other")).where("th = other").select("doc", "th")
@@ -495,30 +589,114 @@ def repeats(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
     wanted_values = scratch.save(asking.mapInArrow(open_values, "value long").distinct())  # written, so that skewed values can be split
     ranges = begun.join(wanted_values.hint("merge"), "value", "left_semi").select("doc", "a", "b").distinct().groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("w"))
-    held_keys = both_kinds.where("key").select("doc", "th", "a", "keys").join(ranges.hint("merge"), "doc")
+    around = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(ranges.hint("merge"), "doc").where("text is not null")
+    around = around.withColumn("th", F.xxhash64("text")).join(verified.hint("merge"), ["doc", "th"], "left").select("doc", "text", "th", "w", "spans")
+
+    def open_up():
+        def part(b: pa.RecordBatch) -> pa.RecordBatch:
+            words = Words(*buffers(b.column(1)), SPACED)
+            rows, parts, seen = [], [], []
+            for i, (w, spans) in enumerate(zip(b.column(3), b.column(4))):
+                low, high = int(words.first[i]), int(words.first[i + 1])
+                known = joined_ranges(*(spans.values.field(k).to_numpy(zero_copy_only=False) for k in ("start", "end"))) if spans.is_valid else []
+                starts, ends = (np.array([x[k] for x in known] + [1 << 40], np.int64) for k in (0, 1))
+                for s, t in joined_ranges(*(w.values.field(k).to_numpy(zero_copy_only=False) for k in ("a", "b"))):
+                    rows.append((i, s, t))
+                    parts.append(words.hash[low + s : min(low + t + PASSAGE, high)].view(np.int64))
+                    place = np.arange(s, s + len(parts[-1]))
+                    inside = np.searchsorted(starts, place, "right") - 1
+                    seen.append((inside >= 0) & (ends[inside] >= place + PASSAGE))
+            i, s, t = (np.array(x, np.int64) for x in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 3
+            return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), b.column(2).take(pa.array(i)), pa.array(s), pa.array(t), _lists(parts, np.int64), _lists(seen, bool)], ["doc", "th", "a", "b", "words", "known"])
+
+        return part
+
+    # known: whether the run from each word on lies in a verified passage
+    spots = scratch.save(map_slices(around, "text", open_up, "doc long, th long, a long, b long, words array<long>, known array<boolean>"))
+
+    scratch.drop(read, near, wanted_values)
+
+    def halves(batches):
+        for batch in batches:
+            rows = []
+            for i, (w, t, known) in enumerate(zip(batch.column(4), batch.column(3).to_pylist(), batch.column(5))):
+                v = _run_hashes(w.values.to_numpy(zero_copy_only=False).view(np.uint64), PART)
+                n = t - batch.column(2)[i].as_py()
+                asks = np.zeros(max(len(w.values), n) + PART + 2, bool)
+                open_runs = np.flatnonzero(~known.values.to_numpy(zero_copy_only=False)[:n])
+                for shift in (0, PART, PART + 1):
+                    asks[open_runs + shift] = True
+                rows.append((v.view(np.int64), np.full(len(v), i), np.arange(len(v)), asks[: len(v)]))
+            if rows:
+                v, i, place, asks = (np.concatenate(x) for x in zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(v), *(batch.column(k).take(pa.array(i)) for k in range(3)), pa.array(place), pa.array(asks)], ["v", "doc", "th", "a", "place", "asks"])
+        release()
+
+    parts = scratch.save(spots.mapInArrow(halves, "v long, doc long, th long, a long, place long, asks boolean"))
+    twice = parts.groupBy("v").agg(F.min("doc").alias("least"), F.max(F.when(F.col("asks"), F.col("doc"))).alias("most"))
+    twice = scratch.save(twice.where("least < most").select("v"))
+    both = parts.join(twice.hint("merge"), "v", "left_semi").groupBy("doc", "th", "a").agg(F.collect_list("place").alias("places"))
+
+    def runs(batches):
+        for batch in batches:
+            rows = []
+            for i, (w, known, places) in enumerate(zip(*(batch.column(k) for k in (4, 5, 6)))):
+                own = w.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                n = min(batch.column(3)[i].as_py() - batch.column(2)[i].as_py(), len(own) - PASSAGE + 1)
+                if n <= 0:
+                    continue
+                halved = shared_halves(n, places.values.to_numpy(zero_copy_only=False))
+                at = np.flatnonzero(halved)
+                h, longer = _run_hashes(own, PASSAGE)[:n], _run_hashes(own, PASSAGE + 1)[:n]
+                h[: len(longer)] = longer  # a text's last run is known by one word less
+                rows.append((h[at].view(np.int64), np.full(len(at), i), at, halved[at], ~known.values.to_numpy(zero_copy_only=False)[at]))
+            if rows:
+                h, i, at, halved, asks = (np.concatenate(x) for x in zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(h), *(batch.column(k).take(pa.array(i)) for k in range(3)), pa.array(at), pa.array(halved), pa.array(asks)], ["h", "doc", "th", "a", "at", "halves", "asks"])
+        release()
 
-    def places(batches):
+    held_runs = spots.join(both.hint("merge"), ["doc", "th", "a"]).select("doc", "th", "a", "b", "words", "known", "places")
+    held_runs = scratch.save(held_runs.mapInArrow(runs, "h long, doc long, th long, a long, at long, halves long, asks boolean"))
+    # equal runs are one; those behind the first document with it repeat it
+    begin = (F.col("a") + F.col("at")).cast("int").alias("place")
+    head = scratch.save(held_runs.groupBy("h").agg(F.min(F.struct("doc", begin, "th", "a", "at", (F.col("halves") + F.when(F.col("asks"), ASKS).otherwise(0)).alias("halves"))).alias("run")))
+    asked = held_runs.where("asks").select("h", "doc", "th", begin)
+    kinds = [F.lit(x).cast("int").alias(k) for k, x in (("kind", 0), ("edit", -1))]
+    again = asked.join(head.hint("merge"), "h").where("run.doc < doc")
+    again = again.select("doc", "th", F.struct(F.col("place").cast("long").alias("place"), F.lit(-1).alias("edit"), F.lit(0).alias("kind"), F.struct("run.doc", F.col("run.place").cast("long").alias("place"), *kinds).alias("to")).alias("w"))
+    distinct = head.select("h", "run.*").groupBy("doc", "th", "a").agg(F.collect_list(F.struct("h", "at", "halves")).alias("w"))
+    distinct = scratch.save(spots.join(distinct.hint("merge"), ["doc", "th", "a"]).dropDuplicates(["doc", "th", "a"]).select("doc", "a", "words", "w"))
+
+    def of_runs(batches, f, names):
+        """What f gives for the runs of each row (doc, a, words, runs with h, at and bits), with their h, doc and place."""
         for batch in batches:
-            rows = [[], [], [], []]
-            doc, th, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             for i in range(len(batch)):
-                own = batch.column(3)[i].values.to_numpy(zero_copy_only=False)
-                w = batch.column(4)[i].values
-                steps = np.zeros(len(own) + 1, np.int64)
-                for k, sign in (("a", 1), ("b", -1)):
-                    np.add.at(steps, np.clip(w.field(k).to_numpy(zero_copy_only=False) - at[i], 0, len(own)), sign)
-                some = np.flatnonzero(np.cumsum(steps[:-1]) > 0)
-                for held, x in zip(rows, (own[some], np.full(len(some), doc[i]), np.full(len(some), th[i]), some + at[i])):
-                    held.append(x)
-            if rows[0]:
-                v, d, t, place = (np.concatenate(x) for x in rows)
-                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(d), pa.array(t), pa.array(place.astype(np.int32))], ["v", "doc", "th", "place"])
+                doc, a = (batch.column(k)[i].as_py() for k in range(2))
+                own, flat = batch.column(2)[i].values.to_numpy(zero_copy_only=False).view(np.uint64), batch.column(3)[i].values
+                h, at, bits = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                for s in range(0, len(at), RUNS):
+                    key, which, *more = f(Runs(own, at[s : s + RUNS]), bits[s : s + RUNS])
+                    columns = (key, h[s:][which], np.full(len(key), doc), at[s:][which] + a)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *(pa.array(x.astype(np.int32)) for x in more)], names)
         release()
 
-    keys = scratch.save(held_keys.select("doc", "th", "a", "keys", "w").mapInArrow(places, "v long, doc long, th long, place int"))
-    held = keys.groupBy("v").agg(F.min(F.struct("doc", "place")).alias("least"), F.max("doc").alias("most")).where("least.doc < most")
-    held = scratch.save(held.select("v", F.col("least.doc").alias("rdoc"), F.col("least.place").alias("rplace")))  # written, so that skewed keys can be split
-    whole = keys.join(held.hint("merge"), "v").where("rdoc < doc").groupBy("doc", "th").agg(F.collect_list(F.struct("place", "rdoc", "rplace")).alias("w"))
+    rough = distinct.mapInArrow(lambda batches: of_runs(batches, Runs.coarse, ["v", "h", "doc", "place", "bit"]), "v long, h long, doc long, place long, bit int")
+    rough = scratch.save(rough.select("v", "h", "doc", "bit"))
+    # a run that asks, in its first document, with an earlier one alike
+    alike_too = rough.groupBy("v").agg(F.min("doc").alias("least"), F.max(F.when(F.col("bit") >= ASKS, F.col("doc"))).alias("most"))
+    alike_too = scratch.save(alike_too.where("least < most").select("v"))
+    bits = scratch.save(rough.join(alike_too.hint("merge"), "v", "left_semi").groupBy("h").agg(F.bit_or(F.col("bit").bitwiseAND(F.lit(ASKS - 1))).alias("bits")))
+    chosen = head.join(bits.hint("merge"), "h").select("h", "run.*", "bits").groupBy("doc", "th", "a").agg(F.collect_list(F.struct("h", "at", "bits")).alias("w"))
+    scratch.drop(parts, twice, distinct, rough, alike_too)
+    keys = spots.join(chosen.hint("merge"), ["doc", "th", "a"]).dropDuplicates(["doc", "th", "a"]).select("doc", "a", "words", "w")
+    keys = scratch.save(keys.mapInArrow(lambda batches: of_runs(batches, Runs.keys, ["v", "h", "doc", "place", "edit", "kind"]), "v long, h long, doc long, place long, edit int, kind int"))
+    one = F.struct("doc", "place", "kind", "edit")
+    held = keys.groupBy("v").agg(F.min(one).alias("any"), F.min(F.when(F.col("kind") < 2, one)).alias("plain"), F.max("doc").alias("most")).where("any.doc < most and plain is not null")
+    held = scratch.save(held.drop("most"))  # written, so that skewed keys can be split
+    to = F.when(F.col("kind") < 2, F.col("any")).otherwise(F.col("plain"))
+    links = scratch.save(keys.join(held.hint("merge"), "v").select("h", "doc", "edit", "kind", to.alias("to")).where("to.doc < doc"))
+    whole = asked.join(links.hint("merge"), ["h", "doc"]).select("doc", "th", F.struct(F.col("place").cast("long").alias("place"), "edit", "kind", "to").alias("w")).union(again)
+    whole = whole.groupBy("doc", "th").agg(F.collect_list("w").alias("w"))
 
     def rest(batches):
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.float64())
@@ -528,17 +706,16 @@ def repeats(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
                 doc, th, spans = (batch.column(k)[i].as_py() for k in (0, 1, 3))
                 known = joined_ranges(*(np.array([s[k] for s in spans or []]) for k in ("start", "end")))
                 w = batch.column(2)[i].values
-                for a, b, rdoc in runs_of(*(w.field(k).to_numpy(zero_copy_only=False) for k in ("place", "rdoc", "rplace"))):
-                    at = bisect.bisect_right(known, (a, 1 << 62)) - 1
-                    if at < 0 or known[at][1] < b:
-                        rows.append((doc, th, a, b, rdoc, 1.0))
+                own = [w.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("place", "edit", "kind")]
+                other = [w.field("to").field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("doc", "place", "kind", "edit")]
+                rows += [(doc, th, *r) for r in linked_runs(*own, *other, known)]
             columns = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names_of_rows)
 
     names_of_rows = out.columns
     missed = whole.join(verified.hint("merge"), ["doc", "th"], "left").select("doc", "th", "w", "spans")
     missed = scratch.save(missed.mapInArrow(rest, "doc_id long, text_hash long, start int, end int, of_doc long, similarity double"))
-    scratch.drop(both_kinds, begun, wanted_values, keys, held)
+    scratch.drop(spots, held_runs, head, bits, keys, held, links)
     return out.unionByName(missed)
 
 
