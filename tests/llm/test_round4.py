@@ -67,3 +67,17 @@ def test_keys_of_runs_with_one_word_changed():
             bits = [np.array([sum({s[c] for c in common})]) for s in (sets[0], sets[i])]
             a, b = ([set(zip(k.tolist(), (kind == 2).tolist())) for k, _, _, kind in [r.keys(x)]][0] for r, x in zip((keys[0], keys[i]), bits))
             assert {k for k, _ in a} & {k for k, _ in b}, (i, edit)
+
+
+def test_pipeline_cuts_a_near_passage_behind_holders_of_its_parts(spark):
+    import corpus_pipeline
+
+    rng = random.Random(89)
+    passage = words_of(rng, 60)
+    near = [*passage[:30], "changed", *passage[31:]]
+    texts = [" ".join(words_of(rng, 20) + (passage[:31], passage[31:])[i % 2] + words_of(rng, 60)) for i in range(24)]
+    lead, tail = words_of(rng, 30), words_of(rng, 30)
+    texts += [" ".join(words_of(rng, 25) + passage + words_of(rng, 25)), " ".join(lead + near + tail)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOC)
+    out = {r.doc_id: r.text for r in corpus_pipeline.passage_dedup(spark, docs, "").collect()}
+    assert out[25].split() == lead + tail and all(out[i] == t for i, t in enumerate(texts[:25]))
