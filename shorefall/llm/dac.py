@@ -14,7 +14,6 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Callable
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ..scratch import Scratch
-from .text import slices, small_batches
+from .text import buffers, slices, small_batches
 
 BITS, RANKED = 8, 512
 #: Ids of a block, about (a longer document makes a longer block).
@@ -147,9 +146,9 @@ class Encoder:
         self.lib.no_padding()
         self.feed = self.lib.encode("\n", add_special_tokens=False).ids
         self.line = self._bytes(self.feed)
-        #: Ids of words, with the blank or the line feed before them; WHOLE: white space in or about it needs the whole text.
-        self.words = Recent(TABLE)
-        self.stems = {"": Recent(STEMS), " ": Recent(STEMS)}  # letters alone, behind a blank or not
+        #: Ids of letters, and of words with more than that, with the blank or the line feed before them; WHOLE: white
+        #: space in or about a word needs the whole text.
+        self.stems, self.words = Recent(STEMS), Recent(TABLE)
         self.tails = Recent(TABLE // 10)  # marks behind letters
         # a check that the model reads bytes as SHOWN has them
         tried = ["a", "é", "ß中", "ization", "İ"]
@@ -193,34 +192,57 @@ class Encoder:
         tokens, begin = self.lib.model.tokenize, shown(before)
         return [array("I", [t.id for t in tokens(begin + (s if s.isascii() else shown(s)))]).tobytes() for s in stems]
 
-    def _learn(self, new: list[str]) -> list[bytes]:
-        """Ids of words; letters and the marks behind them are pieces of their own, so each is encoded once."""
-        out: dict[str, bytes] = {}
-        for before, begin, group in (
-            ("", self.line, [w for w in new if w[:1] == "\n"]),
-            (" ", b"", [w for w in new if w[:1] != "\n"]),
-        ):
-            bodies = [w[1:] for w in group] if begin else group
-            stems = [w.rstrip(MARKS) for w in bodies]
-            letters = list({s for s in stems if s.isalpha()})
-            ids_of = dict(zip(letters, self.stems[before].look_up(letters, partial(self._pieces, before))))
-            ends = list({b[len(s) :] for b, s in zip(bodies, stems) if len(s) < len(b) and s in ids_of})
-            tail_of = dict(zip(ends, self.tails.look_up(ends, partial(self._lines, ""))))
-            rest = []
-            for w, body, s in zip(group, bodies, stems):
-                ids = ids_of.get(s)
-                if ids is None:
-                    if body.split() == [body]:
-                        rest.append(body)
-                    else:
-                        out[w] = WHOLE
-                elif len(s) == len(body):
-                    out[w] = begin + ids
-                else:
-                    out[w] = begin + ids + tail_of[body[len(s) :]]
-            mark = "\n" if begin else ""
-            out.update((mark + w, begin + ids) for w, ids in zip(rest, self._lines(before, rest)))
-        return [out[w] for w in new]
+    def _letters(self, new: list[str]) -> list[bytes]:
+        """Ids of runs of letters, each with the line feed or else the blank before it; WHOLE for what is no such run."""
+        out = [WHOLE] * len(new)
+        for before, begin in ((" ", b""), ("", self.line)):
+            bodies = [(i, s[1:] if begin else s) for i, s in enumerate(new) if (s[:1] == "\n") == bool(begin)]
+            bodies = [(i, s) for i, s in bodies if s.isalpha()]
+            for (i, _), ids in zip(bodies, self._pieces(before, [s for _, s in bodies])):
+                out[i] = begin + ids
+        return out
+
+    def _others(self, new: list[str]) -> list[bytes]:
+        """Ids of words that are more than letters and marks behind them."""
+        out = dict.fromkeys(new, WHOLE)
+        for before, begin in ((" ", b""), ("", self.line)):
+            words = [w for w in new if (w[:1] == "\n") == bool(begin)]
+            bodies = [w[1:] if begin else w for w in words]
+            rest = [(w, b) for w, b in zip(words, bodies) if b.split() == [b]]
+            out.update((w, begin + ids) for (w, _), ids in zip(rest, self._lines(before, [b for _, b in rest])))
+        return list(out.values())
+
+    def _marks(self, new: list[str]) -> list[bytes]:
+        """Ids of marks behind letters; most words have none."""
+        some = iter(self._lines("", [t for t in new if t]))
+        return [next(some) if t else b"" for t in new]
+
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begin, size, whole) of distinct words: two runs of ids each, of the letters and of the marks behind them.
+
+        Letters and marks are pieces of their own, so each is encoded once. whole: the text around the word is needed.
+        """
+        stems = pc.ascii_rtrim(words, characters=MARKS)
+        data, offsets = buffers(words)
+        tail = offsets[1:] - offsets[:-1] - pc.binary_length(stems).to_numpy()
+        ends = np.concatenate([[0], np.cumsum(tail)])
+        letters = data[np.repeat(offsets[1:] - ends[1:], tail) + np.arange(ends[-1])]
+        tails = pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(letters))
+        stems, tails = stems.dictionary_encode(), tails.dictionary_encode()
+        known = self.stems.look_up(stems.dictionary.to_pylist(), self._letters)
+        marks = self.tails.look_up(tails.dictionary.to_pylist(), self._marks)
+        at = np.stack([stems.indices.to_numpy(), len(known) + tails.indices.to_numpy()], axis=1)
+        others = np.flatnonzero(np.fromiter((k == WHOLE for k in known), bool, len(known))[at[:, 0]])
+        rest = self.words.look_up(words.take(pa.array(others)).to_pylist(), self._others)
+        at[others, 0] = len(known) + len(marks) + np.arange(len(rest))
+        every = known + marks + rest
+        size = np.fromiter(map(len, every), np.int64, len(every)) // 4
+        begin = (np.cumsum(size) - size)[at]
+        size = size[at]
+        size[others, 1] = 0
+        whole = np.zeros(len(words), bool)
+        whole[others] = [k == WHOLE for k in rest]
+        return np.frombuffer(b"".join(every), "<u4"), begin, size, whole
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): unsigned 32-bit ids of all texts in a row (null: none), and where each text's end."""
@@ -231,12 +253,7 @@ class Encoder:
         feed, nothing = (pa.scalar(x, pa.large_string()) for x in ("\n", ""))
         split = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(nothing, texts, feed), "\n", " \n"), " ")
         words = split.flatten().dictionary_encode()
-        known = self.words.look_up(words.dictionary.to_numpy(zero_copy_only=False).tolist(), self._learn)
-        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        values = np.frombuffer(b"".join(known), "<u4")
-        begin = np.cumsum(size) - size
-        whole = np.zeros(len(known), bool)
-        whole[size > 0] = values[begin[size > 0]] == UNUSED
+        values, begin, size, whole = self._of_words(words.dictionary)
         at = words.indices.to_numpy()
         n = split.value_lengths().to_numpy().astype(np.int64) - 1  # the first is what stands before the added line feed
         first = np.cumsum(n) - n
@@ -244,11 +261,12 @@ class Encoder:
         keep[first + np.arange(len(n))] = False
         at = at[keep]
         src, took = begin[at], size[at]
-        src[first] += len(self.feed)
-        took[first] = np.maximum(took[first] - len(self.feed), 0)
+        src[first, 0] += len(self.feed)
+        took[first, 0] = np.maximum(took[first, 0] - len(self.feed), 0)
+        src, took = src.ravel(), took.ravel()
         sums = np.cumsum(took)
         ids = values[np.repeat(src - (sums - took), took) + np.arange(sums[-1])]
-        ends = sums[first + n - 1]
+        ends = sums[2 * (first + n) - 1]
         odd = np.flatnonzero(np.add.reduceat(whole[at], first, dtype=np.int64))
         if len(odd):
             parts = np.split(ids, ends[:-1])

@@ -683,3 +683,16 @@ def test_pipeline(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in c.STAGES:
         assert stage(spark, empty, SF).collect() == []
+
+
+def test_letters_are_encoded_once_whatever_marks_stand_behind_them():
+    with open(BYTES, encoding="utf-8") as f:
+        encoder = dac.Encoder(f.read())
+    rng, made = random.Random(11), []
+    vocabulary = ["".join(rng.choices("abcdefgh", k=9)) for _ in range(400)]
+    pieces = encoder._pieces
+    encoder._pieces = lambda before, stems: made.extend(stems) or pieces(before, stems)
+    texts = [" ".join(rng.choice(vocabulary) + rng.choice(["", ",", ".", "?!", ")."]) for _ in range(80)) for _ in range(40)] + ["x1 2,"]
+    ids, ends = encoder.encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [e.ids for e in encoder.lib.encode_batch(texts, add_special_tokens=False)]
+    assert len(made) <= 400 + len(texts) and set(encoder.words.young) == {"\nx1", "2,"}
