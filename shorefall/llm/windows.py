@@ -13,18 +13,16 @@ those of enough hash functions overlap, the stretches are read again and compare
 their shingle sets (by 32-bit hashes of shingles). Each pair of distinct stretches is compared once, however
 many documents have them.
 
-The smallest document with a frequent value need not hold the passage around it. So where such a window lies in
-no verified passage, runs of PASSAGE words around it and around all others of its value are linked by keys, each
-to the first document and place that has it: the run, the run without its word at a place (another word stands
-there), and a run one word longer without one of its words. Similarity of 0.8 allows about one changed word in
-PASSAGE, so a similar passage holds a run with at most one; it leaves one half of the run as it is, and runs take
-part only if another document has one half too. Equal runs have their keys made once. No pairs are made, so the
-work grows with the runs however frequent a line is.
+The smallest document with a frequent value need not hold the passage around it. So the spots around such windows,
+where a shingle lies in no verified passage, and around all others of their values are indexed by shingles (equal
+spots once). Of LEAST shingles in a row of a similar passage MATCHED have a match or more, so one of the rarest LEAST -
+MATCHED + 1 has; and a passage that covers a place not yet covered shares a shingle there, gaps apart. Spots are compared
+with the first one that has such a shingle, and then, where places stay open, with all earlier ones that have one. No
+value is cut off; pairs grow with the square of different spots only where places stay open that share such shingles.
 """
 
 from __future__ import annotations
 
-import bisect
 import re
 from collections.abc import Iterator
 
@@ -47,13 +45,15 @@ HASHES, ENOUGH = 4, 2
 DRIFT, SNAP = 16, 32
 #: Pairs of places compared at once, and shingles by which parts of a long document overlap then.
 PAIRS, OVERLAP = 1 << 18, 8 * LEAST
-#: Windows of a value all of which are tied to each other, and words of each half of a run that is looked for by keys.
+#: Windows of a value all of which are tied to each other, and words of each half of a run (`Runs`).
 FEW, PART = 16, PASSAGE // 2
-#: Runs of one document that keys are made of at once, and the bit of those that lie in no verified passage.
-RUNS, ASKS = 4096, 256
+#: The bit of runs that lie in no verified passage (`Runs`, which `repeats` no longer uses; its test is kept).
+ASKS = 256
 #: (bit, kind, first, end): the edits that runs may have which agree otherwise, by the part that they agree in.
 _M, _K = PART + PART // 2 + 1, PART // 2
 EDITS = [(1, 1, _M, PASSAGE), (1, 2, _M, PASSAGE + 1), (2, 1, PART, _M), (4, 2, PART, _M), (8, 1, 0, _K), (16, 1, _K, PART), (32, 2, 0, _K + 1), (64, 2, _K + 1, PART + 1)]
+#: Of up to 2 LEAST - 1 shingles at most a fifth is without a match in a similar passage, so LEAST in a row have as many as this with one.
+MATCHED = LEAST - (2 * LEAST - 1) // 5
 #: Shingles of stretches compared at once (one longer pair is compared alone).
 COMPARED = 1 << 16
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -230,46 +230,35 @@ class Runs:
         return key.view(np.int64), which, edit, kind
 
 
-def shared_halves(n: int, places: np.ndarray) -> np.ndarray:
-    """Bits for each of n places: PART words from it on are shared (1), the last PART of PASSAGE words (2), of PASSAGE + 1 (4)."""
-    has = np.zeros(n + PASSAGE + 2, np.int64)
-    has[places] = 1
-    return has[:n] | has[PART : n + PART] << 1 | has[PART + 1 : n + PART + 1] << 2
+def rarest(place: np.ndarray, shingle: np.ndarray, n: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    """Which of the given shingles: a similar passage that covers open places of a spot has one of them at least.
 
-
-def linked_runs(place: np.ndarray, edit: np.ndarray, kind: np.ndarray, rdoc: np.ndarray, rplace: np.ndarray, rkind: np.ndarray, redit: np.ndarray, known: list[tuple[int, int]]) -> list[tuple[int, int, int, float]]:
-    """(start, end, rdoc, similarity), in words, of linked runs; those inside ``known`` ranges or inside longer ones given are left out.
-
-    Runs that go on with the same document at the same distance and with the same changed word are one passage;
-    its similarity is that of texts whose shingles are distinct.
+    ``place``, ``shingle`` and ``n``: those that an earlier spot has too, and how many have them. Of LEAST in a row MATCHED must
+    be such; without the rarest LEAST - MATCHED + 1 (those that none has are rarest) fewer are left. As a passage begins and ends
+    with a match, it has a match at an open place too, but where open places are a gap that holds no match; the rarer set is taken.
     """
-    own = np.where(kind == 0, -1, place + edit)
-    other = np.where((kind == 0) & (rkind == 2), rplace + redit, -1)
-    by = np.lexsort((place, place - rplace, other, own, kind, rdoc))
-    place, rplace, own, other, kind, rdoc = (x[by] for x in (place, rplace, own, other, kind, rdoc))
-    new = (np.diff(place) > 1) | (np.diff(place - rplace) != 0) | (np.diff(own) != 0) | (np.diff(other) != 0) | (np.diff(kind) != 0) | (np.diff(rdoc) != 0)
-    cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(place)]])
-    rows = []
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        start, end = int(place[a]), int(place[b - 1]) + PASSAGE + int(kind[a] == 2)
-        n = end - start - SHINGLE + 1
-        more = -1 if kind[a] == 2 else int(other[a] >= 0)  # shingles of the other text, against this one's
-        if own[a] >= 0:
-            e = int(own[a]) - start
-            lost = min(e, n - 1) - max(e - SHINGLE + 1, 0) + 1
-        elif other[a] >= 0:
-            e = int(other[a] - rplace[a])
-            lost = min(e, n) - max(e - SHINGLE + 1, 0)
-        else:
-            lost = 0
-        rows.append((start, end, int(rdoc[a]), (n - lost) / (n + more + lost)))
-    covered, out = [(a, b) for a, b in known], []
-    for row in sorted(rows, key=lambda r: (r[0] - r[1], -r[3], r)):
-        at = bisect.bisect_right(covered, (row[0], 1 << 62)) - 1
-        if row[3] >= SIMILAR and (at < 0 or covered[at][1] < row[1]):
-            out.append(row)
-            bisect.insort(covered, (row[0], max(row[1], covered[at][1] if at >= 0 else 0)))
-    return out
+    m = len(opens)
+    rank, times, held = np.zeros(m, np.int64), np.zeros(m, np.int64), np.full(m, -1)
+    by = np.lexsort((shingle, n))
+    rank[place[by]], times[place], held[place] = np.arange(1, len(by) + 1), n, np.arange(len(place))
+    closed = np.flatnonzero(~opens)
+    narrow = np.flatnonzero((np.diff(closed) > 1) & (np.diff(closed) <= LEAST - MATCHED + 1))
+    gap = np.zeros(m, bool)
+    for i in narrow.tolist():
+        gap[closed[i] + 1 : closed[i + 1]] = True
+    view = lambda x: np.lib.stride_tricks.sliding_window_view(x, LEAST)
+    own = opens & (rank > 0)
+    asks = (view(own).any(axis=1) | view(gap).any(axis=1)) & (np.count_nonzero(view(rank), axis=1) >= MATCHED)
+    if not asks.any():
+        return by[:0]
+    first = np.partition(view(rank)[asks], LEAST - MATCHED, axis=1)[:, : LEAST - MATCHED + 1]
+    cost = np.where(first > 0, n[by][first - 1], 0).sum(axis=1)
+    plain = ~view(gap)[asks].any(axis=1) & (np.where(own, times, 0)[np.flatnonzero(asks)[:, None] + np.arange(LEAST)].sum(axis=1) < cost)
+    chosen = np.unique(first[~plain])
+    spots = np.zeros(m, bool)
+    for i in np.flatnonzero(asks)[plain].tolist():
+        spots[i : i + LEAST] = True
+    return np.unique(np.concatenate([by[chosen[chosen > 0] - 1], held[spots & own]]))
 
 
 def _places(lists: pa.ListArray) -> np.ndarray:
@@ -463,14 +452,6 @@ def _lists(parts: list[np.ndarray], kind: type) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, kind)))
 
 
-def _run_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each run of ``size`` words."""
-    n = len(words)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * powers(ODD, n)[:n], out=sums[1:])
-    return mix((sums[size:] - sums[: max(0, n + 1 - size)]) * powers(INVERSE, n)[: max(0, n + 1 - size)])
-
-
 def repeats(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, text_hash, start, end, of_doc, similarity): words [start, end) repeat a passage of an earlier document.
 
@@ -565,7 +546,7 @@ def repeats(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     out = scratch.save(out.agg(F.max("similarity").alias("similarity")))
     scratch.drop(found, linked, contents, alike)
 
-    # runs are looked for around windows of frequent values that lie in no verified passage, and around all that share their values
+    # spots: what lies around windows of frequent values that lie in no verified passage, and around all that share their values
     lo, hi = F.greatest("l", F.col("c") - (LEAST - 1)), F.least("c", F.col("r") - (LEAST - 1))
     begun = near.select("doc", lo.alias("a"), (hi + 1).alias("b"), "value", (F.col("d0") < F.col("doc")).alias("asks")).where("a < b")
     spans = F.collect_list(F.struct("start", "end")).alias("spans")
@@ -595,128 +576,94 @@ def repeats(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     def open_up():
         def part(b: pa.RecordBatch) -> pa.RecordBatch:
             words = Words(*buffers(b.column(1)), SPACED)
-            rows, parts, seen = [], [], []
+            shingle = words.shingles(SHINGLE)[0].view(np.int64)
+            rows, parts, opens = [], [], []
             for i, (w, spans) in enumerate(zip(b.column(3), b.column(4))):
-                low, high = int(words.first[i]), int(words.first[i + 1])
+                low, high = int(words.first[i]), int(words.first[i + 1]) - SHINGLE + 1
                 known = joined_ranges(*(spans.values.field(k).to_numpy(zero_copy_only=False) for k in ("start", "end"))) if spans.is_valid else []
                 starts, ends = (np.array([x[k] for x in known] + [1 << 40], np.int64) for k in (0, 1))
                 for s, t in joined_ranges(*(w.values.field(k).to_numpy(zero_copy_only=False) for k in ("a", "b"))):
-                    rows.append((i, s, t))
-                    parts.append(words.hash[low + s : min(low + t + PASSAGE, high)].view(np.int64))
-                    place = np.arange(s, s + len(parts[-1]))
-                    inside = np.searchsorted(starts, place, "right") - 1
-                    seen.append((inside >= 0) & (ends[inside] >= place + PASSAGE))
-            i, s, t = (np.array(x, np.int64) for x in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 3
-            return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), b.column(2).take(pa.array(i)), pa.array(s), pa.array(t), _lists(parts, np.int64), _lists(seen, bool)], ["doc", "th", "a", "b", "words", "known"])
+                    own = shingle[low + s : max(low + s, min(low + t + LEAST - 1, high))]
+                    if len(own) >= LEAST:
+                        place = np.arange(s, s + len(own))
+                        inside = np.searchsorted(starts, place, "right") - 1
+                        rows.append((i, s, xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63)))
+                        parts.append(own)
+                        opens.append((inside < 0) | (ends[inside] < place + SHINGLE))
+            i, s, h = (np.array(x, np.int64) for x in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 3
+            return pa.RecordBatch.from_arrays([pa.array(h), b.column(0).take(pa.array(i)), b.column(2).take(pa.array(i)), pa.array(s), _lists(parts, np.int64), _lists(opens, bool)], ["h", "doc", "th", "a", "sh", "open"])
 
         return part
 
-    # known: whether the run from each word on lies in a verified passage
-    spots = scratch.save(map_slices(around, "text", open_up, "doc long, th long, a long, b long, words array<long>, known array<boolean>"))
-
+    # open: whether a shingle lies in no verified passage
+    spots = scratch.save(map_slices(around, "text", open_up, "h long, doc long, th long, a long, sh array<long>, open array<boolean>"))
     scratch.drop(read, near, wanted_values)
-
-    def halves(batches):
+    # equal spots are one; those behind the first document with it repeat it
+    head = scratch.save(spots.groupBy("h").agg(F.min(F.struct("doc", "th", "a", "sh", "open")).alias("run")).select("h", "run.*"))
+    asks = F.array_contains("open", True)
+    first_of = head.select("h", F.col("doc").alias("of_doc"))
+    again = spots.where(asks).select("h", "doc", "th", "a", F.size("sh").alias("n")).join(first_of.hint("merge"), "h").where("of_doc < doc")
+    again = again.select(F.col("doc").alias("doc_id"), F.col("th").alias("text_hash"), F.col("a").alias("start"), (F.col("a") + F.col("n") + (SHINGLE - 1)).alias("end"), "of_doc", F.lit(1.0).alias("similarity"))
+
+    def shingles(batches):
         for batch in batches:
-            rows = []
-            for i, (w, t, known) in enumerate(zip(batch.column(4), batch.column(3).to_pylist(), batch.column(5))):
-                v = _run_hashes(w.values.to_numpy(zero_copy_only=False).view(np.uint64), PART)
-                n = t - batch.column(2)[i].as_py()
-                asks = np.zeros(max(len(w.values), n) + PART + 2, bool)
-                open_runs = np.flatnonzero(~known.values.to_numpy(zero_copy_only=False)[:n])
-                for shift in (0, PART, PART + 1):
-                    asks[open_runs + shift] = True
-                rows.append((v.view(np.int64), np.full(len(v), i), np.arange(len(v)), asks[: len(v)]))
-            if rows:
-                v, i, place, asks = (np.concatenate(x) for x in zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(v), *(batch.column(k).take(pa.array(i)) for k in range(3)), pa.array(place), pa.array(asks)], ["v", "doc", "th", "a", "place", "asks"])
+            lists = batch.column(2)
+            n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            place = _ranges(np.zeros(len(n), np.int64), n).astype(np.int32)
+            taken = pa.array(row)
+            yield pa.RecordBatch.from_arrays([lists.flatten(), *(batch.column(k).take(taken) for k in (0, 1)), pa.array(place), batch.column(3).take(taken)], ["s", "h", "doc", "place", "asks"])
         release()
 
-    parts = scratch.save(spots.mapInArrow(halves, "v long, doc long, th long, a long, place long, asks boolean"))
-    twice = parts.groupBy("v").agg(F.min("doc").alias("least"), F.max(F.when(F.col("asks"), F.col("doc"))).alias("most"))
-    twice = scratch.save(twice.where("least < most").select("v"))
-    both = parts.join(twice.hint("merge"), "v", "left_semi").groupBy("doc", "th", "a").agg(F.collect_list("place").alias("places"))
+    parts = scratch.save(head.select("h", "doc", "sh", asks.alias("asks")).mapInArrow(shingles, "s long, h long, doc long, place int, asks boolean"))
+    seen = parts.groupBy("s").agg(F.min(F.struct("doc", "h")).alias("least"), F.max(F.when(F.col("asks"), F.col("doc"))).alias("most"), F.count("*").alias("n"))
+    seen = scratch.save(seen.where("least.doc < most").select("s", F.col("least.doc").alias("least"), F.col("least.h").alias("rh"), "n"))  # written, so that skewed keys can be split
+    held = scratch.save(parts.join(seen.hint("merge"), "s"))
+    scratch.drop(parts, seen)
+    shared = held.where("asks and least < doc").groupBy("h").agg(F.collect_list(F.struct("place", "s", "n", "rh")).alias("w"))
+    shared = scratch.save(shared.where(F.size("w") >= MATCHED).join(head.select("h", "doc", "open").hint("merge"), "h").select("h", "doc", "open", "w"))
 
-    def runs(batches):
+    def prefixes(batches):
+        """(s, h, doc, rh): shingles of which any passage that covers open places has one, and the first spot with it."""
         for batch in batches:
             rows = []
-            for i, (w, known, places) in enumerate(zip(*(batch.column(k) for k in (4, 5, 6)))):
-                own = w.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                n = min(batch.column(3)[i].as_py() - batch.column(2)[i].as_py(), len(own) - PASSAGE + 1)
-                if n <= 0:
-                    continue
-                halved = shared_halves(n, places.values.to_numpy(zero_copy_only=False))
-                at = np.flatnonzero(halved)
-                h, longer = _run_hashes(own, PASSAGE)[:n], _run_hashes(own, PASSAGE + 1)[:n]
-                h[: len(longer)] = longer  # a text's last run is known by one word less
-                rows.append((h[at].view(np.int64), np.full(len(at), i), at, halved[at], ~known.values.to_numpy(zero_copy_only=False)[at]))
-            if rows:
-                h, i, at, halved, asks = (np.concatenate(x) for x in zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(h), *(batch.column(k).take(pa.array(i)) for k in range(3)), pa.array(at), pa.array(halved), pa.array(asks)], ["h", "doc", "th", "a", "at", "halves", "asks"])
-        release()
-
-    held_runs = spots.join(both.hint("merge"), ["doc", "th", "a"]).select("doc", "th", "a", "b", "words", "known", "places")
-    held_runs = scratch.save(held_runs.mapInArrow(runs, "h long, doc long, th long, a long, at long, halves long, asks boolean"))
-    # equal runs are one; those behind the first document with it repeat it
-    begin = (F.col("a") + F.col("at")).cast("int").alias("place")
-    head = scratch.save(held_runs.groupBy("h").agg(F.min(F.struct("doc", begin, "th", "a", "at", (F.col("halves") + F.when(F.col("asks"), ASKS).otherwise(0)).alias("halves"))).alias("run")))
-    asked = held_runs.where("asks").select("h", "doc", "th", begin)
-    kinds = [F.lit(x).cast("int").alias(k) for k, x in (("kind", 0), ("edit", -1))]
-    again = asked.join(head.hint("merge"), "h").where("run.doc < doc")
-    again = again.select("doc", "th", F.struct(F.col("place").cast("long").alias("place"), F.lit(-1).alias("edit"), F.lit(0).alias("kind"), F.struct("run.doc", F.col("run.place").cast("long").alias("place"), *kinds).alias("to")).alias("w"))
-    distinct = head.select("h", "run.*").groupBy("doc", "th", "a").agg(F.collect_list(F.struct("h", "at", "halves")).alias("w"))
-    distinct = scratch.save(spots.join(distinct.hint("merge"), ["doc", "th", "a"]).dropDuplicates(["doc", "th", "a"]).select("doc", "a", "words", "w"))
-
-    def of_runs(batches, f, names):
-        """What f gives for the runs of each row (doc, a, words, runs with h, at and bits), with their h, doc and place."""
-        for batch in batches:
             for i in range(len(batch)):
-                doc, a = (batch.column(k)[i].as_py() for k in range(2))
-                own, flat = batch.column(2)[i].values.to_numpy(zero_copy_only=False).view(np.uint64), batch.column(3)[i].values
-                h, at, bits = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                for s in range(0, len(at), RUNS):
-                    key, which, *more = f(Runs(own, at[s : s + RUNS]), bits[s : s + RUNS])
-                    columns = (key, h[s:][which], np.full(len(key), doc), at[s:][which] + a)
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *(pa.array(x.astype(np.int32)) for x in more)], names)
+                h, doc = (batch.column(k)[i].as_py() for k in (0, 1))
+                opens, w = (batch.column(k)[i].values for k in (2, 3))
+                opens = opens.to_numpy(zero_copy_only=False)
+                place, s, n, rh = (w.field(k).to_numpy(zero_copy_only=False) for k in ("place", "s", "n", "rh"))
+                if len(batch.columns) > 4 and batch.column(4)[i].is_valid:
+                    opens = opens.copy()
+                    for x in batch.column(4)[i].as_py():
+                        opens[x["s"] : x["e"]] = False
+                which = rarest(place, s, n, opens)
+                rows.append((s[which], np.full(len(which), h), np.full(len(which), doc), rh[which]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], ["s", "h", "doc", "rh"])
         release()
 
-    rough = distinct.mapInArrow(lambda batches: of_runs(batches, Runs.coarse, ["v", "h", "doc", "place", "bit"]), "v long, h long, doc long, place long, bit int")
-    rough = scratch.save(rough.select("v", "h", "doc", "bit"))
-    # a run that asks, in its first document, with an earlier one alike
-    alike_too = rough.groupBy("v").agg(F.min("doc").alias("least"), F.max(F.when(F.col("bit") >= ASKS, F.col("doc"))).alias("most"))
-    alike_too = scratch.save(alike_too.where("least < most").select("v"))
-    bits = scratch.save(rough.join(alike_too.hint("merge"), "v", "left_semi").groupBy("h").agg(F.bit_or(F.col("bit").bitwiseAND(F.lit(ASKS - 1))).alias("bits")))
-    chosen = head.join(bits.hint("merge"), "h").select("h", "run.*", "bits").groupBy("doc", "th", "a").agg(F.collect_list(F.struct("h", "at", "bits")).alias("w"))
-    scratch.drop(parts, twice, distinct, rough, alike_too)
-    keys = spots.join(chosen.hint("merge"), ["doc", "th", "a"]).dropDuplicates(["doc", "th", "a"]).select("doc", "a", "words", "w")
-    keys = scratch.save(keys.mapInArrow(lambda batches: of_runs(batches, Runs.keys, ["v", "h", "doc", "place", "edit", "kind"]), "v long, h long, doc long, place long, edit int, kind int"))
-    one = F.struct("doc", "place", "kind", "edit")
-    held = keys.groupBy("v").agg(F.min(one).alias("any"), F.min(F.when(F.col("kind") < 2, one)).alias("plain"), F.max("doc").alias("most")).where("any.doc < most and plain is not null")
-    held = scratch.save(held.drop("most"))  # written, so that skewed keys can be split
-    to = F.when(F.col("kind") < 2, F.col("any")).otherwise(F.col("plain"))
-    links = scratch.save(keys.join(held.hint("merge"), "v").select("h", "doc", "edit", "kind", to.alias("to")).where("to.doc < doc"))
-    whole = asked.join(links.hint("merge"), ["h", "doc"]).select("doc", "th", F.struct(F.col("place").cast("long").alias("place"), "edit", "kind", "to").alias("w")).union(again)
-    whole = whole.groupBy("doc", "th").agg(F.collect_list("w").alias("w"))
-
-    def rest(batches):
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.float64())
-        for batch in batches:
-            rows = []
-            for i in range(len(batch)):
-                doc, th, spans = (batch.column(k)[i].as_py() for k in (0, 1, 3))
-                known = joined_ranges(*(np.array([s[k] for s in spans or []]) for k in ("start", "end")))
-                w = batch.column(2)[i].values
-                own = [w.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("place", "edit", "kind")]
-                other = [w.field("to").field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("doc", "place", "kind", "edit")]
-                rows += [(doc, th, *r) for r in linked_runs(*own, *other, known)]
-            columns = list(zip(*rows)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names_of_rows)
-
-    names_of_rows = out.columns
-    missed = whole.join(verified.hint("merge"), ["doc", "th"], "left").select("doc", "th", "w", "spans")
-    missed = scratch.save(missed.mapInArrow(rest, "doc_id long, text_hash long, start int, end int, of_doc long, similarity double"))
-    scratch.drop(spots, held_runs, head, bits, keys, held, links)
-    return out.unionByName(missed)
+    theirs = head.select(F.col("h").alias("rh"), F.col("sh").alias("rsh"), F.col("doc").alias("rdoc"))
+
+    def compared(pair):
+        both = pair.join(head.select("h", "sh").hint("merge"), "h").join(theirs.select("rh", "rsh").hint("merge"), "rh")
+        return scratch.save(both.select("h", "rh", "sh", "rsh").mapInArrow(verify, "h long, rh long, s int, e int, similarity double"))
+
+    # with the first spot that has a shingle; what stays open then with all that have it
+    kinds = "s long, h long, doc long, rh long"
+    alike = compared(scratch.save(shared.mapInArrow(prefixes, kinds).select("h", "rh").distinct()))
+    done = alike.groupBy("h").agg(F.collect_list(F.struct("s", "e")).alias("done"))
+    keys = scratch.save(shared.join(done.hint("merge"), "h", "left").select("h", "doc", "open", "w", "done").mapInArrow(prefixes, kinds))
+    other = held.select("s", F.col("h").alias("oh"), F.col("doc").alias("odoc"))
+    pair = keys.join(other.hint("merge"), "s").where("odoc < doc and oh <> rh").select("h", F.col("oh").alias("rh")).distinct()
+    more = compared(scratch.save(pair))
+    alike = alike.union(more)
+    missed = alike.join(head.select("h", "doc", "th", "a").hint("merge"), "h").join(theirs.select("rh", "rdoc").hint("merge"), "rh")
+    missed = missed.select(F.col("doc").alias("doc_id"), F.col("th").alias("text_hash"), (F.col("a") + F.col("s")).alias("start"), (F.col("a") + F.col("e") + (SHINGLE - 1)).alias("end"), F.col("rdoc").alias("of_doc"), "similarity")
+    whole = out.select("doc_id", "text_hash", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "of_doc", "similarity").union(again).union(missed)
+    whole = whole.groupBy("doc_id", "text_hash", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "of_doc")
+    whole = scratch.save(whole.agg(F.max("similarity").alias("similarity")))
+    scratch.drop(out, spots, head, held, shared, keys, more)
+    return whole
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
