@@ -16,7 +16,8 @@ many documents have them.
 The smallest document with a frequent value need not hold the passage around it. So the spots around such windows,
 where a shingle lies in no verified passage, and around all others of their values are indexed by shingles (equal
 spots once). Of LEAST shingles in a row of a similar passage MATCHED have a match or more, so one of the rarest LEAST -
-MATCHED + 1 has; and a passage that covers a place not yet covered shares a shingle there, gaps apart. Spots are compared
+MATCHED + 1 has; and a passage that covers a place not yet covered shares a shingle there, gaps apart (`rarest`). `needed`
+goes by length, begin and end of what may be a passage, and by shingles that nobody else has. Spots are compared
 with the first one that has such a shingle, and then, where places stay open, with all earlier ones that have one. No
 value is cut off; pairs grow with the square of different spots only where places stay open that share such shingles.
 """
@@ -261,6 +262,95 @@ def rarest(place: np.ndarray, shingle: np.ndarray, n: np.ndarray, opens: np.ndar
     return np.unique(np.concatenate([by[chosen[chosen > 0] - 1], held[spots & own]]))
 
 
+def needed(place: np.ndarray, n: np.ndarray, spot: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    """Which of the given shingles: a similar passage of any length that covers open places of a spot has one of them at least.
+
+    ``place`` and ``n``: places of the shingles of the ``spot`` that an earlier spot has too, and how many have them. A passage of m
+    different shingles begins and ends with a match and has at most m / 5 without one. Open places that no such stretch of shared
+    shingles holds ask nothing. Around others the rarest shingles of each run are taken, one more than may lack a match besides those
+    that nobody else has. Where no gap of open places can lie between matches, those at open places serve as well; the rarer set is
+    taken. Runs of a few sizes do for all passages, as any holds one that is a little shorter.
+    """
+    m = len(opens)
+    times = np.zeros(m, np.int64)
+    times[place] = n
+    shared = times > 0
+    sums = lambda x: np.concatenate([[0], np.cumsum(x)])
+    value = np.unique(spot, return_inverse=True)[1]
+    by = np.argsort(value, kind="stable")
+    before = np.full(m, -1)  # the same shingle's place before
+    same = np.flatnonzero(np.diff(value[by]) == 0)
+    before[by[same + 1]] = by[same]
+    # the longest stretch from each match to another with four of five shared (repeats of what nobody shares count nothing)
+    total = sums(np.where(shared, 1, np.where(before < 0, -4, 0)))
+    starts = np.flatnonzero(shared)
+    reach = np.searchsorted(-np.maximum.accumulate(total[::-1])[::-1], -total[starts], "right") - 1
+    end = np.maximum.accumulate(np.where(shared, np.arange(m), -1))[np.maximum(reach - 1, 0)] + 1
+    far = end - starts >= LEAST
+    if not far.any():
+        return place[:0]
+    starts, end = starts[far], end[far]
+    able = np.cumsum(np.bincount(starts, minlength=m + 1) - np.bincount(end, minlength=m + 1))[:m] > 0
+    own = opens & shared & able
+    if not (opens & able).any():
+        return place[:0]
+    longest = int((end - starts).max())
+    rank, ranked = np.full(m, m), np.lexsort((value, times))
+    ranked = ranked[shared[ranked]]
+    rank[ranked] = np.arange(len(ranked))
+    cost_of = np.append(times[ranked], 0)
+    edges = np.concatenate([[-1 << 40], np.flatnonzero(~opens), [1 << 40]])
+    width = np.diff(edges)[np.searchsorted(edges, np.arange(m), "right") - 1] - 1  # of the stretch of open places
+    alone, held_times, view = sums(~shared), sums(np.where(own, times, 0)), np.lib.stride_tricks.sliding_window_view
+    chosen, serving, around = np.zeros(m + 1, bool), np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)
+
+    sizes, long = [(LEAST, 1, 4 - LEAST % 5)], LEAST + 5 - LEAST % 5
+    while long <= longest:
+        step = 1 if long < 2 * LEAST else long // 16
+        more = long + (5 if step == 1 else step)
+        sizes.append((long, step, more + (1 if more < 2 * LEAST else more // 16) - 2 - long))
+        long = more
+    for size, step, slack in sizes:
+        gap = opens & able & (width <= (size + slack) // 5)
+        at = np.arange(0, m - size + 1, step)
+        low, high = np.maximum(at - slack, 0), np.minimum(at + size + slack, m)
+        wanted = sums(own | gap)
+        some = wanted[high] > wanted[low]
+        if len(same) == 0:
+            left = size + slack - 5 * (alone[at + size] - alone[at])
+            some &= left >= 0
+            left = left[some]
+        at, low, high = at[some], low[some], high[some]
+        gaps, bound = sums(gap), max(1, (1 << 21) // size)
+        for k in range(0, len(at), bound):
+            a, lo, hi = at[k : k + bound], low[k : k + bound], high[k : k + bound]
+            order = view(rank, size)[a]
+            if len(same):
+                first = view(before, size)[a] < a[:, None]
+                left_of = first.sum(axis=1) + slack - 5 * (first & ~view(shared, size)[a]).sum(axis=1)
+                fits = left_of >= 0
+                a, lo, hi, left_of = a[fits], lo[fits], hi[fits], left_of[fits]
+                order = np.where(first[fits], order[fits], m)
+                if not len(a):
+                    continue
+            else:
+                left_of = left[k : k + bound]
+            lacking = left_of // 5
+            most = min(int(lacking.max()), size - 1)
+            order = np.sort(np.partition(order, most, axis=1)[:, : most + 1], axis=1)
+            order = np.where(np.arange(most + 1) <= lacking[:, None], order, m)
+            cost = cost_of[np.minimum(order, len(ranked))].sum(axis=1)
+            plain = (gaps[hi] == gaps[lo]) & (held_times[hi] - held_times[lo] < cost)
+            few = ~plain & ((order < m).sum(axis=1) <= lacking)  # the match may stand beside the run
+            chosen[order[~plain]] = True
+            for taken, these in ((serving, plain), (around, few)):
+                np.add.at(taken, lo[these], 1)
+                np.add.at(taken, hi[these], -1)
+    which = (np.cumsum(serving[:m]) > 0) & own | (np.cumsum(around[:m]) > 0) & shared
+    which[ranked[chosen[: len(ranked)]]] = True
+    return np.flatnonzero(which[place])
+
+
 def _places(lists: pa.ListArray) -> np.ndarray:
     """Rows c, l and r of all structs of the lists."""
     flat = lists.flatten()
@@ -621,7 +711,7 @@ def repeats(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     held = scratch.save(parts.join(seen.hint("merge"), "s"))
     scratch.drop(parts, seen)
     shared = held.where("asks and least < doc").groupBy("h").agg(F.collect_list(F.struct("place", "s", "n", "rh")).alias("w"))
-    shared = scratch.save(shared.where(F.size("w") >= MATCHED).join(head.select("h", "doc", "open").hint("merge"), "h").select("h", "doc", "open", "w"))
+    shared = scratch.save(shared.where(F.size("w") >= MATCHED).join(head.select("h", "doc", "open", "sh").hint("merge"), "h").select("h", "doc", "open", "w", "sh"))
 
     def prefixes(batches):
         """(s, h, doc, rh): shingles of which any passage that covers open places has one, and the first spot with it."""
@@ -632,11 +722,11 @@ def repeats(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
                 opens, w = (batch.column(k)[i].values for k in (2, 3))
                 opens = opens.to_numpy(zero_copy_only=False)
                 place, s, n, rh = (w.field(k).to_numpy(zero_copy_only=False) for k in ("place", "s", "n", "rh"))
-                if len(batch.columns) > 4 and batch.column(4)[i].is_valid:
+                if len(batch.columns) > 5 and batch.column(5)[i].is_valid:
                     opens = opens.copy()
-                    for x in batch.column(4)[i].as_py():
+                    for x in batch.column(5)[i].as_py():
                         opens[x["s"] : x["e"]] = False
-                which = rarest(place, s, n, opens)
+                which = needed(place, n, batch.column(4)[i].values.to_numpy(zero_copy_only=False), opens)
                 rows.append((s[which], np.full(len(which), h), np.full(len(which), doc), rh[which]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], ["s", "h", "doc", "rh"])
@@ -652,7 +742,7 @@ def repeats(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     kinds = "s long, h long, doc long, rh long"
     alike = compared(scratch.save(shared.mapInArrow(prefixes, kinds).select("h", "rh").distinct()))
     done = alike.groupBy("h").agg(F.collect_list(F.struct("s", "e")).alias("done"))
-    keys = scratch.save(shared.join(done.hint("merge"), "h", "left").select("h", "doc", "open", "w", "done").mapInArrow(prefixes, kinds))
+    keys = scratch.save(shared.join(done.hint("merge"), "h", "left").select("h", "doc", "open", "w", "sh", "done").mapInArrow(prefixes, kinds))
     other = held.select("s", F.col("h").alias("oh"), F.col("doc").alias("odoc"))
     pair = keys.join(other.hint("merge"), "s").where("odoc < doc and oh <> rh").select("h", F.col("oh").alias("rh")).distinct()
     more = compared(scratch.save(pair))
