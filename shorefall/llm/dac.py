@@ -30,7 +30,7 @@ BITS, RANKED = 8, 512
 #: Ids of a block, about (a longer document makes a longer block).
 BLOCK_IDS = 1 << 20
 #: Words and letter runs that one generation of a worker's tables keeps, the longest kept, and the bytes of text encoded at once.
-TABLE, STEMS, LONGEST, PART_BYTES = 150_000, 150_000, 64, 1 << 21
+TABLE, STEMS, LONGEST, PART_BYTES = 150_000, 150_000, 64, 1 << 22
 #: An id that no model has; stands for a word whose ids depend on the text around it.
 UNUSED = 2**32 - 1
 WHOLE = array("I", [UNUSED]).tobytes()
@@ -124,7 +124,10 @@ class Recent:
         values = [next(made) if v is None else v for v in again]
         for i, v in zip(missing, values):
             out[i] = v
-        self.young.update((k, v) for k, v in zip(asked, values) if len(k) <= LONGEST)
+        if max(map(len, asked)) <= LONGEST:
+            self.young.update(zip(asked, values))
+        else:
+            self.young.update([(k, v) for k, v in zip(asked, values) if len(k) <= LONGEST])
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
         return out
@@ -190,16 +193,22 @@ class Encoder:
             return self._lines(before, stems)
         shown = lambda s: s.encode().decode("latin-1").translate(SHOWN)
         tokens, begin = self.lib.model.tokenize, shown(before)
-        return [array("I", [t.id for t in tokens(begin + (s if s.isascii() else shown(s)))]).tobytes() for s in stems]
+        odd = [i for i, s in enumerate(stems) if not s.isascii()]
+        if odd:  # no letter has the byte of a blank
+            stems = stems.copy()
+            for i, s in zip(odd, shown(" ".join([stems[i] for i in odd])).split(shown(" "))):
+                stems[i] = s
+        return [array("I", [t.id for t in tokens(begin + s)]).tobytes() for s in stems]
 
     def _letters(self, new: list[str]) -> list[bytes]:
         """Ids of runs of letters, each with the line feed or else the blank before it; WHOLE for what is no such run."""
         out = [WHOLE] * len(new)
-        for before, begin in ((" ", b""), ("", self.line)):
-            bodies = [(i, s[1:] if begin else s) for i, s in enumerate(new) if (s[:1] == "\n") == bool(begin)]
-            bodies = [(i, s) for i, s in bodies if s.isalpha()]
-            for (i, _), ids in zip(bodies, self._pieces(before, [s for _, s in bodies])):
-                out[i] = begin + ids
+        at = [i for i, s in enumerate(new) if s.isalpha()]
+        for i, ids in zip(at, self._pieces(" ", [new[i] for i in at])):
+            out[i] = ids
+        at = [i for i, s in enumerate(new) if s[:1] == "\n" and s[1:].isalpha()]
+        for i, ids in zip(at, self._pieces("", [new[i][1:] for i in at])):
+            out[i] = self.line + ids
         return out
 
     def _others(self, new: list[str]) -> list[bytes]:
@@ -232,7 +241,7 @@ class Encoder:
         known = self.stems.look_up(stems.dictionary.to_pylist(), self._letters)
         marks = self.tails.look_up(tails.dictionary.to_pylist(), self._marks)
         at = np.stack([stems.indices.to_numpy(), len(known) + tails.indices.to_numpy()], axis=1)
-        others = np.flatnonzero(np.fromiter((k == WHOLE for k in known), bool, len(known))[at[:, 0]])
+        others = np.flatnonzero(np.array([k == WHOLE for k in known], bool)[at[:, 0]])
         rest = self.words.look_up(words.take(pa.array(others)).to_pylist(), self._others)
         at[others, 0] = len(known) + len(marks) + np.arange(len(rest))
         every = known + marks + rest

@@ -61,3 +61,17 @@ def test_a_repeated_stretch_is_one_row_with_its_number_of_links(spark, tmp_path)
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOC).write.parquet(f"{tmp_path}/documents.parquet")
     rows = queries.op7_windows(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.start, r.end, r.of_doc, r.n_docs) for r in rows) == [(i, 20 + i, 80 + i, 0, i) for i in (1, 2, 3)]
+
+
+def test_letters_beyond_ascii_are_shown_together():
+    import public_tokenizers
+
+    from shorefall.llm import dac
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        own = dac.Encoder(f.read())
+    stems = ["plain", "é", "中文", "naïve", "x" * 70, "İß"]
+    for before in (" ", ""):
+        want = [own._bytes(own.lib.encode(before + s, add_special_tokens=False).ids) for s in stems]
+        assert own._pieces(before, stems) == want and stems[1] == "é"
+    assert own.stems.look_up(["x" * 70, "ab"], own._letters) == own._letters(["x" * 70, "ab"]) and list(own.stems.young) == ["ab"]
