@@ -18,8 +18,10 @@ where a shingle lies in no verified passage, and around all others of their valu
 spots once). Of LEAST shingles in a row of a similar passage MATCHED have a match or more, so one of the rarest LEAST -
 MATCHED + 1 has; and a passage that covers a place not yet covered shares a shingle there, gaps apart (`rarest`). `needed`
 goes by length, begin and end of what may be a passage, and by shingles that nobody else has. Spots are compared
-with the first one that has such a shingle, and then, where places stay open, with all earlier ones that have one. No
-value is cut off; pairs grow with the square of different spots only where places stay open that share such shingles.
+with the first one that has such a shingle, and then, where places stay open, with all earlier ones that have one: these lie
+in blocks by hash, and a spot with open places goes once to each block that holds one of its shingles, where `Block` finds
+and compares its pairs. No value is cut off, and no pair is a row; but the comparisons grow with the square of different
+spots where places stay open that share such shingles.
 """
 
 from __future__ import annotations
@@ -57,6 +59,12 @@ EDITS = [(1, 1, _M, PASSAGE), (1, 2, _M, PASSAGE + 1), (2, 1, PART, _M), (4, 2,
 MATCHED = LEAST - (2 * LEAST - 1) // 5
 #: Shingles of stretches compared at once (one longer pair is compared alone).
 COMPARED = 1 << 16
+#: Shingles of the spots of a block, and least of them where there are under EVEN blocks; places of pairs looked through at once.
+BLOCK, LITTLE, EVEN, LOOKED = 1 << 19, 1 << 16, 16, 1 << 21
+#: Shingles of pairs that are handed on together.
+TOGETHER = 1 << 20
+#: Blocks are told apart by their number modulo this in the masks of shingles.
+MASK = 63
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -537,6 +545,67 @@ def coupled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
+def alike_lists(xs: pa.ListArray, ys: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(pair, start, end, similarity) as `passages` gives them, COMPARED shingles at once."""
+    size = np.cumsum(xs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) + ys.value_lengths().to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(xs):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + COMPARED, "right")))
+        rows = passages(xs.slice(at, end - at), ys.slice(at, end - at))
+        if rows:
+            which, s, e, j = (np.array(x) for x in zip(*rows))
+            yield which + at, s, e, j
+        at = end
+
+
+class Block:
+    """Spots (their documents and lists of shingles) that others are compared with."""
+
+    def __init__(self, h: np.ndarray, doc: np.ndarray, lists: pa.ListArray):
+        self.h, self.doc, self.lists = h, doc, lists
+        n = lists.value_lengths().to_numpy(zero_copy_only=False)
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        by = np.argsort(flat, kind="stable")
+        self.shingle, self.owner = flat[by], np.repeat(np.arange(len(n)), n)[by]
+
+    def holders(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which, spot): all spots of each shingle."""
+        low, high = (np.searchsorted(self.shingle, shingles, side) for side in ("left", "right"))
+        return np.repeat(np.arange(len(low)), high - low), self.owner[_ranges(low, high)]
+
+    def partners(self, doc: int, spot: np.ndarray, keys: np.ndarray, done: np.ndarray) -> np.ndarray:
+        """Spots of earlier documents that have one of the keys, but for those ``done`` and those that can hold no similar passage.
+
+        A passage of LEAST shingles or more has a match at four of five that differ, so a stretch as long has where matches count 1,
+        others -4 and their repeats nothing.
+        """
+        found = np.unique(self.holders(keys)[1])
+        found = found[(self.doc[found] < doc) & ~np.isin(self.h[found], done)]
+        m = len(spot)
+        if not len(found) or m < LEAST:
+            return found[:0]
+        first = np.zeros(m, bool)
+        first[np.unique(spot, return_index=True)[1]] = True
+        lacks = np.where(first, -4, 0).astype(np.int32)
+        place, of = self.holders(spot)
+        number = np.full(len(self.h), -1)
+        number[found] = np.arange(len(found))
+        row = number[of]
+        place, row = place[row >= 0], row[row >= 0]
+        by = np.argsort(row, kind="stable")
+        place, row = place[by], row[by]
+        fits, step = np.zeros(len(found), bool), max(1, LOOKED // m)
+        for at in range(0, len(found), step):
+            end = min(at + step, len(found))
+            gain = np.tile(lacks, (end - at, 1))
+            these = slice(*np.searchsorted(row, [at, end]))
+            gain[row[these] - at, place[these]] = 1
+            total = np.zeros((end - at, m + 1), np.int32)
+            np.cumsum(gain, axis=1, out=total[:, 1:])
+            fits[at:end] = (total[:, LEAST:] >= np.minimum.accumulate(total[:, : m - LEAST + 1], axis=1)).any(axis=1)
+        return found[fits]
+
+
 def _lists(parts: list[np.ndarray], kind: type) -> pa.ListArray:
     ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, kind)))
@@ -616,17 +685,9 @@ def repeats(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     def verify(batches):
         names = ["h", "rh", "s", "e", "similarity"]
         for batch in batches:
-            xs, ys = batch.column(2), batch.column(3)
-            size = np.cumsum(xs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) + ys.value_lengths().to_numpy(zero_copy_only=False))
-            at = 0
-            while at < len(batch):
-                end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + COMPARED, "right")))
-                rows = passages(xs.slice(at, end - at), ys.slice(at, end - at))
-                if rows:
-                    which, s, e, j = zip(*rows)
-                    which = pa.array(which) if at == 0 else pa.array([i + at for i in which])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(j, pa.float64())], names)
-                at = end
+            for which, s, e, j in alike_lists(batch.column(2), batch.column(3)):
+                which = pa.array(which)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(j, pa.float64())], names)
         release()
 
     alike = scratch.save(pair.select("h", "rh", "sh", "rsh").mapInArrow(verify, "h long, rh long, s int, e int, similarity double"))
@@ -706,53 +767,118 @@ def repeats(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         release()
 
     parts = scratch.save(head.select("h", "doc", "sh", asks.alias("asks")).mapInArrow(shingles, "s long, h long, doc long, place int, asks boolean"))
-    seen = parts.groupBy("s").agg(F.min(F.struct("doc", "h")).alias("least"), F.max(F.when(F.col("asks"), F.col("doc"))).alias("most"), F.count("*").alias("n"))
-    seen = scratch.save(seen.where("least.doc < most").select("s", F.col("least.doc").alias("least"), F.col("least.h").alias("rh"), "n"))  # written, so that skewed keys can be split
-    held = scratch.save(parts.join(seen.hint("merge"), "s"))
+    total = parts.count()
+    blocks = max(-(-total // BLOCK), min(EVEN, -(-total // LITTLE)), 1)
+    block = F.pmod("h", F.lit(blocks)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(block, F.lit(MASK)))
+    seen = parts.groupBy("s").agg(F.min(F.struct("doc", "h")).alias("least"), F.max(F.when(F.col("asks"), F.col("doc"))).alias("most"), F.count("*").alias("n"), F.bit_or(bit).alias("lie"))
+    seen = scratch.save(seen.where("least.doc < most").select("s", F.col("least.doc").alias("least"), F.col("least.h").alias("rh"), "n", "lie"))  # written, so that skewed keys can be split
+    held = parts.where("asks").join(seen.hint("merge"), "s").where("least < doc")
+    shared = held.groupBy("h").agg(F.collect_list(F.struct("place", "s", "n", "rh", "lie")).alias("w"))
+    shared = scratch.save(shared.where(F.size("w") >= MATCHED).join(head.select("h", "doc", "th", "a", "open", "sh").hint("merge"), "h").select("h", "doc", "open", "w", "sh", "th", "a"))
     scratch.drop(parts, seen)
-    shared = held.where("asks and least < doc").groupBy("h").agg(F.collect_list(F.struct("place", "s", "n", "rh")).alias("w"))
-    shared = scratch.save(shared.where(F.size("w") >= MATCHED).join(head.select("h", "doc", "open", "sh").hint("merge"), "h").select("h", "doc", "open", "w", "sh"))
 
-    def prefixes(batches):
-        """(s, h, doc, rh): shingles of which any passage that covers open places has one, and the first spot with it."""
+    def keys_of(batch, i, done=()):
+        """(place, s, rh, lie) of shingles of which any passage that covers open places has one, with the first spot that has it."""
+        opens, w, spot = (batch.column(k)[i].values for k in (2, 3, 4))
+        opens = opens.to_numpy(zero_copy_only=False).copy()
+        place, s, n, rh, lie = (w.field(k).to_numpy(zero_copy_only=False) for k in ("place", "s", "n", "rh", "lie"))
+        for x in done:
+            opens[x["s"] : x["e"]] = False
+        which = needed(place, n, spot.to_numpy(zero_copy_only=False), opens)
+        return s[which], rh[which], lie[which]
+
+    def first_pairs(batches):
         for batch in batches:
-            rows = []
-            for i in range(len(batch)):
-                h, doc = (batch.column(k)[i].as_py() for k in (0, 1))
-                opens, w = (batch.column(k)[i].values for k in (2, 3))
-                opens = opens.to_numpy(zero_copy_only=False)
-                place, s, n, rh = (w.field(k).to_numpy(zero_copy_only=False) for k in ("place", "s", "n", "rh"))
-                if len(batch.columns) > 5 and batch.column(5)[i].is_valid:
-                    opens = opens.copy()
-                    for x in batch.column(5)[i].as_py():
-                        opens[x["s"] : x["e"]] = False
-                which = needed(place, n, batch.column(4)[i].values.to_numpy(zero_copy_only=False), opens)
-                rows.append((s[which], np.full(len(which), h), np.full(len(which), doc), rh[which]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], ["s", "h", "doc", "rh"])
+            rows = [np.unique(keys_of(batch, i)[1]) for i in range(len(batch))]
+            h = batch.column(0).take(pa.array(np.repeat(np.arange(len(rows)), [len(x) for x in rows])))
+            yield pa.RecordBatch.from_arrays([h, pa.array(np.concatenate([*rows, np.zeros(0, np.int64)]))], ["h", "rh"])
         release()
 
     theirs = head.select(F.col("h").alias("rh"), F.col("sh").alias("rsh"), F.col("doc").alias("rdoc"))
-
-    def compared(pair):
-        both = pair.join(head.select("h", "sh").hint("merge"), "h").join(theirs.select("rh", "rsh").hint("merge"), "rh")
-        return scratch.save(both.select("h", "rh", "sh", "rsh").mapInArrow(verify, "h long, rh long, s int, e int, similarity double"))
-
     # with the first spot that has a shingle; what stays open then with all that have it
-    kinds = "s long, h long, doc long, rh long"
-    alike = compared(scratch.save(shared.mapInArrow(prefixes, kinds).select("h", "rh").distinct()))
+    firsts = scratch.save(shared.mapInArrow(first_pairs, "h long, rh long"))
+    both = firsts.join(head.select("h", "sh").hint("merge"), "h").join(theirs.select("rh", "rsh").hint("merge"), "rh")
+    alike = scratch.save(both.select("h", "rh", "sh", "rsh").mapInArrow(verify, "h long, rh long, s int, e int, similarity double"))
     done = alike.groupBy("h").agg(F.collect_list(F.struct("s", "e")).alias("done"))
-    keys = scratch.save(shared.join(done.hint("merge"), "h", "left").select("h", "doc", "open", "w", "sh", "done").mapInArrow(prefixes, kinds))
-    other = held.select("s", F.col("h").alias("oh"), F.col("doc").alias("odoc"))
-    pair = keys.join(other.hint("merge"), "s").where("odoc < doc and oh <> rh").select("h", F.col("oh").alias("rh")).distinct()
-    more = compared(scratch.save(pair))
-    alike = alike.union(more)
+    tried = firsts.groupBy("h").agg(F.collect_list("rh").alias("tried"))
+    left = shared.join(tried.hint("merge"), "h").join(done.hint("merge"), "h", "left").select("h", "doc", "open", "w", "sh", "th", "a", "tried", "done")
+    fields = "block int, asks boolean, h long, doc long, th long, a long, sh array<long>, keys array<long>, tried array<long>"
+
+    def to_blocks(batches):
+        """A row for each block that may hold a key of the spot."""
+        for batch in batches:
+            row, at, keys = [], [], []
+            for i in range(len(batch)):
+                s, _, lie = keys_of(batch, i, batch.column(8)[i].as_py() or ())
+                if len(s):
+                    bits = int(np.bitwise_or.reduce(lie))
+                    for k in range(blocks):
+                        if bits >> k % MASK & 1:
+                            row.append(i)
+                            at.append(k)
+                            keys.append(s[lie >> (k % MASK) & 1 > 0])
+                if len(row) >= 256 or (row and i == len(batch) - 1):
+                    taken = pa.array(row)
+                    asks = pa.array(np.ones(len(row), bool))
+                    h, doc, th, a, sh, tried = (batch.column(k).take(taken) for k in (0, 1, 5, 6, 4, 7))
+                    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), asks, h, doc, th, a, sh, _lists(keys, np.int64), tried], ["block", "asks", "h", "doc", "th", "a", "sh", "keys", "tried"])
+                    row, at, keys = [], [], []
+        release()
+
+    def in_blocks(batches):
+        """Rows come by block, its own spots before those that ask."""
+        names = ["doc_id", "text_hash", "start", "end", "of_doc", "similarity"]
+        number, parts, block = None, [], None
+        for batch in batches:
+            of, asks = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            cuts = np.flatnonzero((np.diff(of) != 0) | (asks[1:] != asks[:-1])) + 1
+            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)]):
+                if high == low:
+                    continue
+                if of[low] != number:
+                    number, parts, block = of[low], [], None
+                rows = batch.slice(low, high - low)
+                if not asks[low]:
+                    parts.append(rows.select(["h", "doc", "sh"]))
+                    continue
+                if block is None:
+                    held = pa.Table.from_batches(parts).combine_chunks()
+                    block = Block(*(held.column(k).to_numpy() for k in (0, 1)), held.column(2).combine_chunks()) if len(held) else Block(np.zeros(0, np.int64), np.zeros(0, np.int64), pa.array([], pa.list_(pa.int64())))
+                    parts = []
+                doc, begin = (rows.column(k).to_numpy(zero_copy_only=False) for k in (3, 5))
+                spot, keys, tried = (rows.column(k) for k in (6, 7, 8))
+                length = spot.value_lengths().to_numpy(zero_copy_only=False)
+                pairs, size = [], 0
+                for i in range(len(rows)):
+                    other = block.partners(doc[i], *(x[i].values.to_numpy(zero_copy_only=False) for x in (spot, keys, tried)))
+                    pairs.append((np.full(len(other), i), other))
+                    size += int(length[i]) * len(other) * 2
+                    if size < TOGETHER and i < len(rows) - 1:
+                        continue
+                    mine, other = (np.concatenate(x) for x in zip(*pairs))
+                    pairs, size = [], 0
+                    for k in range(0, len(mine), 1 << 12):
+                        x, y = mine[k : k + (1 << 12)], other[k : k + (1 << 12)]
+                        for which, s, e, j in alike_lists(spot.take(pa.array(x)), block.lists.take(pa.array(y))):
+                            own = x[which]
+                            columns = [rows.column(3).take(pa.array(own)), rows.column(4).take(pa.array(own)), pa.array(begin[own] + s), pa.array(begin[own] + e + (SHINGLE - 1)), pa.array(block.doc[y[which]]), pa.array(j)]
+                            yield pa.RecordBatch.from_arrays(columns, names)
+        release()
+
+    empty = F.lit(None).cast("array<long>")
+    lying = head.select(block.alias("block"), F.lit(False).alias("asks"), "h", "doc", "th", "a", "sh", empty.alias("keys"), empty.alias("tried"))
+    asking = scratch.save(left.mapInArrow(to_blocks, fields))
+    asked = asking.select("block").distinct()
+    rows = lying.join(F.broadcast(asked), "block", "left_semi").union(asking)
+    rows = rows.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "asks")
+    more = scratch.save(rows.mapInArrow(in_blocks, "doc_id long, text_hash long, start long, end long, of_doc long, similarity double"))
     missed = alike.join(head.select("h", "doc", "th", "a").hint("merge"), "h").join(theirs.select("rh", "rdoc").hint("merge"), "rh")
     missed = missed.select(F.col("doc").alias("doc_id"), F.col("th").alias("text_hash"), (F.col("a") + F.col("s")).alias("start"), (F.col("a") + F.col("e") + (SHINGLE - 1)).alias("end"), F.col("rdoc").alias("of_doc"), "similarity")
-    whole = out.select("doc_id", "text_hash", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "of_doc", "similarity").union(again).union(missed)
+    whole = out.select("doc_id", "text_hash", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "of_doc", "similarity").union(again).union(missed).union(more)
     whole = whole.groupBy("doc_id", "text_hash", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "of_doc")
     whole = scratch.save(whole.agg(F.max("similarity").alias("similarity")))
-    scratch.drop(out, spots, head, held, shared, keys, more)
+    scratch.drop(out, spots, head, shared, firsts, alike, asking, more)
     return whole
 
 
