@@ -37,12 +37,11 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .windows import repeats
+    from .windows import repeated
 
-    # a row for each repeated stretch, with the number of earlier documents it is linked to and the smallest of them
-    found = repeats(table(spark, sf_dir, "documents")).groupBy("doc_id", "text_hash", "start", "end")
-    found = found.agg(F.min(F.struct("of_doc", "similarity")).alias("least"), F.count("*").alias("n_docs"))
-    return found.select("doc_id", "text_hash", "start", "end", "least.of_doc", "least.similarity", "n_docs")
+    # a row for each repeated stretch, with the number of earlier documents it is linked to and the smallest of them (links are in order)
+    found = repeated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text_hash", "start", "end", F.col("links")[0]["of_doc"].alias("of_doc"), F.col("links")[0]["similarity"].alias("similarity"), F.size("links").cast("long").alias("n_docs"))
 
 
 def op3_voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,12 +59,10 @@ EDITS = [(1, 1, _M, PASSAGE), (1, 2, _M, PASSAGE + 1), (2, 1, PART, _M), (4, 2,
 MATCHED = LEAST - (2 * LEAST - 1) // 5
 #: Shingles of stretches compared at once (one longer pair is compared alone).
 COMPARED = 1 << 16
-#: Shingles of the spots of a block, and least of them where there are under EVEN blocks; places of pairs looked through at once.
+#: Shingles of the spots of a block, and least of them where there are under EVEN blocks of a home; matches looked through at once.
 BLOCK, LITTLE, EVEN, LOOKED = 1 << 19, 1 << 16, 16, 1 << 21
-#: Shingles of pairs that are handed on together.
-TOGETHER = 1 << 20
-#: Blocks are told apart by their number modulo this in the masks of shingles.
-MASK = 63
+#: Links of spots that are handed on together.
+HANDED = 1 << 16
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -563,15 +561,132 @@ class Block:
 
     def __init__(self, h: np.ndarray, doc: np.ndarray, lists: pa.ListArray):
         self.h, self.doc, self.lists = h, doc, lists
-        n = lists.value_lengths().to_numpy(zero_copy_only=False)
+        n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         flat = lists.flatten().to_numpy(zero_copy_only=False)
+        self.begin = np.cumsum(n) - n
         by = np.argsort(flat, kind="stable")
-        self.shingle, self.owner = flat[by], np.repeat(np.arange(len(n)), n)[by]
+        owner, shingle = np.repeat(np.arange(len(n)), n)[by], flat[by]
+        self.place = by - self.begin[owner]
+        # an entry is a shingle of a spot; its places lie together, in order
+        new = np.ones(len(by), bool)
+        new[1:] = (np.diff(shingle) != 0) | (np.diff(owner) != 0)
+        self.first = np.flatnonzero(new)
+        self.n = np.diff(self.first, append=len(by))
+        self.shingle, self.owner = shingle[self.first], owner[self.first]
+        self.before = np.full(len(by), -1)  # the same shingle's place before in its spot
+        again = np.flatnonzero(~new)
+        self.before[by[again]] = self.place[again - 1]
+        self.repeated = np.bincount(owner[again], minlength=len(n)) > 0
+
+    def _entries(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low, high = (np.searchsorted(self.shingle, shingles, side) for side in ("left", "right"))
+        return np.repeat(np.arange(len(low)), high - low), _ranges(low, high)
 
     def holders(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which, spot): all spots of each shingle."""
-        low, high = (np.searchsorted(self.shingle, shingles, side) for side in ("left", "right"))
-        return np.repeat(np.arange(len(low)), high - low), self.owner[_ranges(low, high)]
+        which, entry = self._entries(shingles)
+        return which, self.owner[entry]
+
+    def candidates(self, doc: int, keys: np.ndarray, early: np.ndarray, done: np.ndarray) -> np.ndarray:
+        """Spots of earlier documents that have one of the keys, but none that is ``early``, and are not ``done``."""
+        found = np.zeros(len(self.h), bool)
+        found[self.holders(keys)[1]] = True
+        found[self.holders(early)[1]] = False
+        found = np.flatnonzero(found)
+        return found[(self.doc[found] < doc) & ~np.isin(self.h[found], done)]
+
+    def _hits(self, spot: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(row, place, other place) of the matches of a spot with each of ``found``, as `_matched` pairs them; None: more than LOOKED."""
+        low, high = (np.searchsorted(self.shingle, spot, side) for side in ("left", "right"))
+        if (high - low).sum() > LOOKED:
+            return None
+        number = np.full(len(self.h), -1, np.int32)
+        number[found] = np.arange(len(found))
+        entry = _ranges(low, high)
+        row, x = number[self.owner[entry]], np.repeat(np.arange(len(spot)), high - low)
+        held = np.flatnonzero(row >= 0)
+        by = held[np.argsort(row[held].astype(np.uint16) if len(found) < 1 << 16 else row[held], kind="stable")]
+        row, x, entry = row[by].astype(np.int64), x[by], entry[by]
+        place = self.place[self.first[entry]]
+        several = self.n[entry] > 1
+        if several.any():
+            move, alone, several = np.zeros(len(found), np.int64), np.flatnonzero(~several), np.flatnonzero(several)
+            shift = x[alone] - place[alone]
+            order = np.lexsort((shift, row[alone]))
+            of, first, n = np.unique(row[alone], return_index=True, return_counts=True)
+            move[of] = shift[order][first + (n - 1) // 2]
+            want = x[several] - move[row[several]]
+            low, high = self.first[entry[several]], self.first[entry[several]] + self.n[entry[several]]
+            lo, hi = low, high
+            while (lo < hi).any():
+                mid = (lo + hi) // 2
+                less = (lo < hi) & (self.place[np.minimum(mid, len(self.place) - 1)] < want)
+                lo, hi = np.where(less, mid + 1, lo), np.where(less | (lo >= hi), hi, mid)
+            right, left = self.place[np.minimum(lo, high - 1)], self.place[np.maximum(lo - 1, low)]
+            place[several] = np.where(np.abs(left - want) <= np.abs(right - want), left, right)
+        return row, x, place
+
+    def alike(self, spot: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(spot of the block, start, end, similarity) of what `passages` finds in a spot and each of ``found``; no pair is sorted anew."""
+        nothing = (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
+        if not len(found) or len(spot) < LEAST:
+            return nothing
+        hits = self._hits(spot, found)
+        if hits is None:
+            out, own = [nothing], pa.ListArray.from_arrays(pa.array([0, len(spot)], pa.int32()), pa.array(spot))
+            for k in found.tolist():
+                out += [(np.full(len(s), k), s, e, j) for _, s, e, j in alike_lists(own, self.lists.slice(k, 1))]
+            return tuple(np.concatenate(x) for x in zip(*out))
+        row, hx, hy = hits
+        if not len(row):
+            return nothing
+        before = None
+        by = np.argsort(spot, kind="stable")
+        same = np.flatnonzero(np.diff(spot[by]) == 0)
+        if len(same):
+            before = np.full(len(spot), -1)
+            before[by[same + 1]] = by[same]
+        gap = np.append(np.maximum(np.diff(hx), np.abs(np.diff(hy))), 0)
+        padded = np.append(hy, hy[-1])
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        end = np.append(first[1:], len(row))
+
+        def over(f: np.ufunc, values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+            return f.reduceat(values, np.stack([low, high], axis=1).ravel())[::2]
+
+        def fresh(earlier: np.ndarray, low: np.ndarray, high: np.ndarray, least: np.ndarray) -> np.ndarray:
+            """How many of the places [low, high) have no same one before them from ``least`` on."""
+            return np.bincount(np.repeat(np.arange(len(low)), high - low), earlier[_ranges(low, high)] < np.repeat(least, high - low), len(low)).astype(np.int64)
+
+        out = [nothing]
+        while True:
+            long = hx[end - 1] - hx[first] + 1 >= LEAST
+            first, end = first[long], end[long]
+            if not len(first):
+                break
+            a, b, own = hx[first], hx[end - 1] + 1, found[row[first]]
+            low, high = over(np.minimum, padded, first, end), over(np.maximum, padded, first, end) + 1
+            both, mine, theirs = end - first, b - a, high - low
+            if before is not None:
+                both, mine = fresh(before[hx], first, end, a), fresh(before, a, b, a)
+            odd = np.flatnonzero(self.repeated[own])
+            if len(odd):
+                at = self.begin[own[odd]]
+                theirs[odd] = fresh(self.before, at + low[odd], at + high[odd], low[odd])
+            similarity = both / (mine + theirs - both)
+            good = similarity >= SIMILAR
+            out.append((own[good], a[good], b[good], similarity[good]))
+            first, end = first[~good], end[~good]
+            if not len(first):
+                break
+            n = end - first - 1
+            gaps, run = _ranges(first, end - 1), np.repeat(np.arange(len(n)), n)
+            widest = np.maximum.reduceat(gap[gaps], np.cumsum(n) - n)
+            at = np.flatnonzero(gap[gaps] == widest[run])
+            cut = gaps[at[np.unique(run[at], return_index=True)[1]]] + 1
+            cut = np.where(widest > 1, cut, (first + end) // 2)
+            first, end = np.stack([first, cut], axis=1).ravel(), np.stack([cut, end], axis=1).ravel()
+        return tuple(np.concatenate(x) for x in zip(*out))
 
     def partners(self, doc: int, spot: np.ndarray, keys: np.ndarray, done: np.ndarray) -> np.ndarray:
         """Spots of earlier documents that have one of the keys, but for those ``done`` and those that can hold no similar passage.
@@ -618,6 +733,14 @@ def repeats(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     that repeat an id are one document in several texts, told apart by text_hash = xxhash64(text). Texts
     shorter than a passage, and empty tables, give no rows. Other columns take no part.
     """
+    return repeated(docs, scratch).select("doc_id", "text_hash", "start", "end", F.inline("links"))
+
+
+def repeated(docs: DataFrame, scratch: Scratch | None = None, links: bool = True) -> DataFrame:
+    """(doc_id, text_hash, start, end, links): the stretches of `repeats`; links: (of_doc, similarity) of each earlier document, once.
+
+    Without ``links`` all that is told is which words lie in such stretches; these may come joined or in several rows.
+    """
     scratch = scratch or Scratch(docs.sparkSession)
     every = scratch.save(windows(docs))
     seen = every.groupBy("value").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.count("*").alias("n"))
@@ -767,26 +890,22 @@ def repeats(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         release()
 
     parts = scratch.save(head.select("h", "doc", "sh", asks.alias("asks")).mapInArrow(shingles, "s long, h long, doc long, place int, asks boolean"))
-    total = parts.count()
-    blocks = max(-(-total // BLOCK), min(EVEN, -(-total // LITTLE)), 1)
-    block = F.pmod("h", F.lit(blocks)).cast("int")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(block, F.lit(MASK)))
-    seen = parts.groupBy("s").agg(F.min(F.struct("doc", "h")).alias("least"), F.max(F.when(F.col("asks"), F.col("doc"))).alias("most"), F.count("*").alias("n"), F.bit_or(bit).alias("lie"))
-    seen = scratch.save(seen.where("least.doc < most").select("s", F.col("least.doc").alias("least"), F.col("least.h").alias("rh"), "n", "lie"))  # written, so that skewed keys can be split
+    seen = parts.groupBy("s").agg(F.min(F.struct("doc", "h")).alias("least"), F.max(F.when(F.col("asks"), F.col("doc"))).alias("most"), F.count("*").alias("n"))
+    seen = scratch.save(seen.where("least.doc < most").select("s", F.col("least.doc").alias("least"), F.col("least.h").alias("rh"), "n"))  # written, so that skewed keys can be split
     held = parts.where("asks").join(seen.hint("merge"), "s").where("least < doc")
-    shared = held.groupBy("h").agg(F.collect_list(F.struct("place", "s", "n", "rh", "lie")).alias("w"))
+    shared = held.groupBy("h").agg(F.collect_list(F.struct("place", "s", "n", "rh")).alias("w"))
     shared = scratch.save(shared.where(F.size("w") >= MATCHED).join(head.select("h", "doc", "th", "a", "open", "sh").hint("merge"), "h").select("h", "doc", "open", "w", "sh", "th", "a"))
-    scratch.drop(parts, seen)
+    scratch.drop(seen)
 
     def keys_of(batch, i, done=()):
-        """(place, s, rh, lie) of shingles of which any passage that covers open places has one, with the first spot that has it."""
+        """(s, rh) of shingles of which any passage that covers open places has one, with the first spot that has it."""
         opens, w, spot = (batch.column(k)[i].values for k in (2, 3, 4))
         opens = opens.to_numpy(zero_copy_only=False).copy()
-        place, s, n, rh, lie = (w.field(k).to_numpy(zero_copy_only=False) for k in ("place", "s", "n", "rh", "lie"))
+        place, s, n, rh = (w.field(k).to_numpy(zero_copy_only=False) for k in ("place", "s", "n", "rh"))
         for x in done:
             opens[x["s"] : x["e"]] = False
         which = needed(place, n, spot.to_numpy(zero_copy_only=False), opens)
-        return s[which], rh[which], lie[which]
+        return s[which], rh[which]
 
     def first_pairs(batches):
         for batch in batches:
@@ -803,85 +922,125 @@ def repeats(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     done = alike.groupBy("h").agg(F.collect_list(F.struct("s", "e")).alias("done"))
     tried = firsts.groupBy("h").agg(F.collect_list("rh").alias("tried"))
     left = shared.join(tried.hint("merge"), "h").join(done.hint("merge"), "h", "left").select("h", "doc", "open", "w", "sh", "th", "a", "tried", "done")
-    fields = "block int, asks boolean, h long, doc long, th long, a long, sh array<long>, keys array<long>, tried array<long>"
+    fields = "home long, h long, doc long, th long, a long, sh array<long>, keys array<long>, early array<long>, tried array<long>"
 
-    def to_blocks(batches):
-        """A row for each block that may hold a key of the spot."""
+    def to_homes(batches):
+        """A row for each home of a spot's keys: the first spot that has the key. early: its keys of smaller homes."""
         for batch in batches:
-            row, at, keys = [], [], []
+            row, homes, keys, early = [], [], [], []
             for i in range(len(batch)):
-                s, _, lie = keys_of(batch, i, batch.column(8)[i].as_py() or ())
-                if len(s):
-                    bits = int(np.bitwise_or.reduce(lie))
-                    for k in range(blocks):
-                        if bits >> k % MASK & 1:
-                            row.append(i)
-                            at.append(k)
-                            keys.append(s[lie >> (k % MASK) & 1 > 0])
+                s, rh = keys_of(batch, i, batch.column(8)[i].as_py() or ())
+                for home in np.unique(rh).tolist():
+                    row.append(i)
+                    homes.append(home)
+                    keys.append(np.unique(s[rh == home]))
+                    early.append(np.unique(s[rh < home]))
                 if len(row) >= 256 or (row and i == len(batch) - 1):
                     taken = pa.array(row)
-                    asks = pa.array(np.ones(len(row), bool))
                     h, doc, th, a, sh, tried = (batch.column(k).take(taken) for k in (0, 1, 5, 6, 4, 7))
-                    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), asks, h, doc, th, a, sh, _lists(keys, np.int64), tried], ["block", "asks", "h", "doc", "th", "a", "sh", "keys", "tried"])
-                    row, at, keys = [], [], []
+                    yield pa.RecordBatch.from_arrays([pa.array(homes, pa.int64()), h, doc, th, a, sh, _lists(keys, np.int64), _lists(early, np.int64), tried], ["home", "h", "doc", "th", "a", "sh", "keys", "early", "tried"])
+                    row, homes, keys, early = [], [], [], []
         release()
 
     def in_blocks(batches):
-        """Rows come by block, its own spots before those that ask."""
-        names = ["doc_id", "text_hash", "start", "end", "of_doc", "similarity"]
-        number, parts, block = None, [], None
+        """Rows come by home and part, its own spots before those that ask."""
+        names = ["doc_id", "text_hash", "start", "end", "links"]
+        number, parts, block, out, size = None, [], None, [], 0
+
+        def rows_of(out):
+            doc, th, start, end, of_doc, similarity = (np.concatenate(x) for x in zip(*((np.full(len(x[2]), x[0]), np.full(len(x[2]), x[1]), *x[2:6]) for x in out)))
+            ends = np.cumsum(np.concatenate([[0], *(x[6] for x in out)])).astype(np.int32)
+            struct = pa.StructArray.from_arrays([pa.array(of_doc, pa.int64()), pa.array(similarity, pa.float64())], ["of_doc", "similarity"])
+            at = ends[:-1] if links else slice(None)
+            return pa.RecordBatch.from_arrays([*(pa.array(x[at], pa.int64()) for x in (doc, th, start, end)), pa.ListArray.from_arrays(pa.array(ends), struct)], names)
+
         for batch in batches:
-            of, asks = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            cuts = np.flatnonzero((np.diff(of) != 0) | (asks[1:] != asks[:-1])) + 1
+            home, part, asks = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            cuts = np.flatnonzero((np.diff(home) != 0) | (np.diff(part) != 0) | (asks[1:] != asks[:-1])) + 1
             for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)]):
                 if high == low:
                     continue
-                if of[low] != number:
-                    number, parts, block = of[low], [], None
+                if (home[low], part[low]) != number:
+                    number, parts, block = (home[low], part[low]), [], None
                 rows = batch.slice(low, high - low)
                 if not asks[low]:
                     parts.append(rows.select(["h", "doc", "sh"]))
                     continue
                 if block is None:
-                    held = pa.Table.from_batches(parts).combine_chunks()
-                    block = Block(*(held.column(k).to_numpy() for k in (0, 1)), held.column(2).combine_chunks()) if len(held) else Block(np.zeros(0, np.int64), np.zeros(0, np.int64), pa.array([], pa.list_(pa.int64())))
+                    held = pa.Table.from_batches(parts).combine_chunks() if parts else []
+                    block = Block(*(held.column(k).to_numpy() for k in (0, 1)), held.column(2).combine_chunks()) if len(held) else False
                     parts = []
-                doc, begin = (rows.column(k).to_numpy(zero_copy_only=False) for k in (3, 5))
-                spot, keys, tried = (rows.column(k) for k in (6, 7, 8))
-                length = spot.value_lengths().to_numpy(zero_copy_only=False)
-                pairs, size = [], 0
+                if block is False:
+                    continue
+                doc, th, begin = (rows.column(k).to_numpy(zero_copy_only=False) for k in (4, 5, 6))
                 for i in range(len(rows)):
-                    other = block.partners(doc[i], *(x[i].values.to_numpy(zero_copy_only=False) for x in (spot, keys, tried)))
-                    pairs.append((np.full(len(other), i), other))
-                    size += int(length[i]) * len(other) * 2
-                    if size < TOGETHER and i < len(rows) - 1:
+                    spot, keys, early, tried = (rows.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (7, 8, 9, 10))
+                    which, s, e, j = block.alike(spot, block.candidates(doc[i], keys, early, tried))
+                    if not len(s):
                         continue
-                    mine, other = (np.concatenate(x) for x in zip(*pairs))
-                    pairs, size = [], 0
-                    for k in range(0, len(mine), 1 << 12):
-                        x, y = mine[k : k + (1 << 12)], other[k : k + (1 << 12)]
-                        for which, s, e, j in alike_lists(spot.take(pa.array(x)), block.lists.take(pa.array(y))):
-                            own = x[which]
-                            columns = [rows.column(3).take(pa.array(own)), rows.column(4).take(pa.array(own)), pa.array(begin[own] + s), pa.array(begin[own] + e + (SHINGLE - 1)), pa.array(block.doc[y[which]]), pa.array(j)]
-                            yield pa.RecordBatch.from_arrays(columns, names)
+                    s, e = begin[i] + s, begin[i] + e + (SHINGLE - 1)
+                    if links:
+                        by = np.lexsort((e, s))
+                        s, e = s[by], e[by]
+                        new = np.flatnonzero((np.diff(s, prepend=-1) != 0) | (np.diff(e, prepend=-1) != 0))
+                        out.append((doc[i], th[i], s, e, block.doc[which[by]], j[by], np.diff(new, append=len(s))))
+                    else:
+                        s, e = (np.array(x, np.int64) for x in zip(*joined_ranges(s, e)))
+                        out.append((doc[i], th[i], s, e, np.zeros(0, np.int64), np.zeros(0), np.zeros(len(s), np.int64)))
+                    size += len(s)
+                    if size >= HANDED:
+                        yield rows_of(out)
+                        out, size = [], 0
+        if out:
+            yield rows_of(out)
         release()
 
-    empty = F.lit(None).cast("array<long>")
-    lying = head.select(block.alias("block"), F.lit(False).alias("asks"), "h", "doc", "th", "a", "sh", empty.alias("keys"), empty.alias("tried"))
-    asking = scratch.save(left.mapInArrow(to_blocks, fields))
-    asked = asking.select("block").distinct()
-    rows = lying.join(F.broadcast(asked), "block", "left_semi").union(asking)
-    rows = rows.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "asks")
-    more = scratch.save(rows.mapInArrow(in_blocks, "doc_id long, text_hash long, start long, end long, of_doc long, similarity double"))
+    # spots lie with the first spots that have a shingle which is asked for, those of one home in parts where they are many
+    asking = scratch.save(left.mapInArrow(to_homes, fields))
+    wanted_keys = asking.select(F.explode("keys").alias("s"), "home", "doc").groupBy("s", "home").agg(F.max("doc").alias("most"))
+    member = parts.select("s", "h", "doc").join(wanted_keys.hint("shuffle_hash"), "s").where("doc < most").select("home", "h").distinct()
+    lying = scratch.save(member.join(head.select("h", "doc", "sh").hint("merge"), "h").select("home", "h", "doc", "sh"))
+    scratch.drop(parts)
+    total = F.sum(F.size("sh"))
+    large = lying.groupBy("home").agg(F.greatest(F.ceil(total / BLOCK), F.least(F.lit(EVEN), F.ceil(total / LITTLE))).cast("int").alias("parts")).where("parts > 1")
+    n, empty = F.coalesce("parts", F.lit(1)), F.lit(None).cast("array<long>")
+    lie = lying.join(F.broadcast(large), "home", "left").select("home", F.pmod("h", n).cast("int").alias("part"), F.lit(False).alias("asks"), "h", "doc", F.lit(0).cast("long").alias("th"), F.lit(0).cast("long").alias("a"), "sh", empty.alias("keys"), empty.alias("early"), empty.alias("tried"))
+    ask = asking.join(F.broadcast(large), "home", "left").select("home", F.explode(F.sequence(F.lit(0), n - 1)).alias("part"), F.lit(True).alias("asks"), "h", "doc", "th", "a", "sh", "keys", "early", "tried")
+    rows = lie.union(ask).repartition("home", "part").sortWithinPartitions("home", "part", "asks")
+    link = "array<struct<of_doc: bigint, similarity: double>>"
+    more = scratch.save(rows.mapInArrow(in_blocks, f"doc_id long, text_hash long, start long, end long, links {link}"))
     missed = alike.join(head.select("h", "doc", "th", "a").hint("merge"), "h").join(theirs.select("rh", "rdoc").hint("merge"), "rh")
     missed = missed.select(F.col("doc").alias("doc_id"), F.col("th").alias("text_hash"), (F.col("a") + F.col("s")).alias("start"), (F.col("a") + F.col("e") + (SHINGLE - 1)).alias("end"), F.col("rdoc").alias("of_doc"), "similarity")
-    whole = out.select("doc_id", "text_hash", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "of_doc", "similarity").union(again).union(missed).union(more)
-    whole = whole.groupBy("doc_id", "text_hash", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "of_doc")
-    whole = scratch.save(whole.agg(F.max("similarity").alias("similarity")))
-    scratch.drop(out, spots, head, shared, firsts, alike, asking, more)
+    whole = out.select("doc_id", "text_hash", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "of_doc", "similarity").union(again).union(missed)
+    stretch = ["doc_id", "text_hash", "start", "end"]
+    if links:
+        # each document once, with its best similarity; a stretch may come from several blocks
+        each = whole.groupBy(*stretch).agg(F.collect_list(F.struct("of_doc", "similarity")).alias("links")).union(more)
+        best = each.groupBy(*stretch).agg(F.collect_list("links").alias("links")).mapInArrow(once, f"doc_id long, text_hash long, start long, end long, links {link}")
+        whole = best.withColumns({k: F.col(k).cast("int") for k in ("start", "end")})
+    else:
+        whole = whole.select(*stretch).union(more.select(*stretch)).distinct().withColumns({k: F.col(k).cast("int") for k in ("start", "end")})
+    whole = scratch.save(whole)
+    scratch.drop(out, spots, head, shared, firsts, alike, asking, lying, more)
     return whole
 
 
+def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of lists of (of_doc, similarity) put together, in order: each document once, with the highest similarity."""
+    for batch in batches:
+        lists = batch.column(4)
+        flat = lists.flatten()
+        n = flat.value_lengths().to_numpy(zero_copy_only=False)
+        of = np.repeat(np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False)), n)
+        doc, similarity = (flat.flatten().field(k).to_numpy(zero_copy_only=False) for k in ("of_doc", "similarity"))
+        by = np.lexsort((-similarity, doc, of))
+        by = by[(np.diff(of[by], prepend=-1) != 0) | (np.diff(doc[by], prepend=0) != 0)]
+        ends = np.searchsorted(of[by], np.arange(len(lists) + 1)).astype(np.int32)
+        struct = pa.StructArray.from_arrays([pa.array(doc[by]), pa.array(similarity[by])], ["of_doc", "similarity"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.ListArray.from_arrays(pa.array(ends), struct)], batch.schema.names)
+    release()
+
+
 def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     """The text without the words of the spans (which may overlap) and the white space behind them."""
     at = [m.start() for m in WORD.finditer(text)] + [len(text)]
@@ -899,7 +1058,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     Rows with a null id stay as they are; an empty table gives an empty one. Columns of any name are kept.
     """
     doc, th, spans, new = unused(docs, "doc", "th", "spans", "cut")
-    found = repeats(docs).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias(spans))
+    found = repeated(docs, links=False).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias(spans))
     found = found.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(th), spans)
     joined = docs.join(found, (F.col("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(th)), "left").select(*docs.columns, spans)
 
