@@ -58,7 +58,7 @@ EDITS = [(1, 1, _M, PASSAGE), (1, 2, _M, PASSAGE + 1), (2, 1, PART, _M), (4, 2,
 #: Of up to 2 LEAST - 1 shingles at most a fifth is without a match in a similar passage, so LEAST in a row have as many as this with one.
 MATCHED = LEAST - (2 * LEAST - 1) // 5
 #: Shingles of stretches compared at once (one longer pair is compared alone).
-COMPARED = 1 << 16
+COMPARED = 1 << 18
 #: Shingles of the spots of a block, and least of them where there are under EVEN blocks of a home; matches looked through at once.
 BLOCK, LITTLE, EVEN, LOOKED = 1 << 19, 1 << 16, 16, 1 << 21
 #: Links of spots that are handed on together.
@@ -89,26 +89,27 @@ def smallest_of_runs(values: np.ndarray, width: int) -> np.ndarray:
 def extents(at: np.ndarray, values: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(kept, l, r): the places up to which each candidate is smallest inside its text [first, last].
 
-    Both neighbours that bound a candidate are smallest in longer runs, so they are candidates themselves, and
-    a stack over candidates is enough. Of equal values less than HALF apart one is kept.
+    Both neighbours that bound a candidate are smallest in longer runs, so they are candidates themselves. Of equal
+    values less than HALF apart one is kept.
     """
-    left, right = first.copy(), last.copy()
-    kept = np.ones(len(at), bool)
-    stack: list[tuple[int, int, int, int]] = []  # value, place, index, last place kept of that value
-    text = -1
-    starts = first.tolist()
-    for i, (c, v) in enumerate(zip(at.tolist(), values.tolist())):
-        if starts[i] != text:
-            stack, text = [], starts[i]
-        while stack and stack[-1][0] > v:
-            right[stack.pop()[2]] = c - 1
-        tie = c
-        if stack:
-            value, place, _, before = stack[-1]
-            left[i] = place + 1
-            if value == v and c - before < HALF:
-                kept[i], tie = False, before
-        stack.append((v, c, i, tie))
+    n = len(at)
+    text = np.cumsum(np.diff(first, prepend=-1) != 0)
+    before, behind = np.arange(n) - 1, np.arange(n) + 1  # the nearest that is not larger, and that is smaller
+    before[np.diff(text, prepend=0) != 0] = -1
+    behind[np.diff(text, append=-1) != 0] = -1
+    for nearest, passed in ((before, np.greater), (behind, np.greater_equal)):
+        live = np.flatnonzero(nearest >= 0)
+        while len(live):  # past what is larger by way of its own neighbour
+            live = live[passed(values[nearest[live]], values[live])]
+            nearest[live] = nearest[nearest[live]]
+            live = live[nearest[live] >= 0]
+    left, right = np.where(before >= 0, at[before] + 1, first), np.where(behind >= 0, at[behind] - 1, last)
+    kept, tie = np.ones(n, bool), {}
+    for i in np.flatnonzero((before >= 0) & (values[before] == values)).tolist():  # tie: the last place kept of the value
+        c, p = int(at[i]), int(before[i])
+        held = tie.get(p, int(at[p]))
+        kept[i] = c - held >= HALF
+        tie[i] = c if kept[i] else held
     return kept, left, right
 
 
@@ -452,75 +453,133 @@ def _ranges(first: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
 
 
-def _matched(kx: np.ndarray, ky: np.ndarray, pair: np.ndarray, x0: np.ndarray, y0: np.ndarray) -> np.ndarray:
-    """For each of kx the place of an equal one in ky, -1 without any; of several that nearest to where the pair's unique ones lie."""
-    by = np.argsort(ky, kind="stable")
-    held = np.append(ky[by], [-1, -1])
-    low = np.searchsorted(held[:-2], kx)
-    place = np.full(len(kx), -1)
-    there, twice = held[low] == kx, held[low + 1] == kx
-    alone, several = np.flatnonzero(there & ~twice), np.flatnonzero(there & twice)
-    place[alone] = by[low[alone]]
+def _nearest(places: np.ndarray, low: np.ndarray, high: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """Of each range [low, high) of the places, in order there, the one nearest to the wanted place."""
+    lo, hi = low, high
+    while (lo < hi).any():  # the first that stands at the wanted place or behind it
+        mid = (lo + hi) // 2
+        less = (lo < hi) & (places[np.minimum(mid, len(places) - 1)] < want)
+        lo, hi = np.where(less, mid + 1, lo), np.where(less | (lo >= hi), hi, mid)
+    right, left = places[np.minimum(lo, high - 1)], places[np.maximum(lo - 1, low)]
+    return np.where(np.abs(left - want) <= np.abs(right - want), left, right)
+
+
+def _moves(row: np.ndarray, shift: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """``move`` with the median shift of each row (in order) that has one."""
+    order = np.lexsort((shift, row))
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    move[row[first]] = shift[order][first + (np.diff(first, append=len(row)) - 1) // 2]
+    return move
+
+
+def _matched(px: np.ndarray, x: np.ndarray, py: np.ndarray, y: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of x the place of an equal one of its pair in y, -1 without any; and the places before of the same in x and in y.
+
+    Of several that nearest to where the pair's unique ones lie (``move``: how far apart where it has none).
+    """
+    n, total = len(x), len(x) + len(y)
+    key = np.concatenate([px << 32 | x, py << 32 | y])
+    bits, most = total.bit_length(), max(int(px[-1]) if n else 0, int(py[-1]) if len(y) else 0)
+    if most.bit_length() + 32 + bits < 64:  # places go along in the low bits
+        packed = np.sort(key << bits | np.arange(total))
+        at, key = packed & ((1 << bits) - 1), packed >> bits
+    else:
+        at = np.argsort(key, kind="stable")
+        key = key[at]
+    theirs, same = at >= n, np.zeros(total, bool)
+    same[1:] = key[1:] == key[:-1]
+    again = np.flatnonzero(same[1:] & (theirs[1:] == theirs[:-1])) + 1
+    earlier = np.full(total, -1)
+    earlier[at[again]] = at[again - 1]
+    earlier[n:] = np.where(earlier[n:] >= 0, earlier[n:] - n, -1)
+    start = np.flatnonzero(~same)
+    end = np.append(start[1:], total)[: len(start)]
+    held = np.concatenate([[0], np.cumsum(theirs)])
+    low = end - (held[end] - held[start])  # those of y stand behind those of x
+    group = np.cumsum(~same) - 1
+    mine = np.flatnonzero(~theirs)
+    first, last = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    first[at[mine]], last[at[mine]] = low[group[mine]], end[group[mine]]
+    places = at - n
+    place = np.full(n, -1)
+    alone, several = np.flatnonzero(last - first == 1), np.flatnonzero(last - first > 1)
+    place[alone] = places[first[alone]]
     if len(several):
-        move = x0 - y0
-        shift = alone - place[alone]
-        order = np.lexsort((shift, pair[alone]))
-        of, first, n = np.unique(pair[alone], return_index=True, return_counts=True)
-        move[of] = shift[order][first + (n - 1) // 2]
-        want = several - move[pair[several]]
-        high = np.searchsorted(held[:-2], kx[several], "right")
-        lo, hi = low[several], high
-        while (lo < hi).any():  # the first of equal shingles that stands at the wanted place or behind it
-            mid = (lo + hi) // 2
-            less = (lo < hi) & (by[np.minimum(mid, len(by) - 1)] < want)
-            lo, hi = np.where(less, mid + 1, lo), np.where(less | (lo >= hi), hi, mid)
-        right, left = by[np.minimum(lo, high - 1)], by[np.maximum(lo - 1, low[several])]
-        place[several] = np.where(np.abs(left - want) <= np.abs(right - want), left, right)
-    return place
+        move = _moves(px[alone], alone - place[alone], move)
+        place[several] = _nearest(places, first[several], last[several], several - move[px[several]])
+    return place, earlier[:n], earlier[n:]
 
 
-def passages(xs: pa.ListArray, ys: pa.ListArray) -> list[tuple[int, int, int, float]]:
-    """(pair, start, end, similarity) of runs of shingles of each x that are near-duplicates of runs of its y.
+def _over(f: np.ufunc, values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return f.reduceat(values, np.stack([low, high], axis=1).ravel())[::2]
+
+
+def _fresh(earlier: np.ndarray, low: np.ndarray, high: np.ndarray, least: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """How many of the places [low, high) (of those that ``at`` names) have no same one before them from ``least`` on."""
+    places = _ranges(low, high)
+    fresh = np.append(earlier[places if at is None else at[places]] < np.repeat(least, high - low), False)
+    return np.add.reduceat(fresh, np.cumsum(high - low) - (high - low), dtype=np.int64)  # no range is empty
+
 
-    The runs from the first to the last match are compared for all pairs at once; those that are not similar
-    enough are cut at their widest gap in either text, and the parts are compared in the next round.
+def _similar(row: np.ndarray, hx: np.ndarray, hy: np.ndarray, earlier_x: np.ndarray, earlier_y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, start, end, similarity) of runs of shingles of x that are near-duplicates of runs of y, for all pairs (rows, in order) of both.
+
+    hx, hy: places of matches; earlier: the places before of the same shingle. The runs from the first to the last match are compared
+    for all pairs at once; those that are not similar enough are cut at their widest gap in either text, and the parts are compared
+    in the next round.
     """
-    nx, ny = (v.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for v in (xs, ys))
-    px, py = np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)
-    x0, y0 = np.cumsum(nx) - nx, np.cumsum(ny) - ny
-    x, y = (v.flatten().to_numpy(zero_copy_only=False).astype(np.int64) & 0xFFFFFFFF for v in (xs, ys))
-    place = _matched(px << 32 | x, py << 32 | y, px, x0, y0)
-    hit = np.flatnonzero(place >= 0)
-    other = place[hit]
-    gap = np.maximum(np.diff(hit), np.abs(np.diff(other)))
-    first = np.flatnonzero(np.diff(px[hit], prepend=-1))
-    end = np.append(first[1:], len(hit))[: len(first)]
-    out: list[tuple[int, int, int, float]] = []
+    out = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0),)]
+    gap = np.append(np.maximum(np.diff(hx), np.abs(np.diff(hy))), 0)
+    padded = np.append(hy, hy[-1:])
+    again_x, again_y = (np.concatenate([[0], np.cumsum(e >= 0)]) for e in (earlier_x, earlier_y))
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    end = np.append(first[1:], len(row))[: len(first)]
     while True:
-        long = hit[end - 1] - hit[first] + 1 >= LEAST
-        first, end = first[long], end[long]
+        a, b = hx[first], hx[end - 1] + 1
+        # where no shingle stands twice, a similar run of LEAST or more has four of five as matches
+        long = (b - a >= LEAST) & ((end - first >= SIMILAR * LEAST) | (again_x[b] > again_x[a]))
+        first, end, a, b = first[long], end[long], a[long], b[long]
         if not len(first):
-            return out
-        a, b, held, n = hit[first], hit[end - 1] + 1, other[_ranges(first, end)], end - first
-        low, high = np.minimum.reduceat(held, np.cumsum(n) - n), np.maximum.reduceat(held, np.cumsum(n) - n) + 1
-        keys = lambda v, f, e: np.unique(np.repeat(np.arange(len(f)), e - f) << 32 | v[_ranges(f, e)])
-        size = lambda k: np.bincount(k >> 32, minlength=len(first))  # noqa: E731, B023
-        mine, theirs = keys(x, a, b), keys(y, low, high)
-        both = size(np.intersect1d(mine, theirs, assume_unique=True))
-        similarity = both / (size(mine) + size(theirs) - both)
+            break
+        low, high = _over(np.minimum, padded, first, end), _over(np.maximum, padded, first, end) + 1
+        both, mine, theirs = end - first, b - a, high - low
+        odd = np.flatnonzero(again_x[b] > again_x[a])
+        if len(odd):
+            mine[odd] = _fresh(earlier_x, a[odd], b[odd], a[odd])
+            both[odd] = _fresh(earlier_x, first[odd], end[odd], a[odd], hx)
+        odd = np.flatnonzero(again_y[high] > again_y[low])
+        if len(odd):
+            theirs[odd] = _fresh(earlier_y, low[odd], high[odd], low[odd])
+        similarity = both / (mine + theirs - both)
         good = similarity >= SIMILAR
-        p = px[a[good]]
-        out += zip(p.tolist(), (a[good] - x0[p]).tolist(), (b[good] - x0[p]).tolist(), similarity[good].tolist())
+        out.append((row[first[good]], a[good], b[good], similarity[good]))
         first, end = first[~good], end[~good]
         if not len(first):
-            return out
+            break
         n = end - first - 1
         gaps, run = _ranges(first, end - 1), np.repeat(np.arange(len(n)), n)
         widest = np.maximum.reduceat(gap[gaps], np.cumsum(n) - n)
         at = np.flatnonzero(gap[gaps] == widest[run])
-        cut = gaps[at[np.unique(run[at], return_index=True)[1]]] + 1
+        cut = gaps[at[np.diff(run[at], prepend=-1) != 0]] + 1
         cut = np.where(widest > 1, cut, (first + end) // 2)
-        first, end = np.concatenate([first, cut]), np.concatenate([cut, end])
+        first, end = np.stack([first, cut], axis=1).ravel(), np.stack([cut, end], axis=1).ravel()
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _passages(xs: pa.ListArray, ys: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    nx, ny = (v.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for v in (xs, ys))
+    px, py = np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)
+    x0, y0 = np.cumsum(nx) - nx, np.cumsum(ny) - ny
+    x, y = (v.flatten().to_numpy(zero_copy_only=False).astype(np.int64) & 0xFFFFFFFF for v in (xs, ys))
+    place, earlier_x, earlier_y = _matched(px, x, py, y, x0 - y0)
+    hit = np.flatnonzero(place >= 0)
+    row, a, b, similarity = _similar(px[hit], hit, place[hit], earlier_x, earlier_y)
+    return row, a - x0[row], b - x0[row], similarity
+
+
+def passages(xs: pa.ListArray, ys: pa.ListArray) -> list[tuple[int, int, int, float]]:
+    """(pair, start, end, similarity) of runs of shingles of each x that are near-duplicates of runs of its y (`_similar`)."""
+    return list(zip(*(v.tolist() for v in _passages(xs, ys))))
 
 
 def coupled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -549,9 +608,8 @@ def alike_lists(xs: pa.ListArray, ys: pa.ListArray) -> Iterator[tuple[np.ndarray
     at = 0
     while at < len(xs):
         end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + COMPARED, "right")))
-        rows = passages(xs.slice(at, end - at), ys.slice(at, end - at))
-        if rows:
-            which, s, e, j = (np.array(x) for x in zip(*rows))
+        which, s, e, j = _passages(xs.slice(at, end - at), ys.slice(at, end - at))
+        if len(which):
             yield which + at, s, e, j
         at = end
 
@@ -573,10 +631,9 @@ class Block:
         self.first = np.flatnonzero(new)
         self.n = np.diff(self.first, append=len(by))
         self.shingle, self.owner = shingle[self.first], owner[self.first]
-        self.before = np.full(len(by), -1)  # the same shingle's place before in its spot
+        self.earlier = np.full(len(by), -1)  # the same shingle's place before in its spot, all spots in a row
         again = np.flatnonzero(~new)
-        self.before[by[again]] = self.place[again - 1]
-        self.repeated = np.bincount(owner[again], minlength=len(n)) > 0
+        self.earlier[by[again]] = by[again - 1]
 
     def _entries(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low, high = (np.searchsorted(self.shingle, shingles, side) for side in ("left", "right"))
@@ -610,20 +667,10 @@ class Block:
         place = self.place[self.first[entry]]
         several = self.n[entry] > 1
         if several.any():
-            move, alone, several = np.zeros(len(found), np.int64), np.flatnonzero(~several), np.flatnonzero(several)
-            shift = x[alone] - place[alone]
-            order = np.lexsort((shift, row[alone]))
-            of, first, n = np.unique(row[alone], return_index=True, return_counts=True)
-            move[of] = shift[order][first + (n - 1) // 2]
-            want = x[several] - move[row[several]]
-            low, high = self.first[entry[several]], self.first[entry[several]] + self.n[entry[several]]
-            lo, hi = low, high
-            while (lo < hi).any():
-                mid = (lo + hi) // 2
-                less = (lo < hi) & (self.place[np.minimum(mid, len(self.place) - 1)] < want)
-                lo, hi = np.where(less, mid + 1, lo), np.where(less | (lo >= hi), hi, mid)
-            right, left = self.place[np.minimum(lo, high - 1)], self.place[np.maximum(lo - 1, low)]
-            place[several] = np.where(np.abs(left - want) <= np.abs(right - want), left, right)
+            alone, several = np.flatnonzero(~several), np.flatnonzero(several)
+            move = _moves(row[alone], x[alone] - place[alone], np.zeros(len(found), np.int64))
+            low = self.first[entry[several]]
+            place[several] = _nearest(self.place, low, low + self.n[entry[several]], x[several] - move[row[several]])
         return row, x, place
 
     def alike(self, spot: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -637,56 +684,13 @@ class Block:
             for k in found.tolist():
                 out += [(np.full(len(s), k), s, e, j) for _, s, e, j in alike_lists(own, self.lists.slice(k, 1))]
             return tuple(np.concatenate(x) for x in zip(*out))
-        row, hx, hy = hits
-        if not len(row):
-            return nothing
-        before = None
+        row, x, place = hits
         by = np.argsort(spot, kind="stable")
         same = np.flatnonzero(np.diff(spot[by]) == 0)
-        if len(same):
-            before = np.full(len(spot), -1)
-            before[by[same + 1]] = by[same]
-        gap = np.append(np.maximum(np.diff(hx), np.abs(np.diff(hy))), 0)
-        padded = np.append(hy, hy[-1])
-        first = np.flatnonzero(np.diff(row, prepend=-1))
-        end = np.append(first[1:], len(row))
-
-        def over(f: np.ufunc, values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-            return f.reduceat(values, np.stack([low, high], axis=1).ravel())[::2]
-
-        def fresh(earlier: np.ndarray, low: np.ndarray, high: np.ndarray, least: np.ndarray) -> np.ndarray:
-            """How many of the places [low, high) have no same one before them from ``least`` on."""
-            return np.bincount(np.repeat(np.arange(len(low)), high - low), earlier[_ranges(low, high)] < np.repeat(least, high - low), len(low)).astype(np.int64)
-
-        out = [nothing]
-        while True:
-            long = hx[end - 1] - hx[first] + 1 >= LEAST
-            first, end = first[long], end[long]
-            if not len(first):
-                break
-            a, b, own = hx[first], hx[end - 1] + 1, found[row[first]]
-            low, high = over(np.minimum, padded, first, end), over(np.maximum, padded, first, end) + 1
-            both, mine, theirs = end - first, b - a, high - low
-            if before is not None:
-                both, mine = fresh(before[hx], first, end, a), fresh(before, a, b, a)
-            odd = np.flatnonzero(self.repeated[own])
-            if len(odd):
-                at = self.begin[own[odd]]
-                theirs[odd] = fresh(self.before, at + low[odd], at + high[odd], low[odd])
-            similarity = both / (mine + theirs - both)
-            good = similarity >= SIMILAR
-            out.append((own[good], a[good], b[good], similarity[good]))
-            first, end = first[~good], end[~good]
-            if not len(first):
-                break
-            n = end - first - 1
-            gaps, run = _ranges(first, end - 1), np.repeat(np.arange(len(n)), n)
-            widest = np.maximum.reduceat(gap[gaps], np.cumsum(n) - n)
-            at = np.flatnonzero(gap[gaps] == widest[run])
-            cut = gaps[at[np.unique(run[at], return_index=True)[1]]] + 1
-            cut = np.where(widest > 1, cut, (first + end) // 2)
-            first, end = np.stack([first, cut], axis=1).ravel(), np.stack([cut, end], axis=1).ravel()
-        return tuple(np.concatenate(x) for x in zip(*out))
+        earlier = np.full(len(spot), -1)
+        earlier[by[same + 1]] = by[same]
+        row, s, e, j = _similar(row, x, self.begin[found[row]] + place, earlier, self.earlier)
+        return found[row], s, e, j
 
     def partners(self, doc: int, spot: np.ndarray, keys: np.ndarray, done: np.ndarray) -> np.ndarray:
         """Spots of earlier documents that have one of the keys, but for those ``done`` and those that can hold no similar passage.
@@ -745,8 +749,8 @@ def repeated(docs: DataFrame, scratch: Scratch | None = None, links: bool = True
     every = scratch.save(windows(docs))
     seen = every.groupBy("value").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.count("*").alias("n"))
     shared = scratch.save(seen.where("d0 < d1").select("value", "d0", (F.col("n") <= FEW).alias("few")))
-    # merge joins throughout: what they join grows with the corpus
-    tied = scratch.save(every.join(shared.hint("merge"), "value"))
+    # joins by shuffle throughout: what they join grows with the corpus; where one side has a key once, the other need not be sorted
+    tied = scratch.save(every.join(shared.hint("shuffle_hash"), "value"))
     scratch.drop(every)
     listed = tied.where("few").groupBy("value").agg(F.collect_list(F.struct("doc", "c", "l", "r")).alias("w"))
     place_list = "array<struct<c: int, l: int, r: int>>"
@@ -778,7 +782,7 @@ def repeated(docs: DataFrame, scratch: Scratch | None = None, links: bool = True
     scratch.drop(tied, first)
     wanted = found.select("doc", "a", "b").union(found.select("rdoc", "ra", "rb")).distinct()
     listed = wanted.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("w"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(listed.hint("merge"), "doc").where("text is not null")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(listed.hint("shuffle_hash"), "doc").where("text is not null")
 
     def make():
         def part(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -844,8 +848,8 @@ def repeated(docs: DataFrame, scratch: Scratch | None = None, links: bool = True
 
     wanted_values = scratch.save(asking.mapInArrow(open_values, "value long").distinct())  # written, so that skewed values can be split
     ranges = begun.join(wanted_values.hint("merge"), "value", "left_semi").select("doc", "a", "b").distinct().groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("w"))
-    around = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(ranges.hint("merge"), "doc").where("text is not null")
-    around = around.withColumn("th", F.xxhash64("text")).join(verified.hint("merge"), ["doc", "th"], "left").select("doc", "text", "th", "w", "spans")
+    around = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(ranges.hint("shuffle_hash"), "doc").where("text is not null")
+    around = around.withColumn("th", F.xxhash64("text")).join(verified.hint("shuffle_hash"), ["doc", "th"], "left").select("doc", "text", "th", "w", "spans")
 
     def open_up():
         def part(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -892,10 +896,9 @@ def repeated(docs: DataFrame, scratch: Scratch | None = None, links: bool = True
     parts = scratch.save(head.select("h", "doc", "sh", asks.alias("asks")).mapInArrow(shingles, "s long, h long, doc long, place int, asks boolean"))
     seen = parts.groupBy("s").agg(F.min(F.struct("doc", "h")).alias("least"), F.max(F.when(F.col("asks"), F.col("doc"))).alias("most"), F.count("*").alias("n"))
     seen = scratch.save(seen.where("least.doc < most").select("s", F.col("least.doc").alias("least"), F.col("least.h").alias("rh"), "n"))  # written, so that skewed keys can be split
-    held = parts.where("asks").join(seen.hint("merge"), "s").where("least < doc")
+    held = parts.where("asks").join(seen.hint("shuffle_hash"), "s").where("least < doc")
     shared = held.groupBy("h").agg(F.collect_list(F.struct("place", "s", "n", "rh")).alias("w"))
-    shared = scratch.save(shared.where(F.size("w") >= MATCHED).join(head.select("h", "doc", "th", "a", "open", "sh").hint("merge"), "h").select("h", "doc", "open", "w", "sh", "th", "a"))
-    scratch.drop(seen)
+    shared = shared.where(F.size("w") >= MATCHED).join(head.select("h", "doc", "th", "a", "open", "sh").hint("merge"), "h").select("h", "doc", "open", "w", "sh", "th", "a")
 
     def keys_of(batch, i, done=()):
         """(s, rh) of shingles of which any passage that covers open places has one, with the first spot that has it."""
@@ -907,21 +910,25 @@ def repeated(docs: DataFrame, scratch: Scratch | None = None, links: bool = True
         which = needed(place, n, spot.to_numpy(zero_copy_only=False), opens)
         return s[which], rh[which]
 
-    def first_pairs(batches):
+    def first_keys(batches):
+        """Spots with keys, and these."""
         for batch in batches:
-            rows = [np.unique(keys_of(batch, i)[1]) for i in range(len(batch))]
-            h = batch.column(0).take(pa.array(np.repeat(np.arange(len(rows)), [len(x) for x in rows])))
-            yield pa.RecordBatch.from_arrays([h, pa.array(np.concatenate([*rows, np.zeros(0, np.int64)]))], ["h", "rh"])
+            keys = [keys_of(batch, i) for i in range(len(batch))]
+            some = np.array([len(s) > 0 for s, _ in keys], bool)
+            lists = [_lists([x[k] for x in keys if len(x[k])], np.int64) for k in (0, 1)]
+            rows = batch.filter(pa.array(some))
+            yield pa.RecordBatch.from_arrays([*rows.columns, *lists], [*rows.schema.names, "s", "rh"])
         release()
 
     theirs = head.select(F.col("h").alias("rh"), F.col("sh").alias("rsh"), F.col("doc").alias("rdoc"))
     # with the first spot that has a shingle; what stays open then with all that have it
-    firsts = scratch.save(shared.mapInArrow(first_pairs, "h long, rh long"))
+    asked = "h long, doc long, open array<boolean>, w array<struct<place: int, s: long, n: long, rh: long>>, sh array<long>, th long, a long"
+    keyed = scratch.save(shared.mapInArrow(first_keys, f"{asked}, s array<long>, rh array<long>").withColumn("tried", F.array_distinct("rh")))
+    firsts = scratch.save(keyed.select("h", F.explode("tried").alias("rh")))
     both = firsts.join(head.select("h", "sh").hint("merge"), "h").join(theirs.select("rh", "rsh").hint("merge"), "rh")
     alike = scratch.save(both.select("h", "rh", "sh", "rsh").mapInArrow(verify, "h long, rh long, s int, e int, similarity double"))
     done = alike.groupBy("h").agg(F.collect_list(F.struct("s", "e")).alias("done"))
-    tried = firsts.groupBy("h").agg(F.collect_list("rh").alias("tried"))
-    left = shared.join(tried.hint("merge"), "h").join(done.hint("merge"), "h", "left").select("h", "doc", "open", "w", "sh", "th", "a", "tried", "done")
+    left = keyed.join(done.hint("merge"), "h", "left").select("h", "doc", "open", "w", "sh", "th", "a", "tried", "done", "s", "rh")
     fields = "home long, h long, doc long, th long, a long, sh array<long>, keys array<long>, early array<long>, tried array<long>"
 
     def to_homes(batches):
@@ -929,7 +936,8 @@ def repeated(docs: DataFrame, scratch: Scratch | None = None, links: bool = True
         for batch in batches:
             row, homes, keys, early = [], [], [], []
             for i in range(len(batch)):
-                s, rh = keys_of(batch, i, batch.column(8)[i].as_py() or ())
+                done = batch.column(8)[i].as_py()
+                s, rh = keys_of(batch, i, done) if done else (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (9, 10))
                 for home in np.unique(rh).tolist():
                     row.append(i)
                     homes.append(home)
@@ -1000,7 +1008,7 @@ def repeated(docs: DataFrame, scratch: Scratch | None = None, links: bool = True
     wanted_keys = asking.select(F.explode("keys").alias("s"), "home", "doc").groupBy("s", "home").agg(F.max("doc").alias("most"))
     member = parts.select("s", "h", "doc").join(wanted_keys.hint("shuffle_hash"), "s").where("doc < most").select("home", "h").distinct()
     lying = scratch.save(member.join(head.select("h", "doc", "sh").hint("merge"), "h").select("home", "h", "doc", "sh"))
-    scratch.drop(parts)
+    scratch.drop(parts, seen)
     total = F.sum(F.size("sh"))
     large = lying.groupBy("home").agg(F.greatest(F.ceil(total / BLOCK), F.least(F.lit(EVEN), F.ceil(total / LITTLE))).cast("int").alias("parts")).where("parts > 1")
     n, empty = F.coalesce("parts", F.lit(1)), F.lit(None).cast("array<long>")
@@ -1021,7 +1029,7 @@ def repeated(docs: DataFrame, scratch: Scratch | None = None, links: bool = True
     else:
         whole = whole.select(*stretch).union(more.select(*stretch)).distinct().withColumns({k: F.col(k).cast("int") for k in ("start", "end")})
     whole = scratch.save(whole)
-    scratch.drop(out, spots, head, shared, firsts, alike, asking, lying, more)
+    scratch.drop(out, spots, head, keyed, firsts, alike, asking, lying, more)
     return whole
 
 
