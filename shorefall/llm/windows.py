@@ -19,9 +19,10 @@ spots once). Of LEAST shingles in a row of a similar passage MATCHED have a matc
 MATCHED + 1 has; and a passage that covers a place not yet covered shares a shingle there, gaps apart (`rarest`). `needed`
 goes by length, begin and end of what may be a passage, and by shingles that nobody else has. Spots are compared
 with the first one that has such a shingle, and then, where places stay open, with all earlier ones that have one: these lie
-in blocks by hash, and a spot with open places goes once to each block that holds one of its shingles, where `Block` finds
-and compares its pairs. No value is cut off, and no pair is a row; but the comparisons grow with the square of different
-spots where places stay open that share such shingles.
+with the homes of the shingles that are asked for (a shingle's home is the first spot that has it), in parts where a home has many,
+and a spot with open places goes to the homes of its keys, so that what is sent grows with the spots. There `Block` finds and compares
+its pairs, each in the smallest home that it shares keys in. No value is cut off, and no pair is a row; but the comparisons grow with
+the square of different spots where places stay open that share such shingles.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ EDITS = [(1, 1, _M, PASSAGE), (1, 2, _M, PASSAGE + 1), (2, 1, PART, _M), (4, 2,
 #: Of up to 2 LEAST - 1 shingles at most a fifth is without a match in a similar passage, so LEAST in a row have as many as this with one.
 MATCHED = LEAST - (2 * LEAST - 1) // 5
 #: Shingles of stretches compared at once (one longer pair is compared alone).
-COMPARED = 1 << 18
+COMPARED = 1 << 17
 #: Shingles of the spots of a block, and least of them where there are under EVEN blocks of a home; matches looked through at once.
 BLOCK, LITTLE, EVEN, LOOKED = 1 << 19, 1 << 16, 16, 1 << 21
 #: Links of spots that are handed on together.
